@@ -4,21 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import simhash
+from ledgerlens.llm import chat, pieces, simhash, token_files
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.formatted(turns.unionByName(chat.probe(spark, turns))))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_simhash": op9_simhash}
+    return {"op4_chat": op4_chat, "op5_token_files": op5_token_files, "op6_pieces": op6_pieces, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat": chat.SQL}
