@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import chat, pieces, simhash, token_files
+from ledgerlens.llm import chat, pieces, sharding, simhash, token_files
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,12 +26,16 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents"), is_scan=True)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_chat": op4_chat, "op5_token_files": op5_token_files, "op6_pieces": op6_pieces, "op9_simhash": op9_simhash}
+    return {"op4_chat": op4_chat, "op5_token_files": op5_token_files, "op6_pieces": op6_pieces, "op7_shards": op7_shards, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
