@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import chat, pieces, sharding, simhash, token_files
+from ledgerlens.llm import chat, language, pieces, quality, sharding, simhash, token_files
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.formatted(turns.unionByName(chat.probe(spark, turns))))
@@ -30,13 +34,17 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), is_scan=True)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_chat": op4_chat, "op5_token_files": op5_token_files, "op6_pieces": op6_pieces, "op7_shards": op7_shards, "op9_simhash": op9_simhash}
+    return {"op1_quality": op1_quality, "op4_chat": op4_chat, "op5_token_files": op5_token_files, "op6_pieces": op6_pieces, "op7_shards": op7_shards, "op8_language": op8_language, "op9_simhash": op9_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.SQL}
+    return {"op1_quality": op1_quality, "op4_chat": chat.SQL}
