@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import chat, contamination, language, pieces, quality, sharding, simhash, token_files
+from ledgerlens.llm import chat, contamination, language, neighbours, pieces, quality, sharding, simhash, token_files
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,8 +46,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_contamination": op2_contamination, "op4_chat": op4_chat, "op5_token_files": op5_token_files, "op6_pieces": op6_pieces, "op7_shards": op7_shards, "op8_language": op8_language, "op9_simhash": op9_simhash}
+    return {"op1_quality": op1_quality, "op2_contamination": op2_contamination, "op4_chat": op4_chat, "op5_token_files": op5_token_files, "op6_pieces": op6_pieces, "op7_shards": op7_shards, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_neighbours": op10_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
