@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import fresh_path, texts_of
-from ledgerlens.llm.memo import WordMemo, slices
+from ledgerlens.llm.memo import slices
 
 #: Appended to every document.
 END_ID = 1
@@ -31,33 +32,99 @@ INDEX_ROWS = 2000
 #: White space at which every pre-tokenizer in use cuts.
 _CUTS = re.compile(r"[ \t\n\r]+")
 _ODD = re.compile("[\x1c-\x1f]")
+_TAILED = re.compile(r"([^\W\d_]+)([.,;:!?]+)").fullmatch
+#: Below this, libraries agree on what is a letter.
+_LATIN = "\u0250"
+#: Words of one generation of the memo.
+WORDS = 400_000
 
 
 class WordTokenizer:
-    """A tokenizer whose normaliser and pre-tokenizer work on each white-space-separated word by itself."""
+    """A tokenizer whose normaliser and pre-tokenizer work on each white-space-separated word by itself.
 
-    def __init__(self, path: str):
+    Words are encoded by the library once and remembered as the bytes of their
+    ids; the memo has two generations of at most ``WORDS`` words. Plain words
+    (Latin letters only) go to the library many at a time: each is one
+    pre-token, so the ids that end a word part them again.
+    """
+
+    def __init__(self, path: str, words: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = WordMemo(self._many)
-
-    def _many(self, words: list[str]) -> Iterator[tuple[int, ...]]:
-        for k in range(0, len(words), 4096):
-            for found in self.tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False):
-                yield tuple(found.ids)
-
-    def encode_many(self, texts: list[str]) -> Iterator[list[int]]:
+        self.words = words
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of whole texts, as bytes of 32-bit integers."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.int32).tobytes() for e in found]
+
+    def _plain(self, words: list[str]) -> Iterator[bytes]:
+        for k in range(0, len(words), 1024):
+            part = words[k : k + 1024]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and len(ids) == stops[-1]:
+                raw = ids.tobytes()
+                at = (stops * 4).tolist()
+                yield from (raw[a:b] for a, b in zip([0, *at], at))
+            else:
+                yield from self.whole(part)
+
+    def resolve(self, words: set[str]) -> dict[str, bytes]:
+        """A dict that holds the ids of all of ``words``."""
+        if len(self.young) > self.words:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        plain: list[str] = []
+        tailed: list[tuple[str, str, str]] = []
+        rest: list[str] = []
+        bases: set[str] = set()
+        for word in words.difference(young):
+            ids = old.get(word)
+            if ids is not None:
+                young[word] = ids
+            elif word.isalpha() and max(word) < _LATIN:
+                plain.append(word)
+            elif (m := _TAILED(word)) and max(m[1]) < _LATIN and m[1].isalpha():
+                tailed.append((word, m[1], m[2]))
+                bases.add(m[1])
+            else:
+                rest.append(word)
+        bases.difference_update(young, plain)
+        plain += bases
+        young.update(zip(plain, self._plain(plain)))
+        young.update(zip(rest, self.whole(rest)))
+        for word, base, tail in tailed:
+            end = self.tails.get(tail)
+            if end is None:
+                end = self.whole([tail])[0]
+                if len(self.tails) < 10_000:
+                    self.tails[tail] = end
+            young[word] = young[base] + end
+        return young
+
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, in order, as bytes of 32-bit integers."""
         for part in slices(texts):
-            # str.split() also cuts at the separators U+001C to U+001F, which are no white space to the tokenizer
-            words = [_CUTS.split(t) if _ODD.search(t) else t.split() for t in part]
-            ids = self.memo.resolve(set().union(*words))
-            for own in words:
-                out: list[int] = []
-                for w in own:
-                    out += ids[w]
-                yield out
+            words = []
+            for t in part:
+                if "<|" in t or "\u03a3" in t or not unicodedata.is_normalized("NFC", t):
+                    # special tokens, letters whose lower case depends on their place, and text that the normaliser composes
+                    words.append(None)
+                else:
+                    t = t.lower()
+                    # str.split() also cuts at the separators U+001C to U+001F, which are no white space to the tokenizer
+                    words.append([w for w in _CUTS.split(t) if w] if _ODD.search(t) else t.split())
+            get = self.resolve(set().union(*(own for own in words if own))).__getitem__
+            for t, own in zip(part, words):
+                yield self.whole([t])[0] if own is None else b"".join(map(get, own))
 
 
 @lru_cache(maxsize=2)
@@ -79,15 +146,16 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, id_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(tokenizer_path)
+        end = np.int32(end_id).tobytes()
         part, first = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = texts_of(batch, "t")
             done = 0
             for slice_ in slices(texts):
-                rows = [np.array(ids + [end_id], np.int32) for ids in own.encode_many(slice_)]
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+                rows = [ids + end for ids in own.encode_many(slice_)]
+                sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
                 ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.concatenate(rows)))
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
                 columns = [batch.column(0).slice(done, len(rows)), pa.array(np.full(len(rows), part, np.int32)), pa.array(first + ends - sizes), pa.array(sizes), ids]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "first", "n_tokens", "ids"])
                 first += int(ends[-1])

@@ -12,7 +12,7 @@ from ledgerlens.llm import pieces, token_files
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", " ", "\n", "  a  b \n\n c", "a▁b", "日本 語\x00x", "<s></s><0x0A>", "\x1c a\x1fb", "x y z\x85w", "é ́e", "ΣΑΣ Σ", "İI", "<|endoftext|> a<|startoftext|>b", "it's WE'LL 12 34!!", "a" * 5000, "𝄞𝄞 ﬁ"]
+ODD = ["Thered, Thered. THERED., a.b, x_y. été, ÉTÉ!? I'll 's ok.'s ñ... 1.2.", "<|ENDOFTEXT|> é É", " ", "\n", "  a  b \n\n c", "a▁b", "日本 語\x00x", "<s></s><0x0A>", "\x1c a\x1fb", "x y z\x85w", "é ́e", "ΣΑΣ Σ", "İI", "<|endoftext|> a<|startoftext|>b", "it's WE'LL 12 34!!", "a" * 5000, "𝄞𝄞 ﬁ"]
 
 
 def random_texts(count):
@@ -35,7 +35,10 @@ def test_words_equal_the_library():
     whole = Tokenizer.from_file(WORDS)
     own = token_files.tokenizer(WORDS)
     texts = ODD + random_texts(2000)
-    assert list(own.encode_many(texts)) == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, np.int32).tolist() for b in own.encode_many(texts)] == want
+    small = token_files.WordTokenizer(WORDS, words=20)
+    assert [np.frombuffer(next(small.encode_many([t])), np.int32).tolist() for t in texts] == want
 
 
 def test_memo_forgets_and_stays_right():
