@@ -198,10 +198,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     ``SAMPLE_BYTES`` bytes. The prior counts all labels.
     """
     clean = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("i")).agg(F.max(label_column).alias("good"))
-    own = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES)
-    known = own.select("i").join(clean, "i")
+    known = docs.select(F.col(id_column).alias("i")).join(clean, "i")
     counts = {r.good: r.n for r in known.groupBy("good").agg(F.count("*").alias("n")).collect()}
-    rows = own.select("i").count()
+    rows = docs.count()
     good = counts.get(1, 0)
     if not good:
         return None
@@ -209,9 +208,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     draw = F.pmod(F.xxhash64(F.lit("draw"), "i"), F.lit(scale))
     other = F.pmod(F.xxhash64(F.lit("other"), "i"), F.lit(scale))
     share = lambda n: min(scale, int(scale * sample / max(1, n)) + 1)
-    # the labelled draw is bounded before the texts are read for it
+    # the draw of labelled ids has about ``sample`` rows, so it is sent to where the texts are
     chosen = clean.where((F.col("good") == 1) & (draw < share(good))).select("i", F.lit(True).alias("p"))
-    both = own.join(chosen, "i", "left").select("i", "t", F.coalesce("p", F.lit(False)).alias("p"), (other < share(rows)).alias("u")).where("p or u").collect()
+    own = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES)
+    both = own.join(F.broadcast(chosen), "i", "left").select("i", "t", F.coalesce("p", F.lit(False)).alias("p"), (other < share(rows)).alias("u")).where("p or u").collect()
     both.sort(key=lambda r: (r.i is None, r.i or 0, r.t))
     prior = good / sum(counts.values()) if len(counts) > 1 else None
     return fit([r.t for r in both if r.p], [r.t for r in both if r.u], prior)
@@ -239,6 +239,21 @@ def scored(df: DataFrame, model: QualityModel | None, id_column: str = "doc_id",
     return out.withColumnRenamed("i", id_column)
 
 
+def good_rows(docs: DataFrame, model: QualityModel | None, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model calls good; nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # some hundred numbers
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            parts = [own.scores(part) >= 0.5 if own else np.ones(len(part), bool) for part in slices(texts)]
+            yield batch.filter(pa.array(np.concatenate(parts) if parts else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classified(df: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Learns from documents and labels outside the held-out fold, scores every document: id, held_out, score, predicted."""
     outside = fold(id_column, folds) != held_out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import chat, contamination, language, neighbours, pieces, quality, sharding, simhash, token_files
+from ledgerlens.llm import chat, contamination, language, licenses, neighbours, pieces, quality, sharding, simhash, token_files
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licence_blocks(table(spark, sf_dir, "documents"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.formatted(turns.unionByName(chat.probe(spark, turns))))
@@ -51,7 +55,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_contamination": op2_contamination, "op4_chat": op4_chat, "op5_token_files": op5_token_files, "op6_pieces": op6_pieces, "op7_shards": op7_shards, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_neighbours": op10_neighbours}
+    return {"op1_quality": op1_quality, "op2_contamination": op2_contamination, "op3_licenses": op3_licenses, "op4_chat": op4_chat, "op5_token_files": op5_token_files, "op6_pieces": op6_pieces, "op7_shards": op7_shards, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_neighbours": op10_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
