@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -69,6 +70,17 @@ def with_fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str
     return df.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInArrow(run, f"i {kind}, print long")
 
 
+def fingerprint_column(text_column: str, words_per_shingle: int = 4):
+    """The fingerprint of a text column as 16 hex digits, for rows that keep their other columns."""
+
+    @F.pandas_udf("string")
+    def prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in texts:
+            yield series.map(lambda t: format(fingerprint(t or "", words_per_shingle), "016x"))
+
+    return prints(text_column)
+
+
 def spanning(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star forest with the components of the given links: (member, smallest member)."""
     nodes, index = np.unique(np.concatenate([left, right]), return_inverse=True)
@@ -192,8 +204,6 @@ def _block_pair(distance: int):
                 a, b = spanning(a[rest], b[rest])
                 out_a.append(a)
                 out_b.append(b)
-        import pandas as pd
-
         if not out_a:
             return pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64)})
         a, b = spanning(np.concatenate(out_a), np.concatenate(out_b))

@@ -18,8 +18,8 @@ def test_every_template_finds_itself(name, key, text):
 
 
 def test_small_wording_differences():
-    found = licenses.scan_text("This book is licenced under the GNU General Public License, version 3.", OWN)
-    assert [(f[2], f[4]) for f in found] == [("GPL-3.0", 2)]
+    found = licenses.scan_text("This book is licensed under the GNU General Public License, version 3.", OWN)
+    assert [(f[2], f[4], f[5]) for f in found] == [("GPL-3.0", 1, 1)]
     assert not licenses.scan_text("You need a license to drive, and the apache helicopter needs version 2.0 of it.", OWN)
     assert not licenses.scan_text("The licensed driver took all the rights he could get.", OWN)
 
