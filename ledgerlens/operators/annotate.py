@@ -1,0 +1,104 @@
+"""Annotations of ledger columns: lookup of column references and of literal values."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SCHEMA = "table string, column string, semantic_role string, measure_type string, unit string, posting_side string, financial_element string, domain_object string, value_concepts map<string,string>, missing_markers array<string>"
+MONEY = "currency"
+
+#: Annotations of the ledger that ships with the engine.
+ANNOTATIONS = [
+    ("ledger", "Credit", "financial_measure", "flow", MONEY, "credit", None, None, None, None),
+    ("ledger", "Debit", "financial_measure", "flow", MONEY, "debit", None, None, None, None),
+    ("ledger", "Amount", "financial_measure", "flow", MONEY, None, None, None, None, None),
+    ("ledger", "Quantity", "financial_measure", "quantity", "count", None, None, None, None, None),
+    ("ledger", "Rate", "financial_measure", "rate", "currency_per_unit", None, None, None, None, None),
+    ("ledger", "Open_balance", "financial_measure", "stock", MONEY, None, "asset", "accounts_receivable", None, None),
+    ("ledger", "AR_paid", "payment_status", None, None, None, None, "accounts_receivable", {"paid": "paid"}, ["--"]),
+    ("ledger", "Transaction_ID", "transaction_key", None, None, None, None, None, None, None),
+    ("ledger", "Transaction_TYPE", "transaction_type", None, None, None, None, None, {"invoice": "invoice", "bill": "bill", "deposit": "deposit"}, None),
+    ("ledger", "Account_Type", "account_type", None, None, None, None, None, {"AR": "accounts_receivable", "AP": "accounts_payable", "Income": "income", "Expense": "expense"}, None),
+    ("customers", "Balance", "financial_measure", "stock", MONEY, None, "asset", "accounts_receivable", None, None),
+    ("vendors", "Balance", "financial_measure", "stock", MONEY, None, "liability", "accounts_payable", None, None),
+    ("income", "Amount", "financial_measure", "flow", MONEY, "credit", "income", None, None, None),
+]
+
+
+def annotations(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ANNOTATIONS, SCHEMA)
+
+
+def name_key(column: Column) -> Column:
+    return F.lower(F.trim(column))
+
+
+def value_key(column: Column) -> Column:
+    """A literal without the quotes around it, lower-cased."""
+    return F.lower(F.trim(F.regexp_replace(F.trim(column), "^['\"]+|['\"]+$", "")))
+
+
+def look_up_columns(refs: DataFrame, notes: DataFrame) -> DataFrame:
+    """References (ref, table or null, column) with their annotations.
+
+    A reference with a table matches exactly; one without matches every table
+    that has the column, and more than one match is ambiguous. The annotations
+    are a schema's columns, so they are broadcast.
+    """
+    own = notes.withColumns({"_t": name_key(F.col("table")), "_c": name_key(F.col("column"))}).withColumn("_n", F.count("*").over(_by("_c")))
+    held = refs.select("ref", F.col("table").alias("asked_table"), F.col("column").alias("asked_column"))
+    match = (name_key(F.col("asked_column")) == F.col("_c")) & (F.col("asked_table").isNull() | (name_key(F.col("asked_table")) == F.col("_t")))
+    joined = held.join(F.broadcast(own), match, "left")
+    return joined.withColumn("ambiguous", F.coalesce(F.col("asked_table").isNull() & (F.col("_n") > 1), F.lit(False))).drop("_t", "_c", "_n", "asked_table", "asked_column")
+
+
+def _by(column: str):
+    from pyspark.sql.window import Window
+
+    return Window.partitionBy(column)
+
+
+def resolve_values(values: DataFrame, notes: DataFrame) -> DataFrame:
+    """Literals (ref, table, column, value) with status and concept: exact, normalised, missing marker, else unmapped; no_value_map where nothing is known."""
+    own = notes.select(name_key(F.col("table")).alias("_t"), name_key(F.col("column")).alias("_c"), "value_concepts", "missing_markers")
+    joined = values.join(F.broadcast(own), (name_key(F.col("table")) == F.col("_t")) & (name_key(F.col("column")) == F.col("_c")), "left")
+    given, concepts = F.col("value"), F.col("value_concepts")
+    exact = F.try_element_at(concepts, F.regexp_replace(F.trim(given), "^['\"]+|['\"]+$", ""))
+    lowered = F.transform_keys(concepts, lambda k, _: value_key(k))
+    normal = F.try_element_at(lowered, value_key(given))
+    missing = F.exists(F.coalesce("missing_markers", F.array().cast("array<string>")), lambda m: value_key(m) == value_key(given))
+    status = F.when(concepts.isNull(), "no_value_map").when(exact.isNotNull(), "exact_match").when(normal.isNotNull(), "normalised_match").when(missing, "missing_marker").otherwise("unmapped_literal")
+    return joined.withColumns({"status": status, "concept": F.when(concepts.isNotNull(), F.coalesce(exact, normal))}).drop("_t", "_c", "value_concepts", "missing_markers")
+
+
+def posting_effect(element: Column, side: Column) -> Column:
+    """Whether a posting on a side increases or decreases an element of the accounts."""
+    debit = element.isin("asset", "expense")
+    credit = element.isin("liability", "income", "equity")
+    return F.when((debit & (side == "debit")) | (credit & (side == "credit")), "increase").when((debit & (side == "credit")) | (credit & (side == "debit")), "decrease")
+
+
+_REFS = [(1, "ledger", "credit"), (2, None, " Amount"), (3, "vendors", "BALANCE"), (4, None, "balance"), (5, None, "nothing"), (6, None, "rate")]
+_VALUES = [(1, "ledger", "Account_Type", "'AR'"), (2, "ledger", "account_type", "ap"), (3, "ledger", "AR_paid", "--"), (4, "ledger", "Transaction_TYPE", "refund"), (5, "ledger", "Amount", "5")]
+
+
+def demo_references(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_REFS, "ref int, table string, column string")
+
+
+def demo_values(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_VALUES, "ref int, table string, column string, value string")
+
+
+def _rows(rows) -> str:
+    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
+
+
+LOOKUP_SQL = f"""WITH n AS (SELECT * FROM (VALUES {_rows([a[:3] for a in ANNOTATIONS])}) t("table", "column", semantic_role)),
+r AS (SELECT * FROM (VALUES {_rows(_REFS)}) t(ref, tab, col))
+SELECT CAST(ref AS INT) AS ref, "table", "column", semantic_role,
+  coalesce(tab IS NULL AND (SELECT count(*) FROM n m WHERE lower(m."column") = lower(trim(col))) > 1, false) AS ambiguous
+FROM r LEFT JOIN n ON lower(trim(col)) = lower("column") AND (tab IS NULL OR lower(tab) = lower("table"))"""
+VALUES_SQL = "SELECT * FROM (VALUES (1, '''AR''', 'exact_match', 'accounts_receivable'), (2, 'ap', 'normalised_match', 'accounts_payable'), (3, '--', 'missing_marker', NULL), (4, 'refund', 'unmapped_literal', NULL), (5, '5', 'no_value_map', NULL)) t(ref, value, status, concept)"
