@@ -425,3 +425,82 @@ def guarded_execution(spark, d):
     from ledgerlens.plans import execute
 
     return execute.demo(spark, ledger_lines(spark, d))
+
+
+@query("posting_effect", led_sql("SELECT a.element, s.side, CASE WHEN (a.element IN ('asset', 'expense')) = (s.side = 'debit') THEN 'increase' ELSE 'decrease' END AS effect FROM (VALUES ('asset'), ('expense'), ('liability'), ('income'), ('equity')) a(element), (VALUES ('debit'), ('credit')) s(side)"))
+def posting_effect(spark, d):
+    elements = spark.createDataFrame([(e, s) for e in ("asset", "expense", "liability", "income", "equity") for s in ("debit", "credit")], "element string, side string")
+    return elements.withColumn("effect", annotate.posting_effect(F.col("element"), F.col("side")))
+
+
+@query("absence_signals", led_sql("SELECT Transaction_ID, CASE WHEN count(Account) > 0 THEN 'present' ELSE 'missing' END AS account, CASE WHEN count(*) FILTER (WHERE Debit <> 0) > 0 THEN 'present' ELSE 'none' END AS debit, CASE WHEN count(*) FILTER (WHERE Credit <> 0) > 0 THEN 'present' ELSE 'none' END AS credit FROM led GROUP BY 1"))
+def absence_signals(spark, d):
+    told = lambda test, absent: F.when(test, "present").otherwise(absent)
+    return ledger_lines(spark, d).groupBy("Transaction_ID").agg(told(F.count("Account") > 0, "missing").alias("account"), told(F.count_if(F.col("Debit") != 0) > 0, "none").alias("debit"), told(F.count_if(F.col("Credit") != 0) > 0, "none").alias("credit"))
+
+
+@query("asa_deltas", ev_sql(f"SELECT {r0(f'count(*) FILTER (WHERE after_group = {COR})', 'count(*)')} - {r0(f'count(*) FILTER (WHERE before_group = {COR})', 'count(*)')} AS ex_delta FROM ev WHERE before_group <> 'D_ambiguous'"))
+def asa_deltas(spark, d):
+    share = lambda c: S.rate(F.count_if(F.col(c) == A), F.count("*"))
+    return evaluation_records(spark, d).where("before_group <> 'D_ambiguous'").agg((share("after_group") - share("before_group")).alias("ex_delta"))
+
+
+@query("confidence_table", ev_sql(f"SELECT mode, {n_if('probes_used >= 4')} AS high, {n_if(f'probes_used >= 4 AND before_group = {COR} AND answers_question')} AS high_right, {n_if('probes_used >= 4 AND before_group = ' + chr(39) + 'B_wrong_executable' + chr(39) + ' AND answers_question')} AS high_wrong FROM ev GROUP BY mode"))
+def confidence_table(spark, d):
+    sure, said = F.col("probes_used") >= 4, F.col("answers_question")
+    return evaluation_records(spark, d).groupBy("mode").agg(F.count_if(sure).alias("high"), metrics.count_if(sure & (F.col("before_group") == A) & said).alias("high_right"), metrics.count_if(sure & (F.col("before_group") == B) & said).alias("high_wrong"))
+
+
+@query("common_denominator", ev_sql("SELECT count(DISTINCT n) <= 1 AS common FROM (SELECT count(*) AS n FROM ev GROUP BY mode)"))
+def common_denominator(spark, d):
+    return evaluation_records(spark, d).groupBy("mode").agg(F.count("*").alias("n")).agg((F.count_distinct("n") <= 1).alias("common"))
+
+
+@query("enumerated_order", ev_sql("SELECT mode, CAST(CASE mode WHEN 'none' THEN 1 WHEN 'hybrid' THEN 2 ELSE 3 END AS BIGINT) AS place, CAST(count(*) AS BIGINT) AS n FROM ev GROUP BY mode ORDER BY place"))
+def enumerated_order(spark, d):
+    order = F.array(*[F.lit(m) for m in ("none", "hybrid", "probe")])
+    return evaluation_records(spark, d).groupBy("mode").agg(F.count("*").alias("n")).withColumn("place", F.array_position(order, F.col("mode"))).orderBy("place")
+
+
+@query("predicate_symmetric_difference", "SELECT o_orderkey AS idx, CASE WHEN o_orderkey % 2 = 0 THEN ['b', 'c'] ELSE ['a'] END AS changed FROM orders")
+def predicate_symmetric_difference(spark, d):
+    a = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+    b = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("a"), F.lit("c"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.array_union(F.array_except(a, b), F.array_except(b, a)).alias("changed"))
+
+
+@query("candidate_classification", ev_sql("SELECT idx, CASE WHEN before_group = 'D_ambiguous' THEN 'skip: ambiguous' WHEN before_group = 'C_non_executable' THEN CASE WHEN idx % 4 = 0 THEN 'skip: no sql' ELSE 'execution' END WHEN idx % 10 = 0 THEN 'skip: abstained' WHEN answers_question IS DISTINCT FROM false THEN 'skip: not rejected' WHEN idx % 3 = 0 THEN 'skip: no mismatch type' WHEN idx % 7 = 0 THEN 'skip: no hint' ELSE 'semantic: financial_object_error' END AS kind FROM ev"))
+def candidate_classification(spark, d):
+    from ledgerlens.plans.verdicts import candidate
+
+    key = F.col("idx")
+    mismatch, hint = F.when(key % 3 != 0, "financial_object_error"), F.when(key % 7 == 0, " ").otherwise("use the vendor")
+    return evaluation_records(spark, d).select("idx", candidate(F.col("before_group"), F.col("answers_question"), key % 10 == 0, mismatch, hint, F.when(key % 4 != 0, "select 1")).alias("kind"))
+
+
+@query("verdict_normalisation", "SELECT o_orderkey AS idx, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN false END END AS answers, o_orderkey % 2 = 0 AS flag FROM orders")
+def verdict_normalisation(spark, d):
+    from ledgerlens.plans.verdicts import truth, verdict
+
+    key = F.col("o_orderkey")
+    evidence = F.when(key % 3 == 0, " Sufficient").when(key % 3 == 1, "insufficient").otherwise("unclear")
+    mismatch = F.when(key % 2 == 0, "computation_logic_error").otherwise("other")
+    return table(spark, d, "orders").select(key.alias("idx"), verdict(evidence, mismatch).alias("answers"), truth(F.when(key % 2 == 0, "Yes").otherwise(" no ")).alias("flag"))
+
+
+@query("profile_status", "SELECT o_orderkey AS idx, CASE o_orderkey % 4 WHEN 0 THEN 'OK' WHEN 1 THEN 'PARSE_ERROR' WHEN 2 THEN 'EMPTY' END AS status FROM orders")
+def profile_status(spark, d):
+    from ledgerlens.plans.verdicts import profile_status as status
+
+    key = F.col("o_orderkey")
+    text = F.when(key % 4 == 0, '{"status": "ok"}').when(key % 4 == 1, '{"profile": {"status": "parse_error"}}').when(key % 4 == 2, "Tables: t\n[Status] EMPTY\n").otherwise("nothing")
+    return table(spark, d, "orders").select(key.alias("idx"), status(text).alias("status"))
+
+
+@query("repair_chain_stub")
+def repair_chain_stub(spark, d):
+    from ledgerlens.plans.verdicts import repair_chain
+
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.lit("select 0").alias("sql"), F.when(F.col("o_orderkey") % 2 == 0, "financial_measure_error").otherwise("computation_logic_error").alias("mismatch"))
+    follow = {"financial_measure_error": "financial_object_error", "financial_object_error": None}
+    return repair_chain(rows, lambda sql, m: None if m == "computation_logic_error" else f"{sql}, {m}", lambda sql, m: follow[m])

@@ -20,7 +20,7 @@ def oracle():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    value = lambda x: None if pd.isna(x) else round(float(x), 4) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    value = lambda x: str(list(x)) if hasattr(x, "__len__") and not isinstance(x, str) else None if pd.isna(x) else round(float(x), 4) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted(tuple(map(repr, map(value, r))) for r in frame.astype(object).values.tolist())
 
 
