@@ -504,3 +504,10 @@ def repair_chain_stub(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.lit("select 0").alias("sql"), F.when(F.col("o_orderkey") % 2 == 0, "financial_measure_error").otherwise("computation_logic_error").alias("mismatch"))
     follow = {"financial_measure_error": "financial_object_error", "financial_object_error": None}
     return repair_chain(rows, lambda sql, m: None if m == "computation_logic_error" else f"{sql}, {m}", lambda sql, m: follow[m])
+
+
+@query("semantic_profile")
+def semantic_profile(spark, d):
+    from ledgerlens.plans.profile import profiles_frame
+
+    return profiles_frame(spark)

@@ -1,0 +1,13 @@
+from ledgerlens.plans.facts import parse
+from ledgerlens.plans.profile import QUERIES, profile
+
+
+def test_profiles(spark):
+    first, second, third, fourth, fifth, sixth = (profile(parse(spark, q)) for q in QUERIES)
+    assert first["scope"][0]["status"] == ["normalised_match"] and first["scope"][0]["concepts"] == ["invoice"]
+    assert first["measurement"] == [{"function": "sum", "column": "Credit", "measure": "flow", "unit": "currency", "side": "credit"}]
+    assert first["absence"]["date_filter"] == "present" and first["topology"]["grain"] == "global_summary"
+    assert second["topology"]["grain"] == "account_level" and second["topology"]["limit"] == 3
+    assert third["measurement"][0]["element"] == "asset" and third["topology"]["grain"] == "raw_rows"
+    assert fourth["scope"][0]["status"] == ["missing_marker"] and len(fourth["warnings"]) == 2
+    assert fifth["status"] == "UNSUPPORTED_LINEAGE" and sixth["status"] == "PARSE_ERROR"
