@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
@@ -58,6 +64,34 @@ def fold(column: str, folds: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
+#: Characters of texts (in bytes) that a worker turns into Python strings at once.
+PART_BYTES = 1 << 19
+
+
+def text_parts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
+    """The texts of an Arrow batch in runs of about ``PART_BYTES`` (a longer text is a run of its own), each with its first row; null counts as empty.
+
+    At the end of a batch the worker gives free memory back, as workers live on and share a machine.
+    """
+    own = batch.column(batch.schema.get_field_index(column))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(own):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + PART_BYTES, "right")))
+        yield begin, [t or "" for t in own.slice(begin, end - begin).to_pylist()]
+        begin = end
+    del own
+    give_back()
+
+
+def give_back() -> None:
+    """Returns free memory of the Arrow pool and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The texts of an Arrow batch; null counts as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

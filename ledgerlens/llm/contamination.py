@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import texts_of
+from ledgerlens.llm.common import text_parts
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -202,7 +202,7 @@ def _searcher(found, item_type: pa.DataType):
         index = found()
         for batch in batches:
             at, items, held, sizes = [], [], [], []
-            for k, text in enumerate(texts_of(batch, "t")):
+            for k, text in enumerate(t for _, part in text_parts(batch, "t") for t in part):
                 for item, count, size in index.search(text):
                     at.append(k)
                     items.append(item)
@@ -215,14 +215,13 @@ def _searcher(found, item_type: pa.DataType):
 
 def without_items(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that contain no item; nothing is shuffled."""
-    at = docs.columns.index(text_column)
     for block in _item_blocks(benchmark, item_column, item_text_column, pa.string(), block_chars):
         found = _index(docs.sparkSession.sparkContext.broadcast(block), threshold, width)
 
         def run(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
             index = found()
             for batch in batches:
-                yield batch.filter(pa.array([not index.search(t or "") for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not index.search(t) for _, part in text_parts(batch, text_column) for t in part], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import fold, texts_of
+from ledgerlens.llm.common import fold, text_parts
 from ledgerlens.llm.memo import slices
 
 ORDER = 4
@@ -307,16 +307,13 @@ def identify(df: DataFrame, models: LanguageModels | None, id_column: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            texts = texts_of(batch, text_column)
-            done = 0
-            for part in slices(texts):
+            for done, part in text_parts(batch, text_column):
                 if own is None:
                     found = [UNDETERMINED] * len(part), *[np.zeros(len(part))] * 2, np.zeros(len(part), bool)
                 else:
                     found = own.predict(part)
                 kept = [batch.column(k).slice(done, len(part)) for k in range(batch.num_columns) if out_index[k]]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x) for x in found)], names=names)
-                done += len(part)
 
     columns = list(dict.fromkeys([*plain, *keep]))
     out_index = [c == id_column or c in keep for c in columns]

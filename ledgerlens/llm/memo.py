@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 #: Words of one generation; a worker holds two generations at most.
-WORDS = 300_000
+WORDS = 150_000
 #: Characters of texts that are split into words at once.
 SLICE = 1 << 20
 

@@ -33,7 +33,7 @@ SAMPLE = 16_384
 #: Lists: the root of the number of vectors, at most this many.
 MOST_LISTS = 4096
 #: Share of the lists that a query probes, and the least number of them.
-PROBED, LEAST_PROBED = 0.6, 12
+PROBED, LEAST_PROBED = 0.6, 24
 #: Vectors of one chunk, and queries of one group.
 CHUNK, QUERIES = 20_000, 512
 #: Columns of one block, and the test's confidence (deviations).

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import texts_of
+from ledgerlens.llm.common import text_parts
 from ledgerlens.llm.memo import WordMemo, slices
 
 MARK = "▁"
 #: Answers of the pair test that a worker keeps.
-PAIRS = 1_000_000
+PAIRS = 400_000
 
 
 class PrefixTableCodec:
@@ -255,7 +255,7 @@ def encode(df: DataFrame, model_path: str, id_column: str = "doc_id", text_colum
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _ids_array(list(own.encode_many(texts_of(batch, "t"))))], names=["i", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _ids_array([ids for _, part in text_parts(batch, "t") for ids in own.encode_many(part)])], names=["i", "ids"])
 
     kind = df.schema[id_column].dataType.simpleString()
     return df.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInArrow(run, f"i {kind}, ids array<int>").withColumnRenamed("i", id_column)
@@ -289,7 +289,7 @@ def round_trip(df: DataFrame, model_path: str, id_column: str = "doc_id", text_c
         sha = lambda text: hashlib.sha256(text.encode("utf-8")).hexdigest()
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
-            for ids in own.encode_many(texts_of(batch, "t")):
+            for ids in (ids for _, part in text_parts(batch, "t") for ids in own.encode_many(part)):
                 counts.append(len(ids))
                 ids_sha.append(sha(",".join(map(digits, ids))))
                 text_sha.append(sha(own.decode(ids)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import fold, texts_of
+from ledgerlens.llm.common import fold, text_parts
 from ledgerlens.llm.memo import slices
 
 #: Bound of each of the two samples that the classifier is fitted on.
@@ -229,8 +229,7 @@ def scored(df: DataFrame, model: QualityModel | None, id_column: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            texts = texts_of(batch, "t")
-            parts = [own.scores(part) if own else np.full(len(part), 0.5) for part in slices(texts)]
+            parts = [own.scores(part) if own else np.full(len(part), 0.5) for _, part in text_parts(batch, "t")]
             score = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["i", "score", "predicted"])
 
@@ -242,13 +241,11 @@ def scored(df: DataFrame, model: QualityModel | None, id_column: str = "doc_id",
 def good_rows(docs: DataFrame, model: QualityModel | None, text_column: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that the model calls good; nothing is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some hundred numbers
-    at = docs.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            parts = [own.scores(part) >= 0.5 if own else np.ones(len(part), bool) for part in slices(texts)]
+            parts = [own.scores(part) >= 0.5 if own else np.ones(len(part), bool) for _, part in text_parts(batch, text_column)]
             yield batch.filter(pa.array(np.concatenate(parts) if parts else np.zeros(0, bool)))
 
     return docs.mapInArrow(run, docs.schema)

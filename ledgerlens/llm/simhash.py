@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import texts_of, written
+from ledgerlens.llm.common import text_parts, written
 
 #: Entries of one table list that are compared at once.
 BLOCK = 2048
@@ -63,7 +63,7 @@ def with_fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, words_per_shingle) for t in texts_of(batch, "t")], np.uint64)
+            prints = np.array([fingerprint(t, words_per_shingle) for _, part in text_parts(batch, "t") for t in part], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["i", "print"])
 
     kind = df.schema[id_column].dataType.simpleString()

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import fresh_path, texts_of
+from ledgerlens.llm.common import fresh_path, text_parts
 from ledgerlens.llm.memo import slices
 
 #: Appended to every document.
@@ -149,17 +149,14 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, id_column: str =
         end = np.int32(end_id).tobytes()
         part, first = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = texts_of(batch, "t")
-            done = 0
-            for slice_ in slices(texts):
-                rows = [ids + end for ids in own.encode_many(slice_)]
+            for done, part_texts in text_parts(batch, "t"):
+                rows = [ids + end for ids in own.encode_many(part_texts)]
                 sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
                 ends = np.cumsum(sizes)
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
                 columns = [batch.column(0).slice(done, len(rows)), pa.array(np.full(len(rows), part, np.int32)), pa.array(first + ends - sizes), pa.array(sizes), ids]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "first", "n_tokens", "ids"])
                 first += int(ends[-1])
-                done += len(rows)
 
     held = df.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("t"))
     held = held.withColumn("spread", F.xxhash64("t")).repartitionByRange("doc_id", "spread").sortWithinPartitions("doc_id", "spread")
