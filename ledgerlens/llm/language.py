@@ -37,6 +37,8 @@ SAMPLE_BYTES = 1 << 16
 DEVIATIONS = 4.0
 KEPT = 0.995
 MARGIN = 1.1
+#: Calibration texts that a language needs for a limit of its own.
+CALIBRATED = 8
 UNDETERMINED = "und"
 
 _ODD = np.random.default_rng(11).integers(1 << 62, size=ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -221,8 +223,13 @@ class LanguageModels:
         total = -np.add.reduceat(logs, begins, axis=0, dtype=np.float64)
         return total / np.maximum(count, 1)[:, None], count, letters
 
-    def calibrate(self, texts: dict[str, list[str]]) -> None:
-        """The limit of rejection, and how sharply differences tell languages apart."""
+    def calibrate(self, texts: dict[str, list[str]], learned: dict[str, list[str]] | None = None) -> None:
+        """The limit of rejection, and how sharply differences tell languages apart.
+
+        A language with too few texts for a limit of its own gets the others'
+        median centre and spread, or a higher centre if its texts (``learned``
+        has those that its model saw) have one under models of half of them.
+        """
         rows, counts, truth = [], [], []
         for col, lang in enumerate(self.languages):
             held = [t for t in texts.get(lang, []) if t]
@@ -236,7 +243,7 @@ class LanguageModels:
         ratios = []
         for col in range(len(self.languages)):
             own, length = entropy[label == col, col], count[label == col]
-            if len(own) < 8:
+            if len(own) < CALIBRATED:
                 continue
             self.centre[col] = np.median(own)
             # by a median, so that stray labels do not count
@@ -244,6 +251,7 @@ class LanguageModels:
             ratios.append((own - DEVIATIONS * self.within[col] / np.sqrt(length)) / self.centre[col])
         if ratios:
             self.limit = MARGIN * max(1.0, float(np.quantile(np.concatenate(ratios), KEPT)))
+        self._pool(texts, learned or {})
         if len(entropy):
             rank = []
             for heat in (heats := np.geomspace(0.005, 1.0, 12)):
@@ -252,6 +260,24 @@ class LanguageModels:
                 rank.append(-np.log(np.maximum(p, 1e-6)).mean())
             self.heat = float(heats[int(np.argmin(rank))])
 
+    def _pool(self, texts: dict[str, list[str]], learned: dict[str, list[str]]) -> None:
+        """Centre and spread of the languages without a limit of their own."""
+        own = np.isfinite(self.centre)
+        crossed = {}
+        for col in np.flatnonzero(~own).tolist():
+            lang = self.languages[col]
+            found = _crossed([*learned.get(lang, []), *texts.get(lang, [])])
+            if len(found):
+                crossed[col] = float(np.median(found))
+        centres = self.centre[own] if own.any() else np.array(list(crossed.values()))
+        if not len(centres):
+            return
+        pooled = float(np.median(centres))
+        if own.any():
+            self.within[~own] = np.median(self.within[own])
+        for col in np.flatnonzero(~own).tolist():
+            self.centre[col] = max(pooled, crossed.get(col, pooled))
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, probability, cross-entropy and acceptance of each text."""
         entropy, count, letters = self.entropies(texts)
@@ -265,6 +291,15 @@ class LanguageModels:
         return names, np.where(some, score, 0.0), np.where(some, lowest, 0.0), accepted
 
 
+def _crossed(texts: list[str]) -> np.ndarray:
+    """Cross-entropies of a language's few texts, each half under a model of the other half."""
+    texts = [t for t, n in zip(texts, normalised(texts)[2].tolist()) if n] if texts else []
+    if len(texts) < 2:
+        return np.empty(0)
+    halves = texts[::2], texts[1::2]
+    return np.concatenate([LanguageModels({"": a}).entropies(b)[0][:, 0] for a, b in (halves, halves[::-1])])
+
+
 def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", sample: int = SAMPLE) -> LanguageModels | None:
     """Models from a bounded sample of labelled rows, drawn by a hash of the id; None without any labelled text.
 
@@ -290,7 +325,7 @@ def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
     if not texts:
         return None
     models = LanguageModels(texts)
-    models.calibrate(held)
+    models.calibrate(held, texts)
     return models
 
 

@@ -97,3 +97,16 @@ def test_without_rows_or_labels(spark):
     assert language.identified(empty).collect() == []
     bare = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.accepted) for r in language.identified(bare).collect()] == [("und", False)]
+
+
+def test_a_rare_language_rejects_foreign_texts(spark):
+    rare = "el zorro y perro corren sobre la colina con unos amigos que quieren jugar fuera mientras otro duerme en casa".split()
+    rows = [(k, t, "en") for k, t in enumerate(sentences(EN, 300, 3))] + [(1000 + k, t, "fr") for k, t in enumerate(sentences(FR, 300, 4))]
+    rows += [(2000 + k, t, "es") for k, t in enumerate(sentences(rare, 5, 5))]
+    models = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert models.languages == ["en", "es", "fr"] and np.isfinite(models.centre).all()
+    foreign = ["привет мир как дела сегодня у вас всех", "το γρήγορο καφέ αλεπού πηδά πάνω από", "这是一个关于狐狸和狗的故事"]
+    assert not models.predict(foreign)[3].any()
+    names, _, _, accepted = models.predict(sentences(rare, 50, 6))
+    assert names == ["es"] * 50 and accepted.all()
+    assert models.predict(sentences(EN, 50, 7))[3].all()
