@@ -31,6 +31,8 @@ ORDER = 4
 #: Bound of the sample: about so many labelled documents of each language, and so many of all languages together.
 SAMPLE = 600
 SAMPLE_ALL = 20_000
+#: Languages that are learned at most, the most frequent first.
+MOST_LANGUAGES = SAMPLE_ALL // 20
 #: Documents over this many bytes are left out of the sample (never out of the prediction).
 SAMPLE_BYTES = 1 << 16
 #: Rejection: deviations that chance may add in short texts, share of the calibration texts below the limit, and the margin over it.
@@ -305,10 +307,13 @@ def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
 
     The sample holds about ``sample`` documents of each language (fewer where
     there are more than ``SAMPLE_ALL / sample`` languages), none over
-    ``SAMPLE_BYTES`` bytes. Every fifth document is kept for calibration.
+    ``SAMPLE_BYTES`` bytes. Every fifth document is kept for calibration, but
+    none of a language that would have no document with a letter for its model.
+    Of more than ``MOST_LANGUAGES`` values of ``lang_column`` the most frequent
+    are learned; documents of the others go to a learned one or are rejected.
     """
     usable = labelled.where(F.col(lang_column).isNotNull() & (F.octet_length(text_column) > 0) & (F.octet_length(text_column) <= SAMPLE_BYTES))
-    rows = labelled.where(F.col(lang_column).isNotNull()).groupBy(F.col(lang_column).alias("g")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(SAMPLE_ALL // 20).collect()
+    rows = labelled.where(F.col(lang_column).isNotNull()).groupBy(F.col(lang_column).alias("g")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(MOST_LANGUAGES).collect()
     if not rows:
         return None
     each = min(sample, max(20, SAMPLE_ALL // len(rows)))
@@ -321,6 +326,9 @@ def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "la
     held: dict[str, list[str]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r.g, r.draw, r.t)):
         (held if r.draw % 5 == 0 else texts).setdefault(r.g, []).append(r.t)
+    for g in list(held):
+        if not normalised(texts.get(g, [""]))[2].sum():
+            texts.setdefault(g, []).extend(held.pop(g))
     texts = {g: own for g, own in texts.items() if normalised(own)[2].sum()}
     if not texts:
         return None

@@ -110,3 +110,14 @@ def test_a_rare_language_rejects_foreign_texts(spark):
     names, _, _, accepted = models.predict(sentences(rare, 50, 6))
     assert names == ["es"] * 50 and accepted.all()
     assert models.predict(sentences(EN, 50, 7))[3].all()
+
+
+def test_every_language_has_a_model(spark):
+    rare = "el zorro y perro corren sobre la colina con unos amigos que quieren jugar".split()
+    own = sentences(rare, 40, 8)
+    for one in range(40):  # each alone: about every fifth falls to the calibration
+        frame = spark.createDataFrame([(one, own[one], "es"), (90, "12 34", "en"), (91, "the fox runs", "en")], "doc_id long, text string, lang string").coalesce(1)
+        draw = frame.where("lang = 'es'").selectExpr("pmod(xxhash64('sample', doc_id), 1 << 30) as d").first().d
+        if draw % 5 == 0:
+            break
+    assert draw % 5 == 0 and "es" in language.learn(frame).languages
