@@ -3,14 +3,17 @@
 A candidate block is a run of sentences around words that licences use. Each
 block is compressed alone and with every template as a raw zstandard
 dictionary; the template that saves the most bytes knows the block's wording
-best. The best few are then compared with the block word by word, and the
-first whose wording differs little, and whose key words are all there, is the
-block's licence. Blocks repeat a lot, so each worker remembers its answers.
+best. The templates whose key words are all there are compared with the block
+word by word, and the one whose wording differs least is a notice. The text
+before and after the notice's words is then searched in the same way, so
+neighbouring notices are all found. Blocks repeat a lot, so each worker
+remembers its answers.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -51,8 +54,6 @@ TEMPLATES: list[tuple[str, str, str]] = [
 # Words near which a block may lie.
 HINTS = ("licens", "licenc", "rights reserved", "permission is hereby", "redistribut", "public domain", "creative commons")
 
-#: Best templates by saved bytes whose wording is compared.
-RANKED = 4
 #: Largest share of words that may differ, of the template's words.
 DIFFERENT = 0.2
 #: Sentences without a hint that two sentences of one block may have between them.
@@ -99,39 +100,64 @@ class Scanner:
             raw = " ".join(wording(text)).encode()
             given = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given.append(zstandard.ZstdCompressor(dict_data=given, **options))
+        #: Words that a notice may cover.
+        self.longest = int(max(len(words) for _, _, words in self.templates) * (1 + DIFFERENT))
         self.match = lru_cache(maxsize=memo)(self._match)
 
-    def reductions(self, block: tuple[str, ...]) -> list[tuple[float, int, int]]:
-        """Of every template: share of the block's compressed size that it saves, bytes saved, its number; best first."""
+    def saved(self, block: tuple[str, ...], numbers: list[int]) -> list[int]:
+        """Bytes of the block's compressed size that each of the numbered templates saves."""
         raw = " ".join(block).encode("utf-8", "surrogatepass")
         plain = len(self.alone.compress(raw))
-        found = [(plain - len(c.compress(raw)), n) for n, c in enumerate(self.given)]
-        return sorted(((saved / plain, saved, n) for saved, n in found), key=lambda f: (-f[1], f[2]))
-
-    def _match(self, block: tuple[str, ...]) -> tuple[str, int, int, int] | None:
-        """Licence, bytes saved, and the words missing from and added to the template's wording; None without a winner."""
-        best = None
-        ranked = self.reductions(block)
-        # equal reductions are compared all: a short block may hold two templates' words
-        least = ranked[min(RANKED, len(ranked)) - 1][1]
-        for _, saved, number in ranked:
-            if saved <= 0 or saved < least:
-                break
+        return [plain - len(self.given[n].compress(raw)) for n in numbers]
+
+    def keyed(self, block: tuple[str, ...]) -> list[int]:
+        """Templates whose key words are all in the block."""
+        held = set(block)
+        return [n for n, (_, key, _) in enumerate(self.templates) if held.issuperset(key)]
+
+    def _match(self, block: tuple[str, ...]) -> tuple[tuple[str, int, int, int], int, int] | None:
+        """The best notice of a block, and its first word and the one after its last; None without one.
+
+        A notice is: licence, bytes saved, and the words missing from and added to the template's wording.
+        """
+        fits = []
+        numbers = self.keyed(block)
+        for number, saved in zip(numbers, self.saved(block, numbers) if numbers else ()):
             name, key, words = self.templates[number]
-            missing, added = differences(words, list(block))
-            if missing + added <= DIFFERENT * len(words) and not set(key) - set(block):
-                rank = ((missing + added) / len(words), -saved, number)
-                if best is None or rank < best[0]:
-                    best = rank, (name, saved, missing, added)
-        return best and best[1]
+            found = alignment(words, block, key) if saved > 0 else None
+            if found and found[0] + found[1] <= DIFFERENT * len(words):
+                missing, added, first, last = found
+                fits.append((((missing + added) / len(words), -saved, number), (name, saved, missing, added), first, last))
+        if not fits:
+            return None
+        _, notice, first, last = min(fits)
+        # a shorter template of the same licence may fit a part of the notice better
+        for _, other, p, q in sorted(fits, key=lambda f: f[2]):
+            if other[0] == notice[0] and p < last and q > first:
+                first, last = min(first, p), max(last, q)
+        return notice, first, last
+
+
+def alignment(template: list[str], block: tuple[str, ...] | list[str], key: list[str] = ()) -> tuple[int, int, int, int] | None:
+    """The stretch of the block that differs least from the template and has all key words: words missing, words added, its first word and the one after its last."""
+    matches = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
+    best = None
+    for i in range(len(matches)):
+        held = 0
+        for m in matches[i:]:
+            held += m.size
+            first, last = matches[i].b, m.b + m.size
+            missing, added = len(template) - held, last - first - held
+            rank = (missing + added, missing)
+            if (best is None or rank < best[0]) and set(block[first:last]).issuperset(key):
+                best = rank, (missing, added, first, last)
+    return best and best[1]
 
 
 def differences(template: list[str], block: list[str]) -> tuple[int, int]:
     """Words of the template that the block lacks, and words that stand between its matches; what lies around them is free."""
-    matches = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
-    held = sum(m.size for m in matches)
-    added = (matches[-1].b + matches[-1].size - matches[0].b - held) if matches else 0
-    return len(template) - held, added
+    found = alignment(template, block)
+    return found[:2] if found else (len(template), 0)
 
 
 @lru_cache(maxsize=2)
@@ -139,27 +165,57 @@ def scanner(templates: tuple[tuple[str, str, str], ...]) -> Scanner:
     return Scanner(templates)
 
 
+def _sentences(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    edges = [a, *(x for m in _CUT.finditer(text, a, b) for x in m.span()), b]
+    return list(zip(edges[::2], edges[1::2]))
+
+
+def _notices(text: str, a: int, b: int, own: Scanner) -> list[tuple[int, int, tuple[str, int, int, int]]]:
+    """Notices between two places of a text, in order: begin of the first word, end of the last, and the notice."""
+    out, todo = [], [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if not _HINT.search(text, a, b):
+            continue
+        at = [m.span() for m in _WORD.finditer(text, a, b)]
+        words = tuple(text[p:q].lower() for p, q in at)
+        hit = own.match(words) if words else None
+        if not hit and own.keyed(words):
+            # matches of several notices may be mixed up: search every run of sentences that a notice may cover, long ones first
+            spans = [x for x in _sentences(text, a, b) if _WORD.search(text, *x)]
+            begins = [bisect_left(at, (p, 0)) for p, _ in spans] + [len(at)]
+            runs = [(i, j) for i in range(len(spans)) for j in range(i + 1, len(spans) + 1) if j - i < len(spans) and (j - i < 3 or begins[j - 1] - begins[i + 1] <= own.longest)]
+            for i, j in sorted(runs, key=lambda r: (begins[r[0]] - begins[r[1]], r)):
+                part = own.match(words[begins[i] : begins[j]])
+                if part:
+                    hit = part[0], part[1] + begins[i], part[2] + begins[i]
+                    break
+        if hit:
+            notice, first, last = hit
+            begin, end = at[first][0], at[last - 1][1]
+            out.append((begin, end, notice))
+            todo += [(a, begin), (end, b)]
+    return sorted(out)
+
+
 def scan_text(text: str, own: Scanner) -> list[tuple[int, int, str, int, int, int]]:
-    """Confirmed blocks of a text: begin, end, licence, bytes saved, words missing, words added.
+    """Confirmed notices of a text: begin, end, licence, bytes saved, words missing, words added.
 
-    A block that holds two notices is compared sentence by sentence too: the
-    whole block first, then its parts.
+    Every candidate block is searched until what lies around its notices holds
+    no other. A notice spans its sentences, as far as no other notice lies in them.
     """
     found = []
     for a, b in candidate_blocks(text):
-        block = tuple(wording(text[a:b]))
-        parts = [(a, b)]
-        cuts = [(m.start(), m.end()) for m in _CUT.finditer(text, a, b)]
-        if cuts:
-            edges = [a, *(x for cut in cuts for x in cut), b]
-            single = [(p, q) for p, q in zip(edges[::2], edges[1::2]) if _HINT.search(text, p, q)]
-            if not (block and own.match(block)):
-                parts = single
-        for p, q in parts:
-            words = tuple(wording(text[p:q]))
-            hit = own.match(words) if words else None
-            if hit:
-                found.append((p, q, *hit))
+        spans = _sentences(text, a, b)
+        notices = _notices(text, a, b, own)
+        for k, (begin, end, notice) in enumerate(notices):
+            p = max(x for x, _ in spans if x <= begin)
+            q = min(y for _, y in spans if y >= end)
+            if k:
+                p = max(p, notices[k - 1][1])
+            if k + 1 < len(notices):
+                q = min(q, notices[k + 1][0])
+            found.append((p, q, *notice))
     return found
 
 

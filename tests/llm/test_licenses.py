@@ -61,3 +61,44 @@ def test_query_equals_brute_force(spark):
     want = sorted((-1 if i is None else i, name) for i, t, _ in rows for name in brute(t or ""))
     assert got == want and len(got) > 40
     assert licenses.licence_blocks(frame.limit(0)).collect() == []
+
+
+def apart(text):
+    """Notices by every stretch of words of the text, whatever the blocks: the one that differs least first, then all that do not overlap it."""
+    words = licenses.wording(text)
+    fits = []
+    for n, (name, key, t) in enumerate(licenses.TEMPLATES):
+        w = licenses.wording(t)
+        for size in range(max(1, int(0.8 * len(w))), int(1.2 * len(w)) + 1):
+            for a in range(len(words) - size + 1):
+                part = words[a : a + size]
+                if set(key.split()) <= set(part):
+                    missing, added = licenses.differences(w, part)
+                    if missing + added <= licenses.DIFFERENT * len(w):
+                        fits.append(((missing + added) / len(w), -len(w), size, n, a, a + size, name))
+    out = []
+    for *_, a, b, name in sorted(fits):
+        if all(b <= p or a >= q for p, q, _ in out):
+            out.append((a, b, name))
+    return [name for _, _, name in sorted(out)]
+
+
+SHORT = [t for t in licenses.TEMPLATES if len(licenses.wording(t[2])) < 16]
+
+
+@pytest.mark.parametrize("between", ["\n", " ", "\nSome other words. "])
+def test_neighbouring_notices_are_all_found(between):
+    rng = random.Random(len(between))
+    for _ in range(25):
+        chosen = rng.sample(SHORT, rng.randrange(2, 5))
+        text = "Some words before.\n" + between.join(t for _, _, t in chosen) + "\nAnd some after."
+        found = licenses.scan_text(text, OWN)
+        assert [f[2] for f in found] == [name for name, _, _ in chosen] == apart(text), text
+        assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+        assert all(licenses.wording(t) == licenses.wording(text[f[0] : f[1]]) for f, (_, _, t) in zip(found, chosen))
+
+
+def test_edited_copies_of_one_notice():
+    one, two = (t for name, _, t in licenses.TEMPLATES if name == "GPL-3.0")
+    found = licenses.scan_text(f"{two.replace('redistribute', 'share')}\n{two.replace('published', 'printed')}\n{one}\nAll rights reserved.", OWN)
+    assert [f[2] for f in found] == ["GPL-3.0", "GPL-3.0", "GPL-3.0", "all-rights-reserved"]
