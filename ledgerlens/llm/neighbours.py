@@ -32,8 +32,8 @@ from ledgerlens.llm.common import written
 SAMPLE = 16_384
 #: Lists: the root of the number of vectors, at most this many.
 MOST_LISTS = 4096
-#: Share of the lists that a query probes, and the least number of them.
-PROBED, LEAST_PROBED = 0.6, 24
+#: Share of the lists that a query probes, at every size of the table.
+PROBED = 0.85
 #: Vectors of one chunk, and queries of one group.
 CHUNK, QUERIES = 20_000, 512
 #: Columns of one block, and the test's confidence (deviations).
@@ -155,7 +155,7 @@ def nearest(df: DataFrame, query_step: int = 100, k: int = 10, id_column: str =
     placed = written(vectors.mapInArrow(assign, f"v long, x {kind}, list int"), "listed")
     held = {r.list: r.n for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each list
     amounts = spark.sparkContext.broadcast(np.array([held.get(n, 0) for n in range(count)], np.int64))
-    probes = max(LEAST_PROBED, int(np.ceil(probed * count)))
+    probes = int(np.ceil(probed * count))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -60,3 +60,13 @@ def test_rows_that_take_no_part(spark):
 def test_empty_and_alone(spark):
     assert neighbours.nearest(frame(spark, []).limit(0)).collect() == []
     assert neighbours.nearest(frame(spark, [(0, [1.0, 2.0])])).collect() == []
+
+
+@pytest.mark.parametrize("count", [500, 2000])
+def test_recall_has_a_margin_at_every_size(spark, count):
+    x = np.random.default_rng(count).standard_normal((count, 64)).astype(np.float32)
+    rows = [(k, x[k].tolist()) for k in range(count)]
+    want = brute(rows, 10)
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(frame(spark, rows), 10).collect()}
+    hits = sum((q, v) in got for q, own in want.items() for _, v in own)
+    assert hits / (10 * len(want)) >= 0.95
