@@ -68,8 +68,8 @@ def fold(column: str, folds: int):
 PART_BYTES = 1 << 19
 
 
-def text_parts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
-    """The texts of an Arrow batch in runs of about ``PART_BYTES`` (a longer text is a run of its own), each with its first row; null counts as empty.
+def text_parts(batch: pa.RecordBatch, column: str, part_bytes: int = PART_BYTES) -> Iterator[tuple[int, list[str]]]:
+    """The texts of an Arrow batch in runs of about ``part_bytes`` (a longer text is a run of its own), each with its first row; null counts as empty.
 
     At the end of a batch the worker gives free memory back, as workers live on and share a machine.
     """
@@ -78,7 +78,7 @@ def text_parts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[s
     begin = 0
     while begin < len(own):
         before = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, before + PART_BYTES, "right")))
+        end = max(begin + 1, int(np.searchsorted(ends, before + part_bytes, "right")))
         yield begin, [t or "" for t in own.slice(begin, end - begin).to_pylist()]
         begin = end
     del own

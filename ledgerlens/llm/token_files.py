@@ -29,102 +29,252 @@ from ledgerlens.llm.memo import slices
 END_ID = 1
 STRIPE_BYTES = 16 << 20
 INDEX_ROWS = 2000
-#: White space at which every pre-tokenizer in use cuts.
-_CUTS = re.compile(r"[ \t\n\r]+")
-_ODD = re.compile("[\x1c-\x1f]")
-_TAILED = re.compile(r"([^\W\d_]+)([.,;:!?]+)").fullmatch
-#: Below this, libraries agree on what is a letter.
-_LATIN = "\u0250"
-#: Words of one generation of the memo.
-WORDS = 400_000
+#: Small Latin letters, on which all libraries agree.
+_SMALL = "a-z\u00df-\u00f6\u00f8-\u024f"
+#: Words of these and of ASCII signs and digits (no apostrophe: some begin a pre-token with letters) are cut into pre-tokens here.
+_EASY = re.compile(f"[!-&(-~{_SMALL}]+").fullmatch
+_PIECES = re.compile(f"[{_SMALL}]+|[0-9]|[!-&(-/:-@\\[-`{{-~]+").findall
+#: Words of the memo at most, bytes of a word that it holds at most, and words of one call of the library.
+WORDS = 1_500_000
+WIDEST = 23
+CALL = 2048
+#: Bytes of texts that are encoded at once.
+PART = 4 << 20
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ODD = np.random.default_rng(5).integers(1 << 62, size=4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class WordTable:
+    """A hash table in arrays from words of up to ``WIDEST`` bytes to entry numbers.
+
+    A word's key is its bytes and its length in three 64-bit integers, so equal
+    keys are equal words. Many words are looked up and entered at once.
+    """
+
+    def __init__(self, words: int):
+        self.limit = words
+        self.bits = max(4, int(words * 2).bit_length())
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        self.keys = np.empty((3, self.limit), np.uint64)
+        self.count = 0
+
+    @staticmethod
+    def key(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Keys of words in a buffer of bytes that goes on for 24 bytes after the last word."""
+        loads = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        key = np.empty((3, len(begins)), np.uint64)
+        for k, most in enumerate((8, 8, 7)):
+            np.bitwise_and(loads[begins + 8 * k], _MASKS[np.clip(sizes - 8 * k, 0, most)], out=key[k])
+        key[2] |= sizes.astype(np.uint64) << np.uint64(56)
+        return key
+
+    @staticmethod
+    def mixed(key: np.ndarray) -> np.ndarray:
+        h = (key[0] * _ODD[0]) ^ ((key[1] + (key[0] >> np.uint64(32))) * _ODD[1]) ^ (key[2] * _ODD[2])
+        h ^= h >> np.uint64(32)
+        h *= _ODD[3]
+        return h
+
+    def find(self, key: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        """Each word's entry, or -1."""
+        last = len(self.slots) - 1
+        at = (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.slots[at]
+        todo = np.flatnonzero((found >= 0) & ~self._same(found, key))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & last
+            found[todo] = self.slots[at[todo]]
+            todo = todo[(found[todo] >= 0) & ~self._same(found[todo], key[:, todo])]
+        return found
+
+    def _same(self, entry: np.ndarray, key: np.ndarray) -> np.ndarray:
+        same = self.keys[0][entry] == key[0]
+        same &= self.keys[1][entry] == key[1]
+        same &= self.keys[2][entry] == key[2]
+        return same
+
+    def enter(self, key: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        """Enters words that are not in the table, each once; their entries count on from the last."""
+        entry = np.arange(self.count, self.count + key.shape[1], dtype=np.int32)
+        self.keys[:, entry] = key
+        self.count += len(entry)
+        at = (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+        todo = np.arange(len(entry))
+        while len(todo):
+            free = todo[self.slots[at[todo]] < 0]
+            self.slots[at[free]] = entry[free]  # of several words for one slot the last one stays
+            todo = todo[self.slots[at[todo]] != entry[todo]]
+            at[todo] = (at[todo] + 1) & (len(self.slots) - 1)
+        return entry
+
+
+def first_of_each(key: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first of each distinct word, and for each word the number of its first."""
+    firsts, number = [], np.empty(key.shape[1], np.int64)
+    todo, count = np.arange(key.shape[1]), 0
+    while len(todo):
+        _, first, own = np.unique(mixed[todo], return_index=True, return_inverse=True)
+        first = todo[first]
+        same = (key[:, todo] == key[:, first[own]]).all(0)
+        number[todo[same]] = own[same] + count
+        firsts.append(first)
+        count += len(first)
+        todo = todo[~same]
+    return (np.concatenate(firsts) if firsts else np.empty(0, np.int64)), number
 
 
 class WordTokenizer:
     """A tokenizer whose normaliser and pre-tokenizer work on each white-space-separated word by itself.
 
-    Words are encoded by the library once and remembered as the bytes of their
-    ids; the memo has two generations of at most ``WORDS`` words. Plain words
-    (Latin letters only) go to the library many at a time: each is one
-    pre-token, so the ids that end a word part them again.
+    Words are encoded by the library once and remembered in a table of at most
+    ``words`` words, which is emptied when it is full. Easy words go to the
+    library many at a time, cut into pre-tokens by spaces: the ids that end a
+    pre-token part them again.
     """
 
     def __init__(self, path: str, words: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = words
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self.bare = Tokenizer.from_file(path)
+        steps = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.Sequence(steps)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        """The library's ids of whole texts, as bytes of 32-bit integers."""
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.int32).tobytes() for e in found]
-
-    def _plain(self, words: list[str]) -> Iterator[bytes]:
-        for k in range(0, len(words), 1024):
-            part = words[k : k + 1024]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part) and len(ids) == stops[-1]:
-                raw = ids.tobytes()
-                at = (stops * 4).tolist()
-                yield from (raw[a:b] for a, b in zip([0, *at], at))
+        self.table = WordTable(words)
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the memo: the ids of its words lie in ``pool``, entry by entry."""
+        self.table.clear()
+        self.pool, self.used = np.empty(1 << 16, np.int32), 0
+        self.at = np.empty(self.table.limit, np.int64)
+        self.size = np.empty(self.table.limit, np.int32)
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """The library's ids of whole texts."""
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has."""
+        sizes = np.zeros(len(words), np.int64)
+        easy = np.fromiter((_EASY(w) is not None for w in words), bool, len(words))
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        which = np.flatnonzero(easy)
+        for k in range(0, len(which), CALL):
+            pieces = [_PIECES(words[n]) for n in which[k : k + CALL].tolist()]
+            found = np.array(self.bare.encode_batch_fast([" ".join([" ".join(p) for p in pieces])], add_special_tokens=False)[0].ids, np.int32)
+            stops = np.flatnonzero(self.ends[found]) + 1
+            last = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))) - 1
+            if len(stops) != last[-1] + 1 or stops[-1] != len(found):
+                raise RuntimeError("ids that end a pre-token do not part the words")
+            sizes[which[k : k + CALL]] = np.diff(stops[last], prepend=0)
+            parts.append((which[k : k + CALL], found))
+        rest = np.flatnonzero(~easy)
+        for k in range(0, len(rest), CALL):
+            found = self.whole([words[n] for n in rest[k : k + CALL].tolist()])
+            sizes[rest[k : k + CALL]] = np.fromiter(map(len, found), np.int64, len(found))
+            parts.append((rest[k : k + CALL], np.concatenate(found)))
+        ids = np.empty(int(sizes.sum()), np.int32)
+        begins = np.cumsum(sizes) - sizes
+        for own, found in parts:
+            ids[_runs(begins[own], sizes[own])] = found
+        return ids, sizes
+
+    def _resolve(self, text: bytes, raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each word's ids lie in a pool, how many they are, and the pool."""
+        at, count = np.empty(len(begins), np.int64), np.empty(len(begins), np.int64)
+        short = np.flatnonzero(sizes <= WIDEST)
+        key = WordTable.key(raw, begins[short], sizes[short])
+        mixed = WordTable.mixed(key)
+        entry = self.table.find(key, mixed)
+        missing = np.flatnonzero(entry < 0)
+        first, number = first_of_each(key[:, missing], mixed[missing])
+        if self.table.count + len(first) > self.table.limit:
+            self._forget()
+            entry[:] = -1
+            missing = np.arange(len(short))
+            first, number = first_of_each(key, mixed)
+        fresh = missing[first]
+        where = short[fresh]
+        wide = np.flatnonzero(sizes > WIDEST)
+        spans = np.concatenate([where, wide])
+        words = [text[a:b].decode("utf-8", "surrogatepass") for a, b in zip(begins[spans].tolist(), (begins[spans] + sizes[spans]).tolist())]
+        ids, lengths = self._encode(words)
+        kept = int(lengths[: len(where)].sum())
+        if len(fresh) <= self.table.limit:
+            new = self.table.enter(key[:, fresh], mixed[fresh])
+            while self.used + kept > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.empty(len(self.pool), np.int32)])
+            self.pool[self.used : self.used + kept] = ids[:kept]
+            self.size[new] = lengths[: len(where)]
+            self.at[new] = self.used + np.cumsum(lengths[: len(where)]) - lengths[: len(where)]
+            self.used += kept
+            entry[missing] = new[number]
+            at[short], count[short] = self.at[entry], self.size[entry]
+            pool = np.concatenate([self.pool[: self.used], ids[kept:]]) if len(wide) else self.pool
+            base = self.used
+        else:
+            # one part has more distinct words than the memo: nothing is remembered
+            at[short], count[short] = (np.cumsum(lengths) - lengths)[number], lengths[number]
+            pool, base = ids, kept
+        at[wide] = base + np.cumsum(lengths[len(where) :]) - lengths[len(where) :]
+        count[wide] = lengths[len(where) :]
+        return at, count, pool
+
+    def encode_flat(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, each with ``end`` behind it if given; and each text's number of ids."""
+        odd, shown = [], []
+        for k, t in enumerate(texts):
+            low = t.lower()
+            # special tokens, letters whose lower case depends on their place, and text that the normaliser composes
+            if "<|" in t or not t.isascii() and ("\u03a3" in t or not unicodedata.is_normalized("NFC", t) or not unicodedata.is_normalized("NFC", low)):
+                odd.append(k)
+                low = ""
+            shown.append(low.encode("utf-8", "surrogatepass"))
+        text = b" ".join(shown) + b" " * 32
+        raw = np.frombuffer(text, np.uint8)
+        owner_end = np.cumsum(np.fromiter(map(len, shown), np.int64, len(shown)) + 1)
+        del shown
+        gap = (raw == 32) | (raw == 9) | (raw == 10) | (raw == 13)
+        edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if not gap[0]:
+            edges = np.r_[0, edges]
+        begins, stops = edges[::2], edges[1::2]
+        at, count, pool = self._resolve(text, raw, begins, stops - begins)
+        ids, before = pool[_runs(at, count)], np.r_[0, np.cumsum(count)]
+        sizes = np.diff(before[np.searchsorted(begins, owner_end)], prepend=0)
+        if odd or end is not None:
+            found = dict(zip(odd, self.whole([texts[k] for k in odd])))
+            tail = np.array([] if end is None else [end], np.int32)
+            parts, stop = [], np.cumsum(sizes)
+            if not odd:
+                ids = np.insert(ids, stop, end)
             else:
-                yield from self.whole(part)
-
-    def resolve(self, words: set[str]) -> dict[str, bytes]:
-        """A dict that holds the ids of all of ``words``."""
-        if len(self.young) > self.words:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        plain: list[str] = []
-        tailed: list[tuple[str, str, str]] = []
-        rest: list[str] = []
-        bases: set[str] = set()
-        for word in words.difference(young):
-            ids = old.get(word)
-            if ids is not None:
-                young[word] = ids
-            elif word.isalpha() and max(word) < _LATIN:
-                plain.append(word)
-            elif (m := _TAILED(word)) and max(m[1]) < _LATIN and m[1].isalpha():
-                tailed.append((word, m[1], m[2]))
-                bases.add(m[1])
-            else:
-                rest.append(word)
-        bases.difference_update(young, plain)
-        plain += bases
-        young.update(zip(plain, self._plain(plain)))
-        young.update(zip(rest, self.whole(rest)))
-        for word, base, tail in tailed:
-            end = self.tails.get(tail)
-            if end is None:
-                end = self.whole([tail])[0]
-                if len(self.tails) < 10_000:
-                    self.tails[tail] = end
-            young[word] = young[base] + end
-        return young
+                for k, (a, b) in enumerate(zip((stop - sizes).tolist(), stop.tolist())):
+                    parts += [found.get(k, ids[a:b]), tail]
+                    sizes[k] = len(parts[-2])
+                ids = np.concatenate(parts)
+            sizes = sizes + len(tail)
+        return ids, sizes
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, in order, as bytes of 32-bit integers."""
         for part in slices(texts):
-            words = []
-            for t in part:
-                if "<|" in t or "\u03a3" in t or not unicodedata.is_normalized("NFC", t):
-                    # special tokens, letters whose lower case depends on their place, and text that the normaliser composes
-                    words.append(None)
-                else:
-                    t = t.lower()
-                    # str.split() also cuts at the separators U+001C to U+001F, which are no white space to the tokenizer
-                    words.append([w for w in _CUTS.split(t) if w] if _ODD.search(t) else t.split())
-            get = self.resolve(set().union(*(own for own in words if own))).__getitem__
-            for t, own in zip(part, words):
-                yield self.whole([t])[0] if own is None else b"".join(map(get, own))
+            ids, sizes = self.encode_flat(part)
+            ends = np.cumsum(sizes)
+            yield from (ids[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist()))
+
+
+def _runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all runs, one run after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(begins - before, sizes) + np.arange(int(sizes.sum()))
 
 
 @lru_cache(maxsize=2)
@@ -146,15 +296,13 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str, id_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(tokenizer_path)
-        end = np.int32(end_id).tobytes()
         part, first = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for done, part_texts in text_parts(batch, "t"):
-                rows = [ids + end for ids in own.encode_many(part_texts)]
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+            for done, texts in text_parts(batch, "t", PART):
+                values, sizes = own.encode_flat(texts, end_id)
                 ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-                columns = [batch.column(0).slice(done, len(rows)), pa.array(np.full(len(rows), part, np.int32)), pa.array(first + ends - sizes), pa.array(sizes), ids]
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values))
+                columns = [batch.column(0).slice(done, len(texts)), pa.array(np.full(len(texts), part, np.int32)), pa.array(first + ends - sizes), pa.array(sizes), ids]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "first", "n_tokens", "ids"])
                 first += int(ends[-1])
 
