@@ -19,9 +19,15 @@ LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``), also set as checkpoint folder."""
+    """The folder that the cluster shares (``spark.checkpoint.dir``), also set as checkpoint folder.
+
+    Without one, a session on one machine uses a folder of that machine; on a
+    cluster that would lose what other machines cannot see, so it is an error.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and not context.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     folder = folder or LOCAL_CHECKPOINTS
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
@@ -38,7 +44,54 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a table made by ``written`` that no later step reads; anything else is left alone."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        session = df.sparkSession
+        place = session._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+#: Rows of one key from which on ``split_join`` takes it out of the shuffle, at least.
+HEAVY = 1000
+
+
+def split_join(many: DataFrame, one: DataFrame, key: str, rows: int, columns: list[str]) -> DataFrame:
+    """Inner join of ``many`` with ``columns`` of ``one``, which has one row for each key and in ``n`` the key's rows in ``many``.
+
+    Keys with over a thousandth of all ``rows`` rows (so at most a thousand of
+    them) are broadcast, and their rows stay where they are; the rest is shuffled.
+    """
+    heavy = one.where(F.col("n") > max(HEAVY, rows // 1000)).select(key, *columns).collect()
+    if not heavy:
+        return many.join(one.select(key, *columns), key)
+    hot = many.sparkSession.createDataFrame(heavy, one.select(key, *columns).schema)
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.select(key, *columns), key)
+    return many.join(F.broadcast(hot), key).unionByName(rest)
+
+
+#: 64-bit words of a set of marks: its size, however much is in it.
+MARK_WORDS = 1 << 19
+
+
+def marks_of(keys: DataFrame, column: str) -> DataFrame:
+    """The hashes in a long column as a bit set of ``MARK_WORDS`` words at most: (place, bits)."""
+    place = F.pmod(F.shiftright(column, 6), F.lit(MARK_WORDS)).alias("place")
+    return keys.select(place, F.expr(f"shiftleft(1L, CAST(`{column}` & 63 AS INT))").alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+
+
+def with_mark(df: DataFrame, marks: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: false only where the hash in ``column`` is not in the set. The set is bounded and broadcast."""
+    own = marks.select(F.col("place").alias("__place"), F.col("bits").alias("__bits"))
+    joined = df.join(F.broadcast(own), F.pmod(F.shiftright(df[column], 6), F.lit(MARK_WORDS)) == own["__place"], "left")
+    bit = F.expr(f"shiftrightunsigned(__bits, CAST(`{column}` & 63 AS INT)) & 1L") == 1
+    return joined.withColumn(name, F.coalesce(bit, F.lit(False))).drop("__place", "__bits")
 
 
 def clear_of(df: DataFrame, names: list[str]) -> DataFrame:

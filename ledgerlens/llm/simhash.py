@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import text_parts, written
+from ledgerlens.llm.common import forget, split_join, text_parts, written
 
 #: Entries of one table list that are compared at once.
 BLOCK = 2048
@@ -245,19 +245,23 @@ def links(prints: DataFrame, distance: int = MAX_DISTANCE, block: int = BLOCK) -
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root): the smallest node of every linked node's component, by alternating large and small stars.
 
-    ``edges`` has long columns u and v. Each round is written to the shared folder, so a lost executor costs one round.
+    ``edges`` has long columns u and v. Each round is written to the shared
+    folder, so a lost executor costs one round. Nodes that hold a large share of
+    all links are joined apart from the others.
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     mark = None
     for _ in range(rounds):
+        count = now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = split_join(both.where("v > u"), least, "u", 2 * count, ["m"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = split_join(large, smallest, "u", 2 * count, ["m"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(smallest.select("u", F.col("m").alias("v")))
-        now = written(small.where("u <> v").distinct(), "stars")
+        before, now = now, written(small.where("u <> v").distinct(), "stars")
+        forget(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -274,12 +278,15 @@ def near_duplicate_groups(df: DataFrame, id_column: str = "doc_id", text_column:
     component_id). Other columns are ignored. An empty table gives an empty result.
     """
     prints = written(with_fingerprints(df, id_column, text_column, words_per_shingle), "fingerprints")
-    first = prints.groupBy("print").agg(F.min("i").alias("low"))
+    first = prints.groupBy("print").agg(F.min("i").alias("low"), F.count("*").alias("n"))
     first = written(first, "distinct-prints")
     joined = components(links(first.select("print"), distance, block))
-    member = first.join(joined, first["print"] == joined["node"], "left").select("print", "low", F.coalesce("root", "print").alias("root"))
-    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = written(member.join(lowest, "root").select("print", "component_id"), "components")
-    # Only this join sees every row; it stands alone, so that skewed fingerprints can be split at run time.
-    out = prints.join(found, "print")
+    member = first.join(joined, first["print"] == joined["node"], "left").select("print", "low", "n", F.coalesce("root", "print").alias("root"))
+    member = written(member, "members")
+    forget(first)
+    total = member.agg(F.count("*").alias("prints"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    lowest = member.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n"))
+    found = split_join(member.withColumnRenamed("n", "rows"), lowest, "root", total["prints"], ["component_id"])
+    found = written(found.select("print", "component_id", F.col("rows").alias("n")), "components")
+    out = split_join(prints, found, "print", total["rows"], ["component_id"])
     return out.select(F.col("i").alias(id_column), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
