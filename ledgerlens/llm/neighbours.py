@@ -3,15 +3,25 @@
 Centroids of a bounded sample part the vectors into lists. All vectors are
 turned by one random rotation, after which the squared distance over the first
 d of D dimensions estimates the whole one. A list's vectors lie in blocks of
-columns; a query scans a list block by block, and after each block the vectors
-whose partial distance shows, by a hypothesis test, that they are farther than
-the query's tenth nearest so far are abandoned. What remains has its exact
-distance computed from the original vectors in double precision.
-
-The sample serves the centroids alone: every vector is in a list. Lists are
-cut into chunks, and the queries that probe a list into groups, of bounded
-size, so a list that holds a third of all vectors or draws a third of all
-queries spreads over tasks; each task returns its best ten for each query.
+columns; the queries that probe a list scan it block by block, and after each
+block the pairs whose partial distance shows, by a hypothesis test, that the
+vector is farther than the query's tenth nearest so far are abandoned. What
+remains has its exact distance computed from the original vectors in double
+precision.
+
+A query probes lists by one rule at every size. Around a list's centroid, the
+squared distances of its vectors to the query are nearly normal; with mean and
+variance of every list counted over all its vectors, this tells how many of the
+query's neighbours each list holds. Lists are probed, best first, until those
+left out hold less than ``MISSED`` of them by expectation: few lists where the
+vectors form clusters, many where they do not.
+
+The sample serves the centroids, and each query's first ten: the nearest of the
+sample's vectors in the lists that it probes. Every vector is in a list and is
+searched. The queries are a stated set; they go out in blocks of
+bounded size, each in one pass over the vectors, which stay where they are, so
+no list, however long, makes a long task. Each task returns its best ten for
+each query of the block.
 """
 
 from __future__ import annotations
@@ -20,7 +30,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +41,10 @@ from ledgerlens.llm.common import written
 SAMPLE = 16_384
 #: Lists: the root of the number of vectors, at most this many.
 MOST_LISTS = 4096
-#: Share of the lists that a query probes, at every size of the table.
-PROBED = 0.85
-#: Vectors of one chunk, and queries of one group.
-CHUNK, QUERIES = 20_000, 512
+#: Share of a query's neighbours that the lists it does not probe may hold, by expectation.
+MISSED = 0.04
+#: Vectors that a task scans at once, queries of one pass, and pairs of one step.
+CHUNK, QUERIES, PAIRS = 65_536, 32_768, 1 << 20
 #: Columns of one block, and the test's confidence (deviations).
 COLUMNS, EPSILON = 16, 2.1
 SEED = 29
@@ -48,69 +57,72 @@ def usable(column: str):
     return values.isNotNull() & (F.size(values) > 0) & ~bad & F.exists(values, lambda x: x != 0)
 
 
+def squares(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``left`` to all of ``right``."""
+    return np.maximum((left**2).sum(1)[:, None] + (right**2).sum(1)[None, :] - 2 * left @ right.T, 0)
+
+
 @dataclass
 class Lists:
-    """Centroids, and the rotation of all vectors."""
+    """Centroids, the rotation of all vectors, and the sample with its ids and lists."""
 
     centroids: np.ndarray
     rotation: np.ndarray
-
-    def distances(self, vectors: np.ndarray) -> np.ndarray:
-        """Squared distances to all centroids."""
-        return (self.centroids**2).sum(1)[None, :] - 2 * vectors @ self.centroids.T + (vectors**2).sum(1)[:, None]
+    sample: np.ndarray
+    sample_ids: np.ndarray
+    sample_lists: np.ndarray
 
 
-def fit_lists(sample: np.ndarray, lists: int, rounds: int = 8, seed: int = SEED) -> Lists:
+def fit_lists(sample: np.ndarray, ids: np.ndarray, lists: int, rounds: int = 8, seed: int = SEED) -> Lists:
     """k-means over a sample, and a random rotation."""
     rng = np.random.default_rng(seed)
     sample = sample.astype(np.float64)
     width = sample.shape[1]
     centres = sample[np.sort(rng.permutation(len(sample))[: min(lists, len(sample))])].copy()
     for _ in range(rounds):
-        own = Lists(centres, np.empty(0)).distances(sample).argmin(1)
+        own = nearest_of(sample, centres)[0]
         counts = np.bincount(own, minlength=len(centres))
         total = np.zeros_like(centres)
         np.add.at(total, own, sample)
         centres[counts > 0] = total[counts > 0] / counts[counts > 0][:, None]
     q, r = np.linalg.qr(rng.standard_normal((width, width)))
-    return Lists(centres, q * np.sign(np.diag(r)))
+    return Lists(centres, q * np.sign(np.diag(r)), sample, ids, nearest_of(sample, centres)[0])
 
 
-def scan(rotated: np.ndarray, vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, rotation: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON) -> list[tuple[int, int, float]]:
-    """The ``k`` nearest found of each query among a chunk's vectors: (query id, vector id, exact distance).
+def nearest_of(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's nearest centroid and the squared distance to it."""
+    own, far = np.empty(len(x), np.int64), np.empty(len(x))
+    for s in range(0, len(x), 4096):
+        d = squares(x[s : s + 4096], centres)
+        own[s : s + 4096] = d.argmin(1)
+        far[s : s + 4096] = d.min(1)
+    return own, far
 
-    ``rotated`` holds the chunk's rotated vectors column by column. Ties go to the smaller id.
-    """
-    out = []
-    turned = queries @ rotation
-    width = rotated.shape[0]
-    order = np.lexsort((ids,))
-    rotated, vectors, ids = np.ascontiguousarray(rotated[:, order]), vectors[order], ids[order]
-    for query, original, own in zip(turned, queries, query_ids.tolist()):
-        alive = np.flatnonzero(ids != own)
-        if not len(alive):
-            continue
-        partial = np.zeros(len(ids))
-        # the first vectors set a bound; all others are tested against it
-        head = alive[np.linspace(0, len(alive) - 1, min(len(alive), 8 * k)).astype(np.int64)]
-        head = np.unique(head)
-        exact = ((rotated[:, head] - query[:, None]) ** 2).sum(0)
-        bound = np.partition(exact, k - 1)[k - 1] if len(head) >= k else np.inf
-        slack = 1e-9 * (1 + float(query @ query))
-        for first in range(0, width, columns):
-            last = min(width, first + columns)
-            partial[alive] += ((rotated[first:last, alive] - query[first:last, None]) ** 2).sum(0)
-            if last < width:
-                test = bound * (last / width) * (1 + epsilon / np.sqrt(last)) ** 2
-            else:
-                if len(alive) >= k:
-                    bound = min(bound, np.partition(partial[alive], k - 1)[k - 1])
-                test = bound
-            alive = alive[partial[alive] <= test + slack]
-        found = np.sqrt(((vectors[alive] - original) ** 2).sum(1))
-        best = np.lexsort((ids[alive], found))[:k]
-        out += [(own, int(ids[alive[b]]), float(found[b])) for b in best]
-    return out
+
+def _below(z: np.ndarray) -> np.ndarray:
+    """About the share of a normal law below ``z`` deviations."""
+    z = np.clip(z, -12, 12)
+    return 1 / (1 + np.exp(-z * (1.5976 + 0.07056 * z * z)))
+
+
+def probes(distances: np.ndarray, counts: np.ndarray, means: np.ndarray, variances: np.ndarray, width: int, k: int, missed: float) -> np.ndarray:
+    """Which lists each query probes, from its squared distances to the centroids and the lists' counts and residuals (mean and variance of their squares)."""
+    centre = distances + means[None, :]
+    spread = np.sqrt(variances[None, :] + 4 * distances * means[None, :] / width) + 1e-9 * (1 + centre)
+    low, high = np.zeros(len(distances)), (centre + 12 * spread).max(1)
+    for _ in range(40):
+        middle = (low + high) / 2
+        few = (counts[None, :] * _below((middle[:, None] - centre) / spread)).sum(1) < k
+        low, high = np.where(few, middle, low), np.where(few, high, middle)
+    held = counts[None, :] * _below((high[:, None] - centre) / spread)
+    order = np.argsort(-held, axis=1, kind="stable")
+    sorted_held, sorted_counts = np.take_along_axis(held, order, 1), counts[order]
+    before = np.cumsum(sorted_held, 1) - sorted_held
+    # and on until they hold enough vectors for a full answer
+    take = (before < (1 - missed) * held.sum(1)[:, None]) | (np.cumsum(sorted_counts, 1) - sorted_counts < k + 1)
+    out = np.zeros(held.shape, bool)
+    np.put_along_axis(out, order, take, 1)
+    return out & (counts > 0)[None, :]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -118,17 +130,109 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def nearest(df: DataFrame, query_step: int = 100, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", probed: float = PROBED, sample: int = SAMPLE, chunk: int = CHUNK, group: int = QUERIES) -> DataFrame:
+def best_of(query: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
+    """Places of each query's ``k`` nearest, ties to the smaller id; an id at one distance counts once."""
+    order = np.lexsort((ids, far, query))
+    q, i, d = query[order], ids[order], far[order]
+    order = order[np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1]) | (d[1:] != d[:-1])][: len(order)]]
+    q = query[order]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)])
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    return order[rank < k]
+
+
+class Search:
+    """The nearest found so far of a block of queries, as a task scans its vectors."""
+
+    def __init__(self, lists: Lists, queries: np.ndarray, query_ids: np.ndarray, probed: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], k: int, columns: int = COLUMNS, epsilon: float = EPSILON):
+        self.rotation, self.k, self.columns, self.epsilon = lists.rotation, k, columns, epsilon
+        self.queries, self.query_ids, self.probed = queries, query_ids, probed
+        self.turned = queries @ lists.rotation
+        self.bounds = np.full(len(queries), np.inf)
+        self.query = seeds[0]
+        self.ids = lists.sample_ids[seeds[1]]
+        self.far = ((lists.sample[seeds[1]] - queries[seeds[0]]) ** 2).sum(1)
+        self._merge([])
+
+    def _scan(self, asked: np.ndarray, rotated: np.ndarray, x: np.ndarray, ids: np.ndarray, slack: np.ndarray):
+        """Pairs (query, vector, exact squared distance) of one list's vectors that no test abandons."""
+        width, first = x.shape[1], min(self.columns, x.shape[1])
+        bounds = self.bounds[asked]
+        head = squares(self.turned[asked, :first], rotated[:, :first])
+        q, c = np.nonzero(head <= self._limit(bounds, first, width, slack[asked])[:, None])
+        part = head[q, c]
+        for begin in range(first, width, self.columns):
+            end = min(width, begin + self.columns)
+            part = part + ((self.turned[asked[q], begin:end] - rotated[c, begin:end]) ** 2).sum(1)
+            alive = part <= self._limit(bounds[q], end, width, slack[asked[q]])
+            q, c, part = q[alive], c[alive], part[alive]
+        q = asked[q]
+        other = ids[c] != self.query_ids[q]
+        q, c = q[other], c[other]
+        return q, ids[c], ((x[c] - self.queries[q]) ** 2).sum(1)
+
+    def _limit(self, bounds: np.ndarray, seen: int, width: int, slack: np.ndarray) -> np.ndarray:
+        """Partial distances over ``seen`` columns above this are farther than the bound, by the test (all columns: surely)."""
+        room = (seen / width) * (1 + self.epsilon / np.sqrt(seen)) ** 2 if seen < width else 1.0
+        return bounds * room + slack
+
+    def add(self, x: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
+        """Scans a chunk of vectors, given with the lists they are in."""
+        keep = _distinct(x, ids, self.k + 1)
+        keep = keep[np.argsort(own[keep], kind="stable")]
+        x, ids, own = x[keep], ids[keep], own[keep]
+        rotated = x @ self.rotation
+        slack = 1e-9 * (1 + (self.queries**2).sum(1) + float((x**2).sum(1).max(initial=0)))
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        found = []
+        for a, b in zip(first.tolist(), np.r_[first[1:], len(own)].tolist()):
+            number = int(own[a])
+            asking = np.flatnonzero((self.probed[number >> 3] >> np.uint8(7 - (number & 7))) & 1)
+            for s in range(a, b, 4096):
+                end = min(b, s + 4096)
+                step = max(1, PAIRS // (end - s))
+                for t in range(0, len(asking), step):
+                    found.append(self._scan(asking[t : t + step], rotated[s:end], x[s:end], ids[s:end], slack))
+        self._merge(found)
+
+    def _merge(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        query, near, far = (np.concatenate(c) for c in zip((self.query, self.ids, self.far), *found))
+        best = best_of(query, near, far, self.k)
+        self.query, self.ids, self.far = query[best], near[best], far[best]
+        counts = np.bincount(self.query, minlength=len(self.queries))
+        last = np.cumsum(counts) - 1
+        full = counts >= self.k
+        self.bounds[full] = np.minimum(self.bounds[full], self.far[last[full]])
+
+
+def _distinct(x: np.ndarray, ids: np.ndarray, copies: int) -> np.ndarray:
+    """Places of the vectors, of equal ones the ``copies`` with the smallest ids, an id once."""
+    bits = np.ascontiguousarray(x).view(np.uint64)
+    mark = (bits * (np.arange(x.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))).sum(1)
+    order = np.lexsort((ids, mark))
+    copy = np.r_[False, (mark[order][1:] == mark[order][:-1]) & (x[order][1:] == x[order][:-1]).all(1)][: len(order)]
+    again = copy & np.r_[False, ids[order][1:] == ids[order][:-1]][: len(order)]
+    order, copy = order[~again], copy[~again]
+    first = np.flatnonzero(~copy)
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    return order[rank < copies]
+
+
+_BLOCK: dict[int, tuple] = {}
+
+
+def nearest(df: DataFrame, query_step: int = 100, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", missed: float = MISSED, sample: int = SAMPLE, chunk: int = CHUNK, block: int = QUERIES) -> DataFrame:
     """The ``k`` nearest found of every query (a row whose id is divisible by ``query_step``) among all other rows.
 
     Columns: query_id, rank (from 1), vec_id, score (Euclidean distance of the
     original vectors in double precision), nearest first, ties to the smaller
     vec_id; all candidates if there are fewer than ``k``. Rows with a null id,
     and vectors that are null, empty, zero, hold null or non-finite components,
-    or have another length than most, take no part. A repeated id is a row of
-    its own: as a query it is searched once for each different vector and the
-    rows with its id are no candidates. Other columns are ignored; an empty
-    table gives an empty result.
+    or have another length than most, take no part. Repeated rows count once:
+    as a query, an id is searched once for each different vector (each answer
+    has its ranks from 1), rows with its id are no candidates, and an id at one
+    distance takes one rank. Other columns are ignored; an empty table gives an
+    empty result.
     """
     spark = df.sparkSession
     vectors = df.select(F.col(id_column).cast("long").alias("v"), F.col(vector_column).alias("x")).where(F.col("v").isNotNull() & usable("x"))
@@ -139,56 +243,88 @@ def nearest(df: DataFrame, query_step: int = 100, k: int = 10, id_column: str =
     width, rows = sizes[0].w, sizes[0].n
     vectors = vectors.where(F.size("x") == width)
     scale = 1 << 30
-    drawn = vectors.where(F.pmod(F.xxhash64(F.lit("sample"), "v"), F.lit(scale)) < min(scale, int(scale * sample / rows) + 1)).select("x")
-    points = np.array([r.x for r in drawn.collect()] or [vectors.first().x], np.float64)
+    drawn = vectors.where(F.pmod(F.xxhash64(F.lit("sample"), "v", "x"), F.lit(scale)) < min(scale, int(scale * sample / rows) + 1)).distinct().limit(2 * sample)
+    drawn = drawn.toArrow()
+    if not drawn.num_rows:
+        drawn = vectors.limit(1).toArrow()
+    drawn = drawn.sort_by("v").combine_chunks()
+    points = _matrix(drawn.column("x").combine_chunks())
     count = int(min(MOST_LISTS, max(1, round(rows**0.5)), max(1, len(points) // 16)))
-    lists = spark.sparkContext.broadcast(fit_lists(points, count))  # bounded by MOST_LISTS vectors
+    sent = spark.sparkContext.broadcast(fit_lists(points, drawn.column("v").to_numpy(), count))  # bounded by the sample
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(1))
-                own = np.concatenate([lists.value.distances(x[s : s + 4096]).argmin(1) for s in range(0, len(x), 4096)])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32))], names=["v", "x", "list"])
+                own, far = nearest_of(_matrix(batch.column(1)), sent.value.centroids)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32)), pa.array(far)], names=["v", "x", "list", "far"])
 
     kind = vectors.schema["x"].dataType.simpleString()
-    placed = written(vectors.mapInArrow(assign, f"v long, x {kind}, list int"), "listed")
-    held = {r.list: r.n for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each list
-    amounts = spark.sparkContext.broadcast(np.array([held.get(n, 0) for n in range(count)], np.int64))
-    probes = int(np.ceil(probed * count))
+    placed = written(vectors.mapInArrow(assign, f"v long, x {kind}, list int, far double"), "listed")
+    counts, means, variances = np.zeros(count, np.int64), np.zeros(count), np.zeros(count)
+    for r in placed.groupBy("list").agg(F.count("*").alias("n"), F.avg("far").alias("m"), F.var_pop("far").alias("s")).collect():  # a row for each list
+        counts[r.list], means[r.list], variances[r.list] = r.n, r.m, r.s
+    held = spark.sparkContext.broadcast((counts, means, variances))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1))
-            order = np.argsort(lists.value.distances(x), axis=1, kind="stable")
-            # as many lists as asked for, and on until they hold enough vectors for a full answer
-            full = np.cumsum(amounts.value[order], axis=1) - amounts.value[order] < k + 1
-            use = (np.arange(order.shape[1])[None, :] < probes) | full
-            row, place = np.nonzero(use & (amounts.value[order] > 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(order[row, place].astype(np.int32))], names=["v", "x", "list"])
-
-    cut = spark.createDataFrame([(n, max(1, -(-m // chunk))) for n, m in sorted(held.items())], "list int, chunks int")
-    asked = placed.where(F.pmod("v", F.lit(query_step)) == 0).select("v", "x").mapInArrow(probe, f"v long, x {kind}, list int")
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("v", "x"), F.lit(1 << 20)))
-    queries = max(1, rows // query_step)
-    groups = max(1, -(-queries // group))
-    asked = asked.withColumn("group", (F.col("group") % F.lit(groups)).cast("int"))
-    asked = asked.join(F.broadcast(cut), "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    base = placed.join(F.broadcast(cut), "list").withColumn("chunk", F.pmod(F.xxhash64("v", "x", F.monotonically_increasing_id()), F.col("chunks")).cast("int")).drop("chunks")
-    base = base.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": np.empty(0, np.int64), "c": np.empty(0, np.int64), "score": np.empty(0)})
-        x, y = np.array(left["x"].tolist(), np.float64), np.array(right["x"].tolist(), np.float64)
-        rotation = lists.value.rotation
-        found = scan((x @ rotation).T, x, left["v"].to_numpy(), y, right["v"].to_numpy(), rotation, k)
-        return pd.DataFrame(found, columns=["q", "c", "score"])
-
-    keys = ["list", "chunk", "group"]
-    found = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "q long, c long, score double")
-    order = Window.partitionBy("q").orderBy("score", "c")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        lists = sent.value
+        for whole in batches:
+            for s in range(0, whole.num_rows, 256):
+                batch = whole.slice(s, 256)
+                x = _matrix(batch.column(1))
+                use = probes(squares(x, lists.centroids), *held.value, width, k, missed)
+                far = squares(x, lists.sample)
+                far[~use[:, lists.sample_lists] | (lists.sample_ids[None, :] == batch.column(0).to_numpy()[:, None])] = np.inf
+                seeds = np.argpartition(far, k - 1, axis=1)[:, :k] if far.shape[1] > k else np.tile(np.arange(far.shape[1]), (len(x), 1))
+                seeds = [own[np.isfinite(d[own])].tolist() for own, d in zip(seeds, far)]
+                bits = np.packbits(use, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(seeds, pa.list_(pa.int32()))], names=["v", "x", "probes", "seeds"])
+
+    asked = placed.where(F.pmod("v", F.lit(query_step)) == 0).select("v", "x").distinct()
+    asked = written(asked.mapInArrow(probe, f"v long, x {kind}, probes binary, seeds array<int>"), "asked")
+    passes = max(1, -(-asked.count() // block))
+    out = None
+    for number in range(passes):
+        part = asked.where(F.pmod(F.xxhash64("v", "x"), F.lit(passes)) == number).toArrow()  # about ``block`` queries
+        if part.num_rows:
+            found = placed.select("v", "x", "list").mapInArrow(_searcher(spark.sparkContext.broadcast(part), sent, k, chunk, number), "q long, number long, c long, score double")
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], schema)
+    out = out.repartition("number").dropDuplicates(["number", "c", "score"])
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy("score", "c"))).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias("query_id"), "rank", F.col("c").alias("vec_id"), "score")
+
+
+def _searcher(part, sent, k: int, chunk: int, number: int):
+    """Searches a task's vectors for one broadcast block of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = part._jbroadcast.id() if part._jbroadcast is not None else id(part)
+        if key not in _BLOCK:
+            table = part.value.combine_chunks()
+            bits = np.stack([np.frombuffer(b, np.uint8) for b in table.column("probes").to_pylist()])
+            _BLOCK.clear()
+            seeds = table.column("seeds").combine_chunks()
+            asking = np.repeat(np.arange(len(seeds)), np.diff(seeds.offsets.to_numpy()))
+            _BLOCK[key] = _matrix(table.column("x").combine_chunks()), table.column("v").to_numpy(), np.ascontiguousarray(bits.T), (asking, seeds.flatten().to_numpy())
+        search = Search(sent.value, *_BLOCK[key], k)
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= chunk:
+                _add(search, held)
+                held, size = [], 0
+        if held:
+            _add(search, held)
+        names = ["q", "number", "c", "score"]
+        yield pa.RecordBatch.from_arrays([pa.array(search.query_ids[search.query]), pa.array(search.query + (number << 32)), pa.array(search.ids), pa.array(np.sqrt(search.far))], names=names)
+
+    return run
+
+
+def _add(search: Search, batches: list[pa.RecordBatch]) -> None:
+    x = np.concatenate([_matrix(b.column(1)) for b in batches])
+    ids, own = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in (0, 2))
+    search.add(x, ids, own.astype(np.int64))

@@ -26,7 +26,7 @@ def test_recall_and_exact_scores(spark):
     rows = [(k, x[k].tolist()) for k in range(3000)]
     want = brute(rows, 50)
     got = {}
-    for r in neighbours.nearest(frame(spark, rows), 50, chunk=40, group=16).collect():
+    for r in neighbours.nearest(frame(spark, rows), 50, chunk=40, block=16).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert set(got) == set(want)
     hits = 0
@@ -57,6 +57,40 @@ def test_rows_that_take_no_part(spark):
     assert got == [(0, 1, 1, 1.414214), (0, 2, 100, 2.0), (100, 1, 0, 2.0), (100, 2, 1, 3.162278)]
 
 
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 4)).astype(np.float32)
+    plain = [(k, x[k].tolist()) for k in range(60)]
+    # whole rows repeat, queries and candidates; a query's id repeats over another vector, and so does a candidate's
+    rows = plain * 3 + [(0, x[7].tolist()), (4, x[9].tolist()), (4, x[9].tolist())]
+    candidates = {i: [x[i].astype(float)] for i in range(60)}
+    candidates[4].append(x[9].astype(float))
+    want = []
+    for q, vector in [(0, x[0]), (0, x[7]), (20, x[20]), (40, x[40])]:
+        found = {(float(np.sqrt(((c - vector.astype(float)) ** 2).sum())), i) for i, own in candidates.items() if i != q for c in own}
+        want += [(q, rank, i, round(d, 9)) for rank, (d, i) in enumerate(sorted(found)[:10], 1)]
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in neighbours.nearest(frame(spark, rows), 20, missed=0.0).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_clusters_are_searched_in_few_lists():
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((64, 32)) * 4
+    x = np.concatenate([c + rng.standard_normal((60, 32)) * 0.3 for c in centres])
+    lists = neighbours.fit_lists(x, np.arange(len(x)), 62)
+    own, far = neighbours.nearest_of(x, lists.centroids)
+    counts = np.bincount(own, minlength=62)
+    means = np.bincount(own, far, 62) / np.maximum(counts, 1)
+    variances = np.maximum(np.bincount(own, far**2, 62) / np.maximum(counts, 1) - means**2, 0)
+    queries = x[::50]
+    use = neighbours.probes(neighbours.squares(queries, lists.centroids), counts, means, variances, 32, 10, neighbours.MISSED)
+    d = neighbours.squares(queries, x)
+    d[np.arange(len(queries)), np.arange(0, len(x), 50)] = np.inf
+    true = np.argpartition(d, 10, 1)[:, :10]
+    assert use[np.arange(len(queries))[:, None], own[true]].mean() > 0.95
+    assert (use * counts).sum() < 0.15 * len(queries) * len(x)
+
+
 def test_empty_and_alone(spark):
     assert neighbours.nearest(frame(spark, []).limit(0)).collect() == []
     assert neighbours.nearest(frame(spark, [(0, [1.0, 2.0])])).collect() == []
