@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -117,6 +118,36 @@ def fold(column: str, folds: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
+#: Draws are hashes of whole rows, so that rows that share an id are drawn each by itself, from 0 to this.
+DRAWS = 1 << 30
+
+
+def draw_of(name: str, *columns: str):
+    """A row's draw, from 0 to ``DRAWS``."""
+    return F.pmod(F.xxhash64(F.lit(name), *columns), F.lit(DRAWS))
+
+
+def share_of(wanted: int, rows: int) -> int:
+    """Draws below this leave about ``wanted`` of ``rows`` rows."""
+    return min(DRAWS, int(DRAWS * wanted / max(1, rows)) + 1)
+
+
+def bounded_rows(rows: DataFrame, group: str, draw: str, text: str, most: int, most_bytes: int, least: int = 2) -> DataFrame:
+    """Of each group's rows, in order of their draw, those up to ``most`` rows or the one that reaches ``most_bytes`` bytes of text, and ``least`` rows at least.
+
+    No row is left out for its length. Rows with one draw are repeated rows and
+    count once. ``rows`` must be drawn already: the sizes of a group's rows are
+    sorted in one task, without the texts.
+    """
+    sizes = rows.groupBy(group, draw).agg(F.max(F.octet_length(text)).alias("bytes"))
+    order = Window.partitionBy(group).orderBy(draw)
+    before = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rank = F.row_number().over(order)
+    chosen = sizes.select(group, draw, rank.alias("rank"), F.coalesce(before, F.lit(0)).alias("before"))
+    chosen = chosen.where((F.col("rank") <= least) | (F.col("rank") <= most) & (F.col("before") < most_bytes)).select(group, draw)
+    return rows.join(F.broadcast(chosen), [group, draw], "left_semi").dropDuplicates([group, draw])
+
+
 #: Characters of texts (in bytes) that a worker turns into Python strings at once.
 PART_BYTES = 1 << 19
 

@@ -8,8 +8,8 @@ the part of it that positives account for. That last difference is a risk and
 is kept from falling below zero (the non-negative estimator): when it does, the
 step goes the other way.
 
-The prior is estimated from the labels' counts where labels tell both classes
-apart, else from how far the positives' scores cover the unlabelled ones.
+The prior is estimated from how far the positives' scores cover the unlabelled
+ones.
 Features look at the form of a text only (kinds of characters and their
 neighbours, repetition, lengths), over the whole text and in its worst stretch.
 """
@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import fold, text_parts
+from ledgerlens.llm.common import bounded_rows, draw_of, fold, share_of, text_parts
 from ledgerlens.llm.memo import slices
 
 #: Bound of each of the two samples that the classifier is fitted on.
 SAMPLE = 3000
-#: Documents over this many bytes are left out of the samples (never out of the scoring).
-SAMPLE_BYTES = 1 << 16
+#: Bytes of text that each sample takes in (and two documents of any length at least).
+SAMPLE_BYTES = 24 << 20
 #: Characters, and words, of a stretch.
 STRETCH = 256
 STRETCH_WORDS = 32
@@ -143,15 +143,18 @@ class QualityModel:
 
 
 def covered_share(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Class prior from scores: the least ratio of the unlabelled to the positive share above a threshold, with room for chance."""
+    """Class prior from scores: the ratio of the unlabelled to the positive share above a threshold, where its upper confidence bound is least."""
     order = np.sort(np.unique(np.r_[positive, unlabelled]))[:-1]
     if not len(order):
         return 1.0
     above = lambda own: 1 - np.searchsorted(np.sort(own), order, "right") / len(own)
     p, u = above(positive), above(unlabelled)
     room = np.sqrt(1 / len(positive)) + np.sqrt(1 / len(unlabelled))
-    use = p > 0.1
-    return float(np.clip(np.min((u[use] + room) / p[use], initial=1.0), 0.01, 1.0))
+    p, u = p[p > 0], u[p > 0]
+    if not len(p):
+        return 1.0
+    best = int(np.argmin((u + room) / p))
+    return float(np.clip(u[best] / p[best], 0.01, 1.0))
 
 
 def _descend(p: np.ndarray, u: np.ndarray, prior: float, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -182,39 +185,42 @@ def fit(positive: list[str], unlabelled: list[str], prior: float | None = None)
     centre, scale = u.mean(0), u.std(0) + 1e-3
     p, u = (np.clip((x - centre) / scale, -8, 8).astype(np.float64) for x in (p, u))
     if prior is None:
-        # half of each sample tells them apart, the other half says how far the positives cover the unlabelled
-        w, b = _descend(p[::2], u[::2], 0.5)
-        prior = covered_share(p[1::2] @ w + b, u[1::2] @ w + b) if len(p) > 1 and len(u) > 1 else 0.5
+        # each half of the samples tells them apart, and the other half says how far the positives cover the unlabelled
+        found = []
+        for a, b in ((0, 1), (1, 0)):
+            if len(p) > 1 and len(u) > 1:
+                w, bias = _descend(p[a::2], u[a::2], 0.5)
+                found.append(covered_share(p[b::2] @ w + bias, u[b::2] @ w + bias))
+        prior = float(np.mean(found)) if found else 0.5
     prior = float(np.clip(prior, 0.01, 0.99))
     w, b = _descend(p, u, prior)
     return QualityModel(centre, scale, w.astype(np.float32), b, prior)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality", sample: int = SAMPLE) -> QualityModel | None:
-    """Fits on two bounded draws by a hash of the id: of documents labelled 1, and of all documents of ``docs``.
+    """Fits on two bounded draws by a hash of the row: of documents labelled 1, and of all documents of ``docs``.
 
-    ``labels`` with null or contradicting labels for an id count by their
-    highest value. About ``sample`` texts are drawn of each kind, none over
-    ``SAMPLE_BYTES`` bytes. The prior counts all labels.
+    Labels 0 are not read. Where labels contradict each other for an id, a 1
+    counts. About ``sample`` texts are drawn of each kind, within
+    ``SAMPLE_BYTES`` bytes and of any length each; ids may be of any type, and
+    null or repeated.
     """
-    clean = labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("i")).agg(F.max(label_column).alias("good"))
-    known = docs.select(F.col(id_column).alias("i")).join(clean, "i")
-    counts = {r.good: r.n for r in known.groupBy("good").agg(F.count("*").alias("n")).collect()}
-    rows = docs.count()
-    good = counts.get(1, 0)
-    if not good:
+    clean = labels.where(F.col(id_column).isNotNull() & (F.col(label_column) == 1)).select(F.col(id_column).alias("i")).distinct()
+    good, rows = clean.count(), docs.count()
+    if not good or not rows:
         return None
-    scale = 1 << 30
-    draw = F.pmod(F.xxhash64(F.lit("draw"), "i"), F.lit(scale))
-    other = F.pmod(F.xxhash64(F.lit("other"), "i"), F.lit(scale))
-    share = lambda n: min(scale, int(scale * sample / max(1, n)) + 1)
-    # the draw of labelled ids has about ``sample`` rows, so it is sent to where the texts are
-    chosen = clean.where((F.col("good") == 1) & (draw < share(good))).select("i", F.lit(True).alias("p"))
-    own = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).where(F.octet_length("t") <= SAMPLE_BYTES)
-    both = own.join(F.broadcast(chosen), "i", "left").select("i", "t", F.coalesce("p", F.lit(False)).alias("p"), (other < share(rows)).alias("u")).where("p or u").collect()
-    both.sort(key=lambda r: (r.i is None, r.i or 0, r.t))
-    prior = good / sum(counts.values()) if len(counts) > 1 else None
-    return fit([r.t for r in both if r.p], [r.t for r in both if r.u], prior)
+    # the draw of labelled ids has about ``sample`` rows, so it is sent to where the texts are; documents may cover few of the ids
+    own = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t"))
+    covered = own.select("i").distinct().join(clean, "i").select("i")
+    share = share_of(sample, covered.count())
+    chosen = F.broadcast(covered.where(draw_of("draw", "i") < share))
+    own = own.withColumns({"draw": draw_of("draw", "i", "t"), "other": draw_of("other", "i", "t")})
+    trusted = own.join(chosen, "i", "left_semi").select(F.lit(1).alias("kind"), "draw", "t")
+    trusted = trusted.where(F.col("draw") < share_of(sample, trusted.count()))
+    every = own.where(F.col("other") < share_of(sample, rows)).select(F.lit(0).alias("kind"), F.col("other").alias("draw"), "t")
+    both = bounded_rows(trusted.unionByName(every), "kind", "draw", "t", 2 * sample, SAMPLE_BYTES).collect()
+    both.sort(key=lambda r: (r.kind, r.draw))
+    return fit([r.t or "" for r in both if r.kind], [r.t or "" for r in both if not r.kind])
 
 
 def scored(df: DataFrame, model: QualityModel | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
