@@ -24,17 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import fold, text_parts
+from ledgerlens.llm.common import bounded_rows, draw_of, fold, share_of, text_parts
 from ledgerlens.llm.memo import slices
 
 ORDER = 4
-#: Bound of the sample: about so many labelled documents of each language, and so many of all languages together.
+#: Bound of the sample: about so many labelled documents of each language, and so many of all languages together (20 of each at least).
 SAMPLE = 600
 SAMPLE_ALL = 20_000
-#: Languages that are learned at most, the most frequent first.
-MOST_LANGUAGES = SAMPLE_ALL // 20
-#: Documents over this many bytes are left out of the sample (never out of the prediction).
-SAMPLE_BYTES = 1 << 16
+#: Bytes of text that the sample takes in of all languages together; each has an equal share, and two documents of any length.
+SAMPLE_BYTES = 96 << 20
 #: Rejection: deviations that chance may add in short texts, share of the calibration texts below the limit, and the margin over it.
 DEVIATIONS = 4.0
 KEPT = 0.995
@@ -303,25 +301,26 @@ def _crossed(texts: list[str]) -> np.ndarray:
 
 
 def learn(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", sample: int = SAMPLE) -> LanguageModels | None:
-    """Models from a bounded sample of labelled rows, drawn by a hash of the id; None without any labelled text.
-
-    The sample holds about ``sample`` documents of each language (fewer where
-    there are more than ``SAMPLE_ALL / sample`` languages), none over
-    ``SAMPLE_BYTES`` bytes. Every fifth document is kept for calibration, but
-    none of a language that would have no document with a letter for its model.
-    Of more than ``MOST_LANGUAGES`` values of ``lang_column`` the most frequent
-    are learned; documents of the others go to a learned one or are rejected.
+    """Models from a bounded sample of labelled rows, drawn by a hash of the row; None without any labelled text.
+
+    Every value of ``lang_column`` is learned. The sample holds about ``sample``
+    documents of each (fewer where there are more than ``SAMPLE_ALL / sample``
+    languages, but 20), within ``SAMPLE_BYTES`` bytes of text and of any length
+    each. Every fifth document is kept for calibration, but none of a language
+    that would have no document with a letter for its model.
     """
-    usable = labelled.where(F.col(lang_column).isNotNull() & (F.octet_length(text_column) > 0) & (F.octet_length(text_column) <= SAMPLE_BYTES))
-    rows = labelled.where(F.col(lang_column).isNotNull()).groupBy(F.col(lang_column).alias("g")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(MOST_LANGUAGES).collect()
+    usable = labelled.where(F.col(lang_column).isNotNull() & (F.octet_length(text_column) > 0))
+    rows = usable.groupBy(F.col(lang_column).cast("string").alias("g")).agg(F.count("*").alias("n")).collect()  # a row for each language
     if not rows:
         return None
     each = min(sample, max(20, SAMPLE_ALL // len(rows)))
-    scale = 1 << 30
-    share = labelled.sparkSession.createDataFrame([(r.g, min(scale, int(scale * each / r.n) + 1)) for r in rows], "g string, share long")
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_column)), F.lit(scale))
-    picked = usable.select(F.col(lang_column).cast("string").alias("g"), F.col(text_column).alias("t"), draw.alias("draw"))
-    picked = picked.join(F.broadcast(share), "g").where("draw < share").select("g", "t", "draw")
+    share = labelled.sparkSession.createDataFrame([(r.g, share_of(each, r.n)) for r in rows], "g string, share long")
+    picked = usable.select(F.col(lang_column).cast("string").alias("g"), F.col(text_column).alias("t"), draw_of("sample", id_column, text_column).alias("draw"))
+    # few rows of a language may all draw high numbers: then its lowest draw is taken
+    lowest = picked.groupBy("g").agg(F.min("draw").alias("lowest"))
+    share = share.join(lowest, "g").select("g", F.greatest("share", F.col("lowest") + 1).alias("share"))
+    drawn = picked.join(F.broadcast(share), "g").where("draw < share").select("g", "t", "draw")
+    picked = bounded_rows(drawn, "g", "draw", "t", 2 * each, SAMPLE_BYTES // len(rows))
     texts: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
     for r in sorted(picked.collect(), key=lambda r: (r.g, r.draw, r.t)):

@@ -117,7 +117,31 @@ def test_every_language_has_a_model(spark):
     own = sentences(rare, 40, 8)
     for one in range(40):  # each alone: about every fifth falls to the calibration
         frame = spark.createDataFrame([(one, own[one], "es"), (90, "12 34", "en"), (91, "the fox runs", "en")], "doc_id long, text string, lang string").coalesce(1)
-        draw = frame.where("lang = 'es'").selectExpr("pmod(xxhash64('sample', doc_id), 1 << 30) as d").first().d
+        draw = frame.where("lang = 'es'").selectExpr("pmod(xxhash64('sample', doc_id, text), 1 << 30) as d").first().d
         if draw % 5 == 0:
             break
     assert draw % 5 == 0 and "es" in language.learn(frame).languages
+
+
+def test_languages_of_long_texts_and_rows_that_share_an_id(spark):
+    rare = "el zorro y perro corren sobre la colina con unos amigos que quieren jugar".split()
+    long = [" ".join(sentences(rare, 2000, k)) for k in range(2)]
+    assert min(map(len, long)) > 1 << 16
+    rows = [(7, t, "en") for t in sentences(EN, 400, 3)] + [(None, t, "fr") for t in sentences(FR, 400, 4)] + [(k, t, "es") for k, t in enumerate(long)]
+    frame = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string").repartition(3)
+    models = language.learn(frame, sample=100)
+    assert models.languages == ["en", "es", "fr"]
+    for lang, words in (("en", EN), ("es", rare), ("fr", FR)):
+        assert models.predict(sentences(words, 20, 9))[0] == [lang] * 20
+
+
+def test_draws_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.llm import common
+
+    rows = [(k % 3, "x" * 1000, k // 2) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "g int, t string, id int").select("g", "t", common.draw_of("a", "id", "g").alias("draw"))
+    got = common.bounded_rows(frame, "g", "draw", "t", 50, 20_000).groupBy("g").agg(F.count("*").alias("n"), F.count_distinct("draw").alias("d")).collect()
+    assert {(r.g, r.n, r.d) for r in got} == {(0, 20, 20), (1, 20, 20), (2, 20, 20)}
+    assert common.bounded_rows(frame, "g", "draw", "t", 50, 10).count() == 6
