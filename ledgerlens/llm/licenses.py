@@ -1,31 +1,33 @@
 """Licence notices in documents, found by conditional compression.
 
-A candidate block is a run of sentences around words that licences use. Each
-block is compressed alone and with every template as a raw zstandard
-dictionary; the template that saves the most bytes knows the block's wording
-best. The templates whose key words are all there are compared with the block
-word by word, and the one whose wording differs least is a notice. The text
-before and after the notice's words is then searched in the same way, so
-neighbouring notices are all found. Blocks repeat a lot, so each worker
-remembers its answers.
+A notice is a stretch of words that holds a template's key words and differs
+from its wording in at most a fifth of its words. So wherever a notice is, the
+words around its first key word hold nearly all of the template's: these places
+are the candidate blocks, and no notice lies outside them. Each block is
+compressed alone and with every template as a raw zstandard dictionary, which
+ranks the templates by the bytes that they save. Down the ranking, the stretch
+that differs least from each template is found exactly; the template whose
+wording differs least is a notice. The text before and after the notice's words
+is then searched in the same way, so neighbouring notices are all found. Blocks
+repeat a lot, so each worker remembers its answers.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import texts_of
+from ledgerlens.llm.common import text_parts
 
-# Wordings of notices as their licensors publish them, with the words that tell them apart.
+# Wordings of notices as their licensors publish them, with the words that tell them apart (the least common one first).
 TEMPLATES: list[tuple[str, str, str]] = [
     ("Apache-2.0", "apache 2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "apache 2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
@@ -49,50 +51,31 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("CC-BY-SA-4.0", "creative commons attribution sharealike 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "creative commons attribution noncommercial 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "cc0 1.0", "To the extent possible under law, the author has dedicated this work to the public domain under CC0 1.0."),
-    ("all-rights-reserved", "all rights reserved", "All rights reserved."),
+    ("all-rights-reserved", "reserved all rights", "All rights reserved."),
 ]
-# Words near which a block may lie.
-HINTS = ("licens", "licenc", "rights reserved", "permission is hereby", "redistribut", "public domain", "creative commons")
-
-#: Largest share of words that may differ, of the template's words.
-DIFFERENT = 0.2
-#: Sentences without a hint that two sentences of one block may have between them.
-GAP = 1
-
-_HINT = re.compile("|".join(HINTS), re.IGNORECASE)
-_CUT = re.compile(r"\n+|(?<=[.!?;:])\s+(?!\d)")
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
-
-
-def candidate_blocks(text: str) -> list[tuple[int, int]]:
-    """Spans of runs of sentences that hold a hint word, or lie between two that do."""
-    low = text.lower()
-    if not any(h in low for h in HINTS):
-        return []
-    spans, begin = [], 0
-    for cut in _CUT.finditer(text):
-        spans.append((begin, cut.start()))
-        begin = cut.end()
-    spans.append((begin, len(text)))
-    hinted = [k for k, (a, b) in enumerate(spans) if _HINT.search(text, a, b)]
-    runs: list[list[int]] = []
-    for k in hinted:
-        if runs and k - runs[-1][1] <= GAP + 1:
-            runs[-1][1] = k
-        else:
-            runs.append([k, k])
-    return [(spans[a][0], spans[b][1]) for a, b in runs]
+_CUT = re.compile(r"\n+|(?<=[.!?;:])\s+(?!\d)")
 
 
 def wording(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+#: A line that names a licence by its short name, for every licence above.
+TEMPLATES += [(name, "spdx identifier " + " ".join(wording(name)), f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(t[0] for t in TEMPLATES) if name != "all-rights-reserved"]
+
+#: Largest share of words that may differ, of the template's words.
+DIFFERENT = 0.2
+#: Words of a block that are searched at once, in lengths of the longest notice.
+PIECE = 8
+
+
 class Scanner:
     """Templates as dictionaries, with a bounded memo of blocks."""
 
     def __init__(self, templates: tuple[tuple[str, str, str], ...], memo: int = 50_000):
         self.templates = [(name, key.split(), wording(text)) for name, key, text in templates]
+        self.sets = [(frozenset(key), frozenset(words), int(DIFFERENT * len(words))) for _, key, words in self.templates]
         options = {"level": 19, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
         self.alone = zstandard.ZstdCompressor(**options)
         self.given = []
@@ -100,32 +83,58 @@ class Scanner:
             raw = " ".join(wording(text)).encode()
             given = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given.append(zstandard.ZstdCompressor(dict_data=given, **options))
-        #: Words that a notice may cover.
-        self.longest = int(max(len(words) for _, _, words in self.templates) * (1 + DIFFERENT))
+        #: Words that each notice may cover, and the longest.
+        self.reach = [len(words) + different for (_, _, words), (_, _, different) in zip(self.templates, self.sets)]
+        self.longest = max(self.reach)
+        self.anchors: dict[str, list[int]] = {}
+        for n, (_, key, _) in enumerate(self.templates):
+            self.anchors.setdefault(key[0], []).append(n)
+        self.anchor = re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, self.anchors)) + r")(?![^\W_])", re.IGNORECASE)
         self.match = lru_cache(maxsize=memo)(self._match)
 
+    def may_hold(self, words: set[str] | frozenset[str], number: int) -> bool:
+        """False only if a stretch of these words cannot be the numbered notice."""
+        key, own, different = self.sets[number]
+        return key <= words and len(own - words) <= different
+
+    def candidate_blocks(self, text: str) -> list[tuple[int, int]]:
+        """Spans around first key words whose neighbourhood may hold a notice; overlapping ones are one."""
+        low = text.lower()
+        if not any(a in low for a in self.anchors):
+            return []
+        found: list[list[int]] = []
+        for hit in self.anchor.finditer(text):
+            numbers = self.anchors.get(hit[0].lower(), ())
+            reach = max((self.reach[n] for n in numbers), default=0)
+            at = _around(text, hit.start(), hit.end(), reach)
+            words = {text[p:q].lower() for p, q in at}
+            if any(self.may_hold(words, n) for n in numbers):
+                if found and at[0][0] <= found[-1][1]:
+                    found[-1][1] = max(found[-1][1], at[-1][1])
+                else:
+                    found.append([at[0][0], at[-1][1]])
+        return [(a, b) for a, b in found]
+
     def saved(self, block: tuple[str, ...], numbers: list[int]) -> list[int]:
         """Bytes of the block's compressed size that each of the numbered templates saves."""
         raw = " ".join(block).encode("utf-8", "surrogatepass")
         plain = len(self.alone.compress(raw))
         return [plain - len(self.given[n].compress(raw)) for n in numbers]
 
-    def keyed(self, block: tuple[str, ...]) -> list[int]:
-        """Templates whose key words are all in the block."""
-        held = set(block)
-        return [n for n, (_, key, _) in enumerate(self.templates) if held.issuperset(key)]
-
     def _match(self, block: tuple[str, ...]) -> tuple[tuple[str, int, int, int], int, int] | None:
         """The best notice of a block, and its first word and the one after its last; None without one.
 
         A notice is: licence, bytes saved, and the words missing from and added to the template's wording.
         """
+        held = frozenset(block)
+        numbers = [n for n in range(len(self.templates)) if self.may_hold(held, n)]
+        if not numbers:
+            return None
         fits = []
-        numbers = self.keyed(block)
-        for number, saved in zip(numbers, self.saved(block, numbers) if numbers else ()):
+        for saved, number in sorted(zip(self.saved(block, numbers), numbers), key=lambda x: (-x[0], x[1])):
             name, key, words = self.templates[number]
-            found = alignment(words, block, key) if saved > 0 else None
-            if found and found[0] + found[1] <= DIFFERENT * len(words):
+            found = alignment(words, block, key, self.sets[number][2])
+            if found:
                 missing, added, first, last = found
                 fits.append((((missing + added) / len(words), -saved, number), (name, saved, missing, added), first, last))
         if not fits:
@@ -137,27 +146,64 @@ class Scanner:
                 first, last = min(first, p), max(last, q)
         return notice, first, last
 
-
-def alignment(template: list[str], block: tuple[str, ...] | list[str], key: list[str] = ()) -> tuple[int, int, int, int] | None:
-    """The stretch of the block that differs least from the template and has all key words: words missing, words added, its first word and the one after its last."""
-    matches = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
-    best = None
-    for i in range(len(matches)):
-        held = 0
-        for m in matches[i:]:
-            held += m.size
-            first, last = matches[i].b, m.b + m.size
-            missing, added = len(template) - held, last - first - held
-            rank = (missing + added, missing)
-            if (best is None or rank < best[0]) and set(block[first:last]).issuperset(key):
-                best = rank, (missing, added, first, last)
-    return best and best[1]
-
-
-def differences(template: list[str], block: list[str]) -> tuple[int, int]:
-    """Words of the template that the block lacks, and words that stand between its matches; what lies around them is free."""
-    found = alignment(template, block)
-    return found[:2] if found else (len(template), 0)
+    def notices(self, words: tuple[str, ...]) -> list[tuple[int, int, tuple[str, int, int, int]]]:
+        """All notices of a run of words, in order: first word, the one after the last, and the notice."""
+        out, todo = [], [(0, len(words))]
+        while todo:
+            a, b = todo.pop()
+            hit = self.match(words[a:b]) if a < b else None
+            if hit:
+                notice, first, last = hit
+                out.append((a + first, a + last, notice))
+                todo += [(a, a + first), (a + last, b)]
+        return sorted(out)
+
+
+def _around(text: str, begin: int, end: int, reach: int) -> list[tuple[int, int]]:
+    """Spans of the word at ``begin`` and of ``reach`` words before and after it, as far as the text goes."""
+    size = 12 * reach
+    while True:
+        a, b = max(0, begin - size), min(len(text), end + size)
+        at = [m.span() for m in _WORD.finditer(text, a, b)]
+        # words at the edges may be cut off
+        if a:
+            at = [x for x in at if x[0] > a + 1]
+        if b < len(text):
+            at = [x for x in at if x[1] < b - 1]
+        here = bisect_right(at, (begin, len(text))) - 1
+        if (here >= reach or not a) and (len(at) - here > reach or b == len(text)):
+            return at[max(0, here - reach) : here + reach + 1]
+        size *= 4
+
+
+def alignment(template: list[str], block: tuple[str, ...] | list[str], key: list[str] = (), different: int | None = None) -> tuple[int, int, int, int] | None:
+    """The stretch of the block that differs least from the template and has all key words: words missing, words added, its first word and the one after its last.
+
+    Differences are words to take out of the template or to put in; a stretch
+    with more than ``different`` of them is no answer.
+    """
+    size, count = len(block), len(template)
+    numbers = {w: k for k, w in enumerate(dict.fromkeys(template))}
+    own = np.array([numbers.get(w, -1) for w in block], np.int64)
+    at, one = np.arange(size + 1), size + 1
+    # differences so far, then the first word of the stretch, in one number: of equal costs the longest stretch stays
+    best = at
+    for word in template:
+        taken = best + one  # the word is missing
+        hit = np.flatnonzero(own == numbers[word]) + 1
+        taken[hit] = np.minimum(taken[hit], best[hit - 1])
+        best = np.minimum.accumulate(taken - at * one) + at * one  # words of the block are added behind it
+    cost, start = best // one, best % one
+    length = at - start
+    missing = (count + cost - length) // 2
+    limit = count if different is None else different
+    wanted = set(key)
+    ends = np.flatnonzero((cost <= limit) & (length > 0))
+    for end in ends[np.lexsort((ends, missing[ends], cost[ends]))].tolist():
+        first = int(start[end])
+        if wanted.issubset(block[first:end]):
+            return int(missing[end]), int(cost[end] - missing[end]), first, end
+    return None
 
 
 @lru_cache(maxsize=2)
@@ -165,57 +211,38 @@ def scanner(templates: tuple[tuple[str, str, str], ...]) -> Scanner:
     return Scanner(templates)
 
 
-def _sentences(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    edges = [a, *(x for m in _CUT.finditer(text, a, b) for x in m.span()), b]
-    return list(zip(edges[::2], edges[1::2]))
-
-
-def _notices(text: str, a: int, b: int, own: Scanner) -> list[tuple[int, int, tuple[str, int, int, int]]]:
-    """Notices between two places of a text, in order: begin of the first word, end of the last, and the notice."""
-    out, todo = [], [(a, b)]
-    while todo:
-        a, b = todo.pop()
-        if not _HINT.search(text, a, b):
-            continue
-        at = [m.span() for m in _WORD.finditer(text, a, b)]
-        words = tuple(text[p:q].lower() for p, q in at)
-        hit = own.match(words) if words else None
-        if not hit and own.keyed(words):
-            # matches of several notices may be mixed up: search every run of sentences that a notice may cover, long ones first
-            spans = [x for x in _sentences(text, a, b) if _WORD.search(text, *x)]
-            begins = [bisect_left(at, (p, 0)) for p, _ in spans] + [len(at)]
-            runs = [(i, j) for i in range(len(spans)) for j in range(i + 1, len(spans) + 1) if j - i < len(spans) and (j - i < 3 or begins[j - 1] - begins[i + 1] <= own.longest)]
-            for i, j in sorted(runs, key=lambda r: (begins[r[0]] - begins[r[1]], r)):
-                part = own.match(words[begins[i] : begins[j]])
-                if part:
-                    hit = part[0], part[1] + begins[i], part[2] + begins[i]
-                    break
-        if hit:
-            notice, first, last = hit
-            begin, end = at[first][0], at[last - 1][1]
-            out.append((begin, end, notice))
-            todo += [(a, begin), (end, b)]
-    return sorted(out)
-
-
 def scan_text(text: str, own: Scanner) -> list[tuple[int, int, str, int, int, int]]:
     """Confirmed notices of a text: begin, end, licence, bytes saved, words missing, words added.
 
-    Every candidate block is searched until what lies around its notices holds
-    no other. A notice spans its sentences, as far as no other notice lies in them.
+    Blocks of any length are searched piece by piece; pieces overlap by the
+    longest notice. A notice spans its sentences, as far as no other notice lies in them.
     """
+    hits: list[tuple[int, int, tuple[str, int, int, int]]] = []
+    for a, b in own.candidate_blocks(text):
+        at = [m.span() for m in _WORD.finditer(text, a, b)]
+        words = tuple(text[p:q].lower() for p, q in at)
+        begin = 0
+        while begin < len(words):
+            end = min(len(words), begin + PIECE * own.longest)
+            stop = end if end == len(words) else end - own.longest
+            for first, last, notice in own.notices(words[begin:end]):
+                if begin + first < stop or end == len(words):
+                    hits.append((at[begin + first][0], at[begin + last - 1][1], notice))
+                    stop = max(stop, begin + last)
+            begin = stop
+    if not hits:
+        return []
+    edges = [0, *(x for m in _CUT.finditer(text) for x in m.span()), len(text)]
+    begins, ends = edges[::2], edges[1::2]
     found = []
-    for a, b in candidate_blocks(text):
-        spans = _sentences(text, a, b)
-        notices = _notices(text, a, b, own)
-        for k, (begin, end, notice) in enumerate(notices):
-            p = max(x for x, _ in spans if x <= begin)
-            q = min(y for _, y in spans if y >= end)
-            if k:
-                p = max(p, notices[k - 1][1])
-            if k + 1 < len(notices):
-                q = min(q, notices[k + 1][0])
-            found.append((p, q, *notice))
+    for k, (begin, end, notice) in enumerate(hits):
+        p = begins[bisect_right(begins, begin) - 1]
+        q = ends[bisect_left(ends, end)]
+        if k:
+            p = max(p, hits[k - 1][1])
+        if k + 1 < len(hits):
+            q = min(q, hits[k + 1][0])
+        found.append((p, q, *notice))
     return found
 
 
@@ -232,7 +259,7 @@ def licence_blocks(df: DataFrame, id_column: str = "doc_id", text_column: str =
         own = scanner(templates)
         for batch in batches:
             at, rows = [], []
-            for k, text in enumerate(texts_of(batch, "t")):
+            for k, text in enumerate(t for _, part in text_parts(batch, "t") for t in part):
                 for number, hit in enumerate(scan_text(text, own)):
                     at.append(k)
                     rows.append((number, *hit))
