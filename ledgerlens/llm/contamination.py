@@ -2,13 +2,13 @@
 
 An item is contained in a document when the document holds at least 80 % of the
 item's distinct shingles of five words. Items are parted by size (number of
-distinct shingles, in classes that double). An item's signature is its bottom
-MinHash values: the smallest hashes of its shingles, as many as the class's
-upper size can miss at the threshold, plus one. A document that contains the
-item misses fewer shingles than the signature has, so it holds one of the
-signature's values: the search finds every contained item, however long the
-document is. The pairs it finds are verified by counting the item's shingles in
-the document word by word.
+distinct shingles, in classes that double), and every class has an index and a
+threshold of its own. An item's signature is its bottom MinHash values: the
+smallest hashes of its shingles, ``SPARE`` more than an item of the class's
+upper size may miss. A document that contains the item misses no more shingles
+than its size allows, so it holds at least the signature's other values: the
+search finds every contained item, however long the document is. The pairs it
+finds are verified by counting the item's shingles in the document word by word.
 
 The items are a stated query set: they go to the workers in blocks of bounded
 size, each block against all documents in one pass that reads no more of a
@@ -21,6 +21,7 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,9 @@ from ledgerlens.llm.common import text_parts
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Characters of items that one block holds; a longer item is a block of its own.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 32 << 20
+#: Values of a signature beyond those that an item of the class may miss.
+SPARE = 3
 SEED = 17
 
 _WORD = re.compile(r"[^\W_]+")
@@ -75,41 +78,56 @@ def needed(size: int, threshold: float = THRESHOLD) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
+class SizeClass:
+    """The index of one size class: items of like size whose shingles have one width."""
+
+    def __init__(self, members: list[tuple[int, np.ndarray]], upper: int, threshold: float):
+        count = upper - needed(upper, threshold) + SPARE
+        signatures = [hashes[:count] for _, hashes in members]
+        self.numbers = np.array([number for number, _ in members])
+        #: Values of its signature that a document which contains the item holds at least.
+        self.least = np.array([len(own) - (len(hashes) - needed(len(hashes), threshold)) for own, (_, hashes) in zip(signatures, members)])
+        values = np.concatenate(signatures)
+        owners = np.repeat(np.arange(len(members)), [len(own) for own in signatures])
+        order = np.argsort(values, kind="stable")
+        self.values, self.owners = values[order], owners[order]
+        bits = min(26, max(12, int(len(values) * 32).bit_length()))
+        self.mask = np.uint64((1 << bits) - 1)
+        #: The signature values by their low bits.
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[(values & self.mask).astype(np.int64)] = True
+
+    def candidates(self, hashes: np.ndarray) -> list[int]:
+        """Items of which a document with these shingles holds enough values."""
+        hashes = hashes[self.seen[(hashes & self.mask).astype(np.int64)]]
+        if not len(hashes):
+            return []
+        hashes = np.unique(hashes)
+        low, high = np.searchsorted(self.values, hashes, "left"), np.searchsorted(self.values, hashes, "right")
+        runs = high - low
+        held = self.owners[np.repeat(low - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))]
+        owners, counts = np.unique(held, return_counts=True)
+        return self.numbers[owners[counts >= self.least[owners]]].tolist()
+
+
 class ItemIndex:
-    """Signatures of a block of items, by width of their shingles and by size class."""
+    """A block of items, indexed by size class."""
 
     def __init__(self, items: list[tuple[object, str]], threshold: float = THRESHOLD, width: int = SHINGLE):
-        self.ids, self.sets, self.need = [], [], []
-        classes: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = defaultdict(list)
-        for item, text in items:
+        self.items, self.threshold, self.width = items, threshold, width
+        parts: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = defaultdict(list)
+        for number, (_, text) in enumerate(items):
             words = words_of(text)
-            own = shingles_of(words, width)
-            if not own:
-                continue
-            number = len(self.ids)
-            self.ids.append(item)
-            self.sets.append(own)
-            self.need.append(needed(len(own), threshold))
-            hashes = np.unique(shingle_hashes(_marks(words), min(width, len(words))))
-            classes[min(width, len(words)), len(own).bit_length()].append((number, hashes))
-        by_width: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-        for (wide, bits), members in classes.items():
-            upper = (1 << bits) - 1
-            count = upper - needed(upper, threshold) + 1
-            for number, hashes in members:
-                signature = hashes[:count]
-                by_width[wide].append((signature, np.full(len(signature), number)))
-        #: For each width: a bit map over the low bits of the signature values, the sorted values, and their items.
-        self.tables = {}
-        for wide, parts in by_width.items():
-            values, owners = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(values, kind="stable")
-            values, owners = values[order], owners[order]
-            bits = min(26, max(16, int(len(values) * 32).bit_length()))
-            mask = np.uint64((1 << bits) - 1)
-            seen = np.zeros(1 << bits, bool)
-            seen[(values & mask).astype(np.int64)] = True
-            self.tables[wide] = (mask, seen, values, owners)
+            if words:
+                hashes = np.unique(shingle_hashes(_marks(words), min(width, len(words))))
+                parts[min(width, len(words)), len(hashes).bit_length()].append((number, hashes))
+        self.classes: dict[int, list[SizeClass]] = defaultdict(list)
+        for (wide, bits), members in sorted(parts.items()):
+            self.classes[wide].append(SizeClass(members, (1 << bits) - 1, threshold))
+        self.shingles = lru_cache(maxsize=4096)(self._shingles)
+
+    def _shingles(self, number: int) -> set[tuple[str, ...]]:
+        return shingles_of(words_of(self.items[number][1]), self.width)
 
     def search(self, text: str) -> list[tuple[object, int, int]]:
         """Items contained in a text: id, shingles held, shingles of the item."""
@@ -118,25 +136,20 @@ class ItemIndex:
             return []
         marks = _marks(words)
         candidates: set[int] = set()
-        for wide, (mask, seen, values, owners) in self.tables.items():
+        for wide, classes in self.classes.items():
             hashes = shingle_hashes(marks, wide)
-            hashes = hashes[seen[(hashes & mask).astype(np.int64)]]
-            if len(hashes):
-                low, high = np.searchsorted(values, hashes, "left"), np.searchsorted(values, hashes, "right")
-                for a, b in set(zip(low.tolist(), high.tolist())):
-                    candidates.update(owners[a:b].tolist())
-        if not candidates:
-            return []
+            for own in classes:
+                candidates.update(own.candidates(hashes))
         held: dict[int, set[tuple[str, ...]]] = {}
         found = []
         for number in sorted(candidates):
-            own = self.sets[number]
+            own = self.shingles(number)
             wide = len(next(iter(own)))
             if wide not in held:
                 held[wide] = set(zip(*(words[k:] for k in range(wide))))
             count = len(own & held[wide])
-            if count >= self.need[number]:
-                found.append((self.ids[number], count, len(own)))
+            if count >= needed(len(own), self.threshold):
+                found.append((self.items[number][0], count, len(own)))
         return found
 
 
@@ -227,14 +240,15 @@ def without_items(docs: DataFrame, benchmark: DataFrame, text_column: str = "tex
     return docs
 
 
-#: DuckDB SQL for the registered query.
+#: DuckDB SQL for the registered query; rows of both tables count each, and items of fewer than five words are one shingle of that width.
 SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)),
-bs AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS k FROM b WHERE len(w) >= 5)),
-n AS (SELECT item_id, count(*) AS shingles FROM bs GROUP BY item_id),
-held AS (SELECT doc_id, item_id, count(*) AS held FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+WITH d AS (SELECT row_number() OVER () AS dr, doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT row_number() OVER () AS br, item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+wide AS (SELECT DISTINCT least(5, len(w)) AS n FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT dr, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT dr, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d JOIN wide ON len(w) >= n)),
+bs AS (SELECT DISTINCT br, n, array_to_string(w[k : k + n - 1], ' ') AS s FROM (SELECT br, w, least(5, len(w)) AS n, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM b WHERE len(w) > 0)),
+size AS (SELECT br, count(*) AS shingles FROM bs GROUP BY br),
+held AS (SELECT dr, br, count(*) AS held FROM ds JOIN bs USING (n, s) GROUP BY dr, br)
 SELECT doc_id, item_id, CAST(held AS BIGINT) AS held, CAST(shingles AS BIGINT) AS shingles, held / shingles AS containment
-FROM held JOIN n USING (item_id) WHERE held >= 0.8 * shingles - 1e-9
+FROM held JOIN size USING (br) JOIN d USING (dr) JOIN (SELECT br, item_id FROM b) USING (br) WHERE held >= 0.8 * shingles - 1e-9
 """

@@ -67,3 +67,17 @@ def test_empty_tables(spark):
 def test_long_document_with_a_short_item():
     index = c.ItemIndex([(1, "one two three four five six seven")])
     assert index.search("filler " * 200_000 + "one two three four five six seven" + " filler" * 1000) == [(1, 3, 3)]
+
+
+def test_sql_equals_the_operator(spark, tmp_path):
+    import duckdb
+
+    docs, items = make(3)
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    db = duckdb.connect()
+    for name, frame in (("documents", left), ("benchmark", right)):
+        frame.write.parquet(f"{tmp_path}/{name}")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}/*.parquet')")
+    want = sorted((-1 if d is None else d, i, h, n, round(x, 9)) for d, i, h, n, x in db.execute(c.SQL).fetchall())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.item_id, r.held, r.shingles, round(r.containment, 9)) for r in c.contained_items(left, right).collect())
+    assert got == want and len(got) > 50
