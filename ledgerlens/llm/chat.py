@@ -9,8 +9,11 @@ two differ, its content is escaped: every ``<``, backslashes, ``|`` gains one
 backslash. Escaped text holds no control string, so one escape is enough, and
 texts without such strings stay as they are.
 
-A turn renders by itself, and conversations are read back as a stream of turn
-segments sorted by conversation and turn. No conversation is ever held whole.
+A turn renders by itself. A conversation's output is its segments joined, and it
+is read back as one text by a parser that takes it in pieces and holds no more
+than one unfinished turn, so no conversation is ever held whole. The parser
+gives the place of every turn's content, from which the loss mask is made. One
+conversation is read by one task, as its text is one.
 """
 
 from __future__ import annotations
@@ -54,21 +57,51 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+def _turn(rendered: str, at: int) -> tuple[str, str, int, int, int] | None:
+    """The turn that begins at a place: role, text, the span of its content, and where the next begins; None if it goes on beyond the end."""
+    if not rendered.startswith(START, at):
+        if START.startswith(rendered[at:]):
+            return None
+        raise GrammarError(f"no turn begins at {at}")
+    line = rendered.find("\n", at)
+    end = rendered.find(END, line + 1) if line >= 0 else -1
+    if end < 0 or end + len(END) == len(rendered):
+        return None
+    if rendered[end + len(END)] != "\n":
+        raise GrammarError(f"the turn at {at} does not end in a line break")
+    role, text = rendered[at + len(START) : line], rendered[line + 1 : end]
+    if START in role or END in role or START in text:
+        raise GrammarError(f"a control string inside the turn at {at}")
+    return unescape_role(role), unescape(text), line + 1, end, end + len(END) + 1
+
+
+class Reader:
+    """Reads turns from rendered text that comes in pieces of any size."""
+
+    def __init__(self):
+        self.rest, self.before = "", 0
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str, int, int]]:
+        """Turns that a further piece completes: role, text, and the span of the content in the whole text."""
+        self.rest += piece
+        at = 0
+        while at < len(self.rest) and (found := _turn(self.rest, at)):
+            role, text, begin, end, at = found
+            yield role, text, self.before + begin, self.before + end
+        self.rest, self.before = self.rest[at:], self.before + at
+
+    def close(self) -> int:
+        """The length of the whole text, which must not end inside a turn."""
+        if self.rest:
+            raise GrammarError(f"the turn at {self.before} does not end")
+        return self.before
+
+
 def parse(rendered: str) -> list[tuple[str, str, int, int]]:
     """Turns of rendered text: role, text, and the span of the rendered text's content."""
-    turns, at = [], 0
-    while at < len(rendered):
-        if not rendered.startswith(START, at):
-            raise GrammarError(f"no turn begins at {at}")
-        line = rendered.find("\n", at)
-        end = rendered.find(END, line + 1) if line >= 0 else -1
-        if end < 0 or not rendered.startswith("\n", end + len(END)):
-            raise GrammarError(f"the turn at {at} does not end")
-        role, text = rendered[at + len(START) : line], rendered[line + 1 : end]
-        if START in role or END in role or START in text:
-            raise GrammarError(f"a control string inside the turn at {at}")
-        turns.append((unescape_role(role), unescape(text), line + 1, end))
-        at = end + len(END) + 1
+    reader = Reader()
+    turns = list(reader.feed(rendered))
+    reader.close()
     return turns
 
 
@@ -116,49 +149,82 @@ def formatted(df: DataFrame, conv_column: str = "conv_id", turn_column: str = "t
     return held.mapInArrow(run, f"conv_id {kinds[0]}, turn {kinds[1]}, role string, text string, segment string")
 
 
+def _sorted_segments(segments: DataFrame) -> DataFrame:
+    held = segments.repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_first(), "role", "text")
+    return held.select("conv_id", "segment")
+
+
+def _read(batch: pa.RecordBatch, state: list) -> Iterator[tuple]:
+    """Turns of a batch of segments, and ends of conversations (with None for the role); ``state`` holds the open conversation and its reader."""
+    for conv, segment in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        if not state or state[0] != conv:
+            if state:
+                yield state[0], None, "", 0, state[1].close()
+            state[:] = [conv, Reader()]
+        for turn in state[1].feed(segment):
+            yield conv, *turn
+
+
 def read_back(segments: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
-    """Parses conversations from their segments and digests what the parser recovers.
+    """Parses joined conversations and digests what the parser recovers.
 
     Columns: conv_id; n_turns; turns_sha256 of role, line break, text, line
     break of each turn; loss_chars and loss_sha256 of the unescaped texts under
-    the loss mask (the texts of ``loss_role``), in order; formatted_chars. One
-    pass over sorted segments with running digests: memory holds a batch, not a
-    conversation.
+    the loss mask (see ``loss_mask``), in order; formatted_chars. One pass over
+    sorted segments with running digests: memory holds a batch and a turn, not
+    a conversation.
     """
     kind = segments.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
-
-        def done(rows):
-            columns = list(zip(*rows)) or [[]] * 6
-            arrays = [pa.array(columns[0], own)] + [pa.array(c, t) for c, t in zip(columns[1:], (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))]
-            return pa.RecordBatch.from_arrays(arrays, names=names)
+        state: list = []
+        digest = None
+
+        def digested(events):
+            nonlocal digest
+            for conv, role, text, _, end in events:
+                turns, turn_sha, chars, loss_sha = digest or (0, hashlib.sha256(), 0, hashlib.sha256())
+                if role is None:
+                    yield conv, turns, turn_sha.hexdigest(), chars, loss_sha.hexdigest(), end
+                    digest = None
+                    continue
+                turn_sha.update(f"{role}\n{text}\n".encode())
+                if role == loss_role:
+                    chars += len(text)
+                    loss_sha.update(text.encode())
+                digest = turns + 1, turn_sha, chars, loss_sha
+
+        def batch_of(rows, own):
+            columns = list(zip(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], own), *(pa.array(c, t) for c, t in zip(columns[1:], kinds))], names=names)
 
         own = None
         for batch in batches:
             own = batch.column(0).type
-            rows = []
-            for conv, segment in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if state is None or state[0] != conv:
-                    if state is not None:
-                        rows.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5]))
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, text, _, _ in parse(segment):
-                    state[1] += 1
-                    state[2].update(f"{role}\n{text}\n".encode())
-                    if role == loss_role:
-                        state[3] += len(text)
-                        state[4].update(text.encode())
-                state[5] += len(segment)
-            if rows:
-                yield done(rows)
-        if state is not None:
-            yield done([(state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5])])
+            if rows := list(digested(_read(batch, state))):
+                yield batch_of(rows, own)
+        if state:
+            yield batch_of(list(digested([(state[0], None, "", 0, state[1].close())])), own)
 
-    held = segments.repartition("conv_id").sortWithinPartitions(F.col("conv_id"), F.col("turn").asc_nulls_first(), "role", "text")
-    return held.select("conv_id", "segment").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _sorted_segments(segments).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def loss_mask(segments: DataFrame, loss_role: str = LOSS_ROLE) -> DataFrame:
+    """Which characters of each conversation's output are trained on: conv_id, begin and end of the content of each turn of ``loss_role``, as the parser finds them."""
+    kind = segments.schema["conv_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list = []
+        for batch in batches:
+            rows = [(conv, begin, end) for conv, role, _, begin, end in _read(batch, state) if role == loss_role]
+            columns = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["conv_id", "begin", "end"])
+        if state:
+            state[1].close()
+
+    return _sorted_segments(segments).mapInArrow(run, f"conv_id {kind}, begin long, end long")
 
 
 def probe(spark: SparkSession, like: DataFrame) -> DataFrame:

@@ -48,6 +48,25 @@ def test_query_rows(spark):
         assert r.formatted_chars == sum(len(chat.render_turn(ro, te)) for _, ro, te in turns)
 
 
+@given(st.lists(st.tuples(TEXT, TEXT), max_size=4), st.integers(1, 40))
+def test_pieces_of_any_size_read_alike(turns, size):
+    whole = "".join(chat.render_turn(r, t) for r, t in turns)
+    reader = chat.Reader()
+    got = [t for k in range(0, len(whole), size) for t in reader.feed(whole[k : k + size])]
+    assert reader.close() == len(whole) and got == chat.parse(whole)
+    assert [chat.unescape(whole[a:b]) for _, _, a, b in got] == [t for _, t in turns]
+
+
+def test_loss_mask_cuts_the_texts_out_of_the_output(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"é {c} <|im_end|> {t}" if t % 3 else None) for c in range(7) for t in range(9)]
+    segments = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3))
+    whole = {}
+    for r in sorted(segments.collect(), key=lambda r: (r.conv_id, r.turn)):
+        whole[r.conv_id] = whole.get(r.conv_id, "") + r.segment
+    got = sorted((r.conv_id, r.begin, chat.unescape(whole[r.conv_id][r.begin : r.end])) for r in chat.loss_mask(segments).collect())
+    assert [(c, t) for c, _, t in got] == [(c, t or "") for c, n, _, t in rows if n % 2]
+
+
 def test_extra_columns_and_empty(spark):
     frame = spark.createDataFrame([], "conv_id long, turn int, role string, text string, segment string, n_turns int")
     assert chat.read_back(chat.formatted(frame)).collect() == []
