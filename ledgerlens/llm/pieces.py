@@ -274,12 +274,12 @@ def decode(df: DataFrame, model_path: str, id_column: str = "doc_id", ids_column
     return df.select(F.col(id_column).alias("i"), F.col(ids_column).alias("ids")).mapInArrow(run, f"i {kind}, text string").withColumnRenamed("i", id_column)
 
 
-def round_trip(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def round_trip(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes each text, decodes its ids, and gives a digest of both.
 
     Columns: id, n_tokens (long), ids_sha256 (lowercase hex of the decimal ids
     joined by commas), decoded_sha256 (lowercase hex of the decoded text in
-    UTF-8). A null text counts as empty; repeated rows stay repeated; other
+    UTF-8), and with ``with_ids`` the ids (array of int). A null text counts as empty; repeated rows stay repeated; other
     columns are ignored; a null id is kept. An empty table gives an empty result.
     """
 
@@ -288,13 +288,19 @@ def round_trip(df: DataFrame, model_path: str, id_column: str = "doc_id", text_c
         digits = [str(k) for k in range(len(own.pieces))].__getitem__
         sha = lambda text: hashlib.sha256(text.encode("utf-8")).hexdigest()
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
+            counts, ids_sha, text_sha, kept = [], [], [], []
             for ids in (ids for _, part in text_parts(batch, "t") for ids in own.encode_many(part)):
                 counts.append(len(ids))
                 ids_sha.append(sha(",".join(map(digits, ids))))
                 text_sha.append(sha(own.decode(ids)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["i", "n_tokens", "ids_sha256", "decoded_sha256"])
-
+                if with_ids:
+                    kept.append(np.array(ids, np.int32))
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), np.concatenate(kept) if kept else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["i", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
     kind = df.schema[id_column].dataType.simpleString()
-    out = df.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInArrow(run, f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = df.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInArrow(run, f"i {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""))
     return out.withColumnRenamed("i", id_column)

@@ -100,7 +100,9 @@ def shuffled_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, rows_
     ``df`` is read twice (the first time for partition sizes alone), so its
     partitions must come out the same: say ``is_scan`` for a plain table scan;
     anything else is first written to the shared folder. A row beyond its
-    partition's counted size stops the job, never bends the result.
+    partition's counted size stops the job, never bends the result. As the
+    result is read later, the number of pieces that scans are split by stays
+    pinned in the session, if nobody has set it.
     """
     spark = df.sparkSession
     if spark.conf.get("spark.sql.leafNodeDefaultParallelism", None) is None:
