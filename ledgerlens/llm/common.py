@@ -139,13 +139,17 @@ def bounded_rows(rows: DataFrame, group: str, draw: str, text: str, most: int, m
     count once. ``rows`` must be drawn already: the sizes of a group's rows are
     sorted in one task, without the texts.
     """
-    sizes = rows.groupBy(group, draw).agg(F.max(F.octet_length(text)).alias("bytes"))
+    sizes = rows.groupBy(group, draw).agg(F.max(F.octet_length(text)).alias("bytes"), F.count("*").alias("n"))
     order = Window.partitionBy(group).orderBy(draw)
     before = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rank = F.row_number().over(order)
-    chosen = sizes.select(group, draw, rank.alias("rank"), F.coalesce(before, F.lit(0)).alias("before"))
-    chosen = chosen.where((F.col("rank") <= least) | (F.col("rank") <= most) & (F.col("before") < most_bytes)).select(group, draw)
-    return rows.join(F.broadcast(chosen), [group, draw], "left_semi").dropDuplicates([group, draw])
+    ranked = sizes.select(group, draw, "n", F.row_number().over(order).alias("rank"), F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = ranked.where((F.col("rank") <= least) | (F.col("rank") <= most) & (F.col("before") < most_bytes)).select(group, draw, "n")
+    chosen = ranked.collect()  # at most ``most`` rows of each group, without texts
+    own = rows.sparkSession.createDataFrame(chosen, ranked.schema)
+    out = rows.join(F.broadcast(own.where("n = 1").drop("n")), [group, draw], "left_semi")
+    if any(r.n > 1 for r in chosen):
+        out = out.unionByName(rows.join(F.broadcast(own.where("n > 1").drop("n")), [group, draw], "left_semi").dropDuplicates([group, draw]))
+    return out
 
 
 #: Characters of texts (in bytes) that a worker turns into Python strings at once.

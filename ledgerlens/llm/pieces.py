@@ -288,17 +288,12 @@ def round_trip(df: DataFrame, model_path: str, id_column: str = "doc_id", text_c
         digits = [str(k) for k in range(len(own.pieces))].__getitem__
         sha = lambda text: hashlib.sha256(text.encode("utf-8")).hexdigest()
         for batch in batches:
-            counts, ids_sha, text_sha, kept = [], [], [], []
-            for ids in (ids for _, part in text_parts(batch, "t") for ids in own.encode_many(part)):
-                counts.append(len(ids))
-                ids_sha.append(sha(",".join(map(digits, ids))))
-                text_sha.append(sha(own.decode(ids)))
-                if with_ids:
-                    kept.append(np.array(ids, np.int32))
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            if with_ids:
-                columns.append(pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), np.concatenate(kept) if kept else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for done, part in text_parts(batch, "t"):
+                found = list(own.encode_many(part))
+                counts = np.fromiter(map(len, found), np.int64, len(found))
+                digests = [sha(",".join(map(digits, ids))) for ids in found], [sha(own.decode(ids)) for ids in found]
+                columns = [batch.column(0).slice(done, len(part)), pa.array(counts), *(pa.array(d, pa.string()) for d in digests)]
+                yield pa.RecordBatch.from_arrays([*columns, *([_ids_array(found)] if with_ids else [])], names=names)
 
     names = ["i", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
     kind = df.schema[id_column].dataType.simpleString()
