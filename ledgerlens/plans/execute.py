@@ -1,104 +1,257 @@
 """Guarded execution of query pairs and comparison of their results.
 
-Queries run through ``spark.sql``, so they start on the driver; a bounded
-pool of threads keeps several in flight, each under a job tag that a timer
-cancels. Results stay in the cluster: comparison is a DataFrame job.
+Queries run through ``spark.sql``, so they start on the driver; a bounded pool
+of threads keeps several in flight, each under a job tag that a timer cancels.
+Every distinct text runs once, over tables that are kept while the run lasts. A
+result of up to ``KEPT`` rows leaves two digests behind, of its rows in order
+and as a bag; larger ones are compared in the cluster, pair by pair, and only
+where their sizes agree. Pairs are judged in one job over the table of pairs.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import decimal
+import hashlib
+import json
 import re
 import threading
+import time
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerlens.operators.dataflow import bag_difference, canonical
-from ledgerlens.plans.dialect import to_spark
-from ledgerlens.sources.ledger import A, B, C, D
+from ledgerlens.operators.dataflow import bag_difference, ordered_difference
+from ledgerlens.operators.metrics import group_of
+from ledgerlens.plans.dialect import DialectError, to_spark
+from ledgerlens.sources.ledger import D
+from ledgerlens.sources.scratch import fresh_path, remove, written
 
-WORKERS = 4
+WORKERS = 8
 TIMEOUT = 120.0
+#: Rows of a result that the driver looks at, and of those that a preview shows.
+KEPT, SHOWN = 10_000, 100
+#: Outcomes that the driver holds before they are written out.
+HELD = 20_000
+_ORDERED = r"(?i)\border\s+by\b"
+
+# What makes a pair ambiguous.
+FLAGS = ("gold_sql_error", "generated_sql_error", "both_results_empty", "gold_result_empty", "generated_result_empty", "gold_result_all_null", "generated_result_all_null")
 
 
 def ordered(sql: str) -> bool:
-    """Whether a reference query asks for an order."""
-    return bool(re.search(r"\border\s+by\b", sql, re.IGNORECASE))
-
-
-def run(spark: SparkSession, sql: str | None, as_of: str) -> tuple[DataFrame | None, str | None]:
-    """The query's result, not yet computed, or an error."""
-    if not (sql or "").strip():
-        return None, "empty SQL"
-    try:
-        return spark.sql(to_spark(sql, as_of)), None
-    except Exception as e:  # noqa: BLE001 - a query's failure is a result here
-        return None, str(e).strip().splitlines()[0][:300]
-
-
-def same_rows(gold: DataFrame, made: DataFrame, in_order: bool) -> bool:
-    """Equality as bags, or row by row where the reference asks for an order."""
-    if len(gold.columns) != len(made.columns):
-        return False
-    if not in_order:
-        return bag_difference(gold, made).isEmpty()
-    left, right = canonical(gold).toLocalIterator(), canonical(made).toLocalIterator()
-    end = object()
-    while True:
-        a, b = next(left, end), next(right, end)
-        if a is end or b is end:
-            return a is b
-        if a != b:
-            return False
-
-
-def evaluate_pair(spark: SparkSession, gold_sql: str, made_sql: str, as_of: str, timeout: float = TIMEOUT) -> tuple[str, bool, str | None]:
-    """Group, match and error of a pair; a pair over the time limit counts as an error of the candidate."""
-    gold, gold_error = run(spark, gold_sql, as_of)
-    if gold_error:
-        return D, False, f"gold: {gold_error}"
-    made, error = run(spark, made_sql, as_of)
-    if error:
-        return C, False, error
-    tag = f"pair-{uuid.uuid4().hex}"
-    context = spark.sparkContext
-    context.addJobTag(tag)
-    timer = threading.Timer(timeout, lambda: context.cancelJobsWithTag(tag))
-    timer.start()
-    try:
-        match = same_rows(gold, made, ordered(gold_sql))
-        return (A if match else B), match, None
-    except Exception as e:  # noqa: BLE001
-        late = "cancelled" in str(e).lower()
-        return C, False, "query_timeout" if late else str(e).strip().splitlines()[0][:300]
-    finally:
-        timer.cancel()
-        context.removeJobTag(tag)
-
-
-def evaluate_pairs(spark: SparkSession, pairs: list[tuple[int, str, str]], as_of: str, workers: int = WORKERS) -> DataFrame:
-    """Groups of all pairs, in input order; pairs with the same texts run once."""
-    distinct = list(dict.fromkeys((g, m) for _, g, m in pairs))
+    """Whether a reference query asks for an order, anywhere in its text."""
+    return bool(re.search(_ORDERED, sql))
+
+
+class Engine:
+    """A session for SQLite queries over named tables: errors in values give nulls, as in SQLite."""
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], as_of: str, timeout: float = TIMEOUT, kept: int = KEPT):
+        self.spark, self.as_of, self.timeout, self.kept = spark, as_of, timeout, kept
+        self.tables = tables
+        self.session = spark.newSession()
+        for key, value in (("spark.sql.ansi.enabled", "false"), ("spark.sql.session.timeZone", "UTC")):
+            self.session.conf.set(key, value)
+        kinds = {"long": "int", "integer": "int", "short": "int", "byte": "int", "double": "real", "float": "real"}
+        self.types = {f.name.lower(): kinds.get(f.dataType.typeName(), "text") for df in tables.values() for f in df.schema}
+        mark = uuid.uuid4().hex[:12]
+        self.names = {name: f"{name}_{mark}" for name in tables}
+        for name, df in tables.items():
+            df.createOrReplaceGlobalTempView(self.names[name])
+            self.session.sql(f"CREATE OR REPLACE TEMP VIEW `{name}` AS SELECT * FROM global_temp.`{self.names[name]}`")
+
+    def close(self) -> None:
+        for name in self.names.values():
+            self.spark.catalog.dropGlobalTempView(name)
+
+    def query(self, sql: str | None) -> tuple[DataFrame | None, str | None]:
+        """The query's result, not yet computed, or an error."""
+        if not (sql or "").strip():
+            return None, "empty SQL"
+        try:
+            return self.session.sql(to_spark(sql, self.as_of, self.types)), None
+        except DialectError as e:
+            return None, str(e)
+        except Exception as e:  # noqa: BLE001 - a query's failure is a result here
+            return None, str(e).strip().splitlines()[0][:300]
+
+    @contextmanager
+    def limited(self):
+        """Cancels this thread's jobs when the time is over, and again while more of them start."""
+        tag, context, done = f"query-{uuid.uuid4().hex}", self.spark.sparkContext, threading.Event()
+        context.addJobTag(tag)
+
+        def watch() -> None:
+            wait = self.timeout
+            while not done.wait(wait):
+                context.cancelJobsWithTag(tag)
+                wait = 0.5
+
+        watcher = threading.Thread(target=watch, daemon=True)
+        watcher.start()
+        try:
+            yield
+        finally:
+            done.set()
+            watcher.join()
+            context.removeJobTag(tag)
+
+    def run(self, sql: str | None) -> tuple:
+        """Outcome of one query: error, rows (null if there are more than are kept), all_null, preview, ordered digest, bag digest, seconds."""
+        began = time.monotonic()
+        frame, error = self.query(sql)
+        rows: list = []
+        if frame is not None:
+            try:
+                with self.limited():
+                    rows = frame.limit(self.kept + 1).collect()
+            except Exception as e:  # noqa: BLE001
+                late = time.monotonic() - began >= self.timeout or "cancelled" in str(e).lower()
+                error = f"query_timeout: over {self.timeout:g} seconds" if late else str(e).strip().splitlines()[0][:300]
+        seconds = round(time.monotonic() - began, 4)
+        if error is not None:
+            return error, None, None, None, None, None, seconds
+        large = len(rows) > self.kept
+        shown = json.dumps({"row_count": None if large else len(rows), "truncated": len(rows) > SHOWN, "rows": [[json_safe(v) for v in r] for r in rows[:SHOWN]]}, ensure_ascii=False)
+        if large:
+            return None, None, False, shown, None, None, seconds
+        lines = [json.dumps([plain_cell(v) for v in r], ensure_ascii=False) for r in rows]
+        empty = bool(rows) and all(v is None for r in rows for v in r)
+        return None, len(rows), empty, shown, _digest(lines), _digest(sorted(lines)), seconds
+
+    def same_rows(self, gold: str, made: str) -> tuple[bool, str | None]:
+        """Comparison of two large results in the cluster."""
+        left, right = self.query(gold)[0], self.query(made)[0]
+        if len(left.columns) != len(right.columns):
+            return False, None
+        try:
+            with self.limited():
+                if left.count() != right.count():
+                    return False, None
+                return (ordered_difference if ordered(gold) else bag_difference)(left, right).isEmpty(), None
+        except Exception as e:  # noqa: BLE001
+            late = "cancelled" in str(e).lower()
+            return False, f"query_timeout: over {self.timeout:g} seconds" if late else str(e).strip().splitlines()[0][:300]
+
+
+def _digest(lines: list[str]) -> str:
+    sha = hashlib.sha256()
+    for line in lines:
+        sha.update(line.encode("utf-8", "surrogatepass") + b"\n")
+    return sha.hexdigest()
+
+
+def plain_cell(value):
+    """A value for comparison: doubles rounded to six decimals, whole ones as integers, truths as 0 and 1, dates as text."""
+    if isinstance(value, decimal.Decimal):
+        value = float(value)
+    if isinstance(value, bool):
+        return int(value)
+    if isinstance(value, float):
+        value = round(value, 6)
+        return int(value) if value == value and abs(value) < 1e15 and value == int(value) else repr(value) if value != value or abs(value) == float("inf") else value
+    if isinstance(value, (dt.date, dt.datetime)):
+        return str(value)
+    return json_safe(value)
+
+
+def json_safe(value):
+    """A result's value as JSON has it; bytes by their hex digits."""
+    if value is None or isinstance(value, (str, int, float, bool)):
+        return value
+    if isinstance(value, (bytes, bytearray)):
+        return {"type": "bytes", "hex": bytes(value).hex()}
+    if isinstance(value, decimal.Decimal):
+        return float(value)
+    if isinstance(value, (list, tuple)):
+        return [json_safe(v) for v in value]
+    if isinstance(value, dict):
+        return {str(k): json_safe(v) for k, v in value.items()}
+    return str(value)
+
+
+_OUTCOME = "error string, n long, all_null boolean, preview string, in_order string, as_bag string, seconds double"
+
+
+def _outcomes(engine: Engine, texts: Iterator[str], workers: int) -> tuple[DataFrame, str | None]:
+    """A table of the outcomes of distinct texts, and where it is written if it does not fit in ``HELD`` rows."""
+    spark, path = engine.spark, None
+    schema = f"h string, {_OUTCOME}"
+    held: list[tuple] = []
     with ThreadPoolExecutor(workers) as pool:
-        done = dict(zip(distinct, pool.map(lambda p: evaluate_pair(spark, *p, as_of), distinct)))
-    rows = [(n, *done[g, m]) for n, g, m in pairs]
-    return spark.createDataFrame(rows, "idx int, evaluation_group string, execution_match boolean, error string")
-
-
-PAIRS = [
-    (0, "SELECT SUM(Credit) FROM ledger_lines", "SELECT SUM(Credit) AS total FROM ledger_lines"),
-    (1, "SELECT SUM(Credit) FROM ledger_lines", "SELECT SUM(Debit) FROM ledger_lines"),
-    (2, "SELECT Account, COUNT(*) FROM ledger_lines GROUP BY Account ORDER BY Account", "SELECT Account, COUNT(*) FROM ledger_lines GROUP BY 1 ORDER BY Account DESC"),
-    (3, "SELECT COUNT(*) FROM ledger_lines WHERE Account = \"x\"", "SELECT nothing FROM ledger_lines"),
-    (4, "SELECT broken FROM", "SELECT 1"),
-    (5, "SELECT COUNT(*) FROM ledger_lines WHERE Transaction_TYPE LIKE 'BILL'", "SELECT COUNT(*) FROM ledger_lines WHERE Transaction_TYPE = 'bill'"),
-    (6, "SELECT COUNT(*) FROM ledger_lines WHERE Transaction_DATE >= date('now', 'start of year')", "SELECT COUNT(*) FROM ledger_lines WHERE Transaction_DATE >= '1998-01-01'"),
-]
-EXPECTED = [A, B, B, C, D, A, A]
-
-
-def demo(spark: SparkSession, lines: DataFrame, as_of: str = "1998-06-24") -> DataFrame:
-    """A few pairs over ledger lines."""
-    lines.createOrReplaceTempView("ledger_lines")
-    return evaluate_pairs(spark, PAIRS, as_of)
+        waiting: list = []
+        for sql in texts:
+            waiting.append((sql, pool.submit(engine.run, sql)))
+            if len(waiting) >= 4 * workers:
+                done, future = waiting.pop(0)
+                held.append((hashlib.sha256(done.encode("utf-8", "surrogatepass")).hexdigest(), *future.result()))
+            if len(held) >= HELD:
+                path = path or fresh_path(spark, "outcomes")
+                spark.createDataFrame(held, schema).write.mode("append").parquet(path)
+                held = []
+        held += [(hashlib.sha256(sql.encode("utf-8", "surrogatepass")).hexdigest(), *f.result()) for sql, f in waiting]
+    if path is None:
+        return spark.createDataFrame(held, schema), None
+    spark.createDataFrame(held, schema).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path), path
+
+
+def ambiguity_flags(gold_error: Column, made_error: Column, gold_rows: Column, made_rows: Column, gold_null: Column, made_null: Column) -> Column:
+    """The flags of a pair in their order; after an error, results say nothing."""
+    fine = gold_error.isNull() & made_error.isNull()
+    g, m = gold_rows == 0, made_rows == 0
+    tests = (gold_error.isNotNull(), made_error.isNotNull(), fine & g & m, fine & g & ~m, fine & ~g & m, fine & gold_null, fine & made_null)
+    return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), name) for t, name in zip(tests, FLAGS)]))
+
+
+def evaluate_pairs(pairs: DataFrame, engine: Engine, strict: bool = False, workers: int = WORKERS) -> DataFrame:
+    """``pairs`` (gold_sql, generated_sql) with everything that their execution says.
+
+    Adds: both execution statuses, errors and previews, execution_match,
+    ambiguity_flags, evaluation_group (``strict``: empty and all-null results
+    are ambiguous), excluded_from_primary_metrics, error_message (with columns
+    baseline_status and baseline_error, if there are any) and
+    evaluation_time_seconds. Rows are kept one for one; null and blank queries
+    are errors.
+    """
+    hashed = pairs
+    for side, column in (("g", "gold_sql"), ("m", "generated_sql")):
+        hashed = hashed.withColumn(f"_{side}", F.sha2(F.coalesce(column, F.lit("")), 256))
+    texts = pairs.select(F.explode(F.array(F.coalesce("gold_sql", F.lit("")), F.coalesce("generated_sql", F.lit("")))).alias("t")).distinct().toLocalIterator()
+    outcomes, path = _outcomes(engine, (r.t for r in texts), workers)
+    for side in ("g", "m"):
+        own = outcomes.select(*[F.col(c).alias(f"_{side}_{c}" if c != "h" else f"_{side}") for c in outcomes.columns])
+        hashed = hashed.join(own, f"_{side}", "left")
+    large = hashed.where("_g_error IS NULL AND _m_error IS NULL AND _g_n IS NULL AND _m_n IS NULL").select("_g", "_m", "gold_sql", "generated_sql").dropDuplicates(["_g", "_m"])
+    compared = [(r._g, r._m, *((True, None) if r._g == r._m else engine.same_rows(r.gold_sql, r.generated_sql))) for r in large.toLocalIterator()]
+    judged = engine.spark.createDataFrame(compared, "_g string, _m string, _same boolean, _late string")
+    hashed = hashed.join(judged, ["_g", "_m"], "left")
+    c = F.col
+    digests = F.when(c("gold_sql").rlike(_ORDERED), c("_g_in_order") == c("_m_in_order")).otherwise(c("_g_as_bag") == c("_m_as_bag"))
+    made_error = F.coalesce("_m_error", "_late")
+    fine = c("_g_error").isNull() & made_error.isNull()
+    match = F.coalesce(fine & F.coalesce("_same", digests), F.lit(False))
+    flags = ambiguity_flags(c("_g_error"), made_error, F.coalesce("_g_n", F.lit(1)), F.coalesce("_m_n", F.lit(1)), c("_g_all_null"), c("_m_all_null"))
+    none = lambda *names: F.exists(flags, lambda f: f.isin(*names))
+    empty = none("both_results_empty", "gold_result_empty", "gold_result_all_null"), none("generated_result_empty", "generated_result_all_null")
+    group = group_of(c("_g_error").isNotNull(), made_error.isNotNull(), *empty, match, strict=strict)
+    baseline = [F.when(c("baseline_status").isNotNull() & ~c("baseline_status").isin("success", ""), F.concat(F.lit("baseline status: "), "baseline_status"))] if "baseline_status" in pairs.columns else []
+    baseline += [F.when(c("baseline_error") != "", F.concat(F.lit("baseline error: "), "baseline_error"))] if "baseline_error" in pairs.columns else []
+    message = F.concat_ws("; ", *baseline, F.concat(F.lit("generated SQL error: "), made_error), F.concat(F.lit("gold SQL error: "), "_g_error"))
+    status = lambda error: F.when(error.isNull(), "success").otherwise("error")
+    out = hashed.select(
+        *pairs.columns, status(made_error).alias("generated_execution_status"), status(c("_g_error")).alias("gold_execution_status"),
+        c("_m_preview").alias("generated_result"), c("_g_preview").alias("gold_result"), match.alias("execution_match"), flags.alias("ambiguity_flags"),
+        group.alias("evaluation_group"), (group == D).alias("excluded_from_primary_metrics"), made_error.alias("generated_error"), c("_g_error").alias("gold_error"),
+        F.when(message != "", message).alias("error_message"), F.round(c("_g_seconds") + c("_m_seconds"), 4).alias("evaluation_time_seconds"),
+    )
+    if path is None:
+        return out
+    out = written(out, "evaluated")
+    remove(engine.spark, path)
+    return out
