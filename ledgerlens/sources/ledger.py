@@ -68,6 +68,50 @@ def evaluation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A verification as rows of a repair run hold it.
+VERIFICATION = "answers_question boolean, should_abstain boolean, ambiguous boolean, confidence string, probes_used int, mismatch_type string, repair_hint string, stage2_failed_evidence array<string>"
+
+
+def repair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One repaired question for each order: what it was, what was tried, and what it became."""
+    key = F.col("o_orderkey")
+    null = F.lit(None).cast("string")
+    status = F.when(key % 7 == 0, "skipped").when(key % 11 == 0, "failed").otherwise("success")
+    generated = F.when(key % 29 != 0, F.concat(F.lit("select "), F.col("o_custkey")))
+    repaired = F.when((status == "success") & (key % 5 < 2), F.concat(F.lit("select "), key)).when(key % 5 == 2, " ")
+    verification = F.struct(
+        F.when(key % 4 == 1, F.lit(True)).when(key % 4 == 3, F.lit(None).cast("boolean")).otherwise(F.lit(False)).alias("answers_question"),
+        (key % 10 == 0).alias("should_abstain"), (key % 9 == 0).alias("ambiguous"), F.when(key % 3 == 0, "high").when(key % 3 == 1, "HIGH").otherwise("low").alias("confidence"),
+        (key % 7).cast("int").alias("probes_used"), F.when(key % 8 != 0, F.when(key % 2 == 0, "financial_object_error").otherwise("financial_measure_error")).alias("mismatch_type"),
+        F.when(key % 5 != 0, "use the other side").otherwise(" ").alias("repair_hint"), F.when(key % 6 != 0, F.array(F.concat(F.lit("e"), key % 3))).otherwise(F.array().cast("array<string>")).alias("stage2_failed_evidence"),
+    )
+    return evaluation_records(spark, sf_dir).select("idx", "question_id", F.col("before_group").alias("evaluation_group"), "after_group", "mode", "inv").join(
+        table(spark, sf_dir, "orders").select(
+            key.alias("idx"), F.when(key % 2 == 0, "validation").otherwise("train").alias("split"), F.element_at(F.array(*map(F.lit, ("easy", "medium", "hard"))), (key % 3 + 1).cast("int")).alias("level"),
+            F.concat(F.lit("total of "), "o_custkey").alias("question"), F.concat(F.lit("select "), key).alias("gold_sql"), generated.alias("generated_sql"), repaired.alias("repaired_sql"), status.alias("status"),
+            F.when(key % 23 == 0, null).otherwise(status).alias("repair_status"), F.when(key % 3 == 0, "semantic").when(key % 3 == 1, "non_executable").otherwise("generic_semantic_repair").alias("repair_mode"),
+            F.when(key % 31 == 0, "chain").alias("final_sql_source"), F.when(key % 19 != 0, verification).alias("verification"), F.when(key % 5 != 4, '{"slots": {}}').alias("intent_representation"), F.when(key % 21 != 0, "{}").alias("execution_profile"),
+        ),
+        "idx",
+    )
+
+
+#: ``repair_records`` in DuckDB SQL, as a common table expression after those of ``EV_SQL``.
+REP_SQL = """rep AS (
+  SELECT e.idx, e.question_id, e.before_group AS evaluation_group, e.after_group, e.mode, e.inv,
+    CASE WHEN e.idx % 2 = 0 THEN 'validation' ELSE 'train' END AS split, ['easy', 'medium', 'hard'][CAST(e.idx % 3 + 1 AS INT)] AS level,
+    'total of ' || o_custkey AS question, 'select ' || e.idx AS gold_sql,
+    CASE WHEN e.idx % 29 <> 0 THEN 'select ' || o_custkey END AS generated_sql,
+    CASE WHEN e.idx % 7 <> 0 AND e.idx % 11 <> 0 AND e.idx % 5 IN (0, 1) THEN 'select ' || e.idx WHEN e.idx % 5 = 2 THEN ' ' END AS repaired_sql,
+    CASE WHEN e.idx % 7 = 0 THEN 'skipped' WHEN e.idx % 11 = 0 THEN 'failed' ELSE 'success' END AS status,
+    CASE WHEN e.idx % 23 = 0 THEN NULL WHEN e.idx % 7 = 0 THEN 'skipped' WHEN e.idx % 11 = 0 THEN 'failed' ELSE 'success' END AS repair_status,
+    CASE e.idx % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'non_executable' ELSE 'generic_semantic_repair' END AS repair_mode,
+    CASE WHEN e.idx % 31 = 0 THEN 'chain' END AS final_sql_source, e.idx % 19 <> 0 AS has_verification,
+    CASE WHEN e.idx % 19 = 0 OR e.idx % 4 = 3 THEN CAST(NULL AS BOOLEAN) ELSE e.idx % 4 = 1 END AS answers, e.idx % 19 <> 0 AND e.idx % 10 = 0 AS abstain, e.idx % 19 <> 0 AND e.idx % 9 = 0 AS ambiguous,
+    CASE WHEN e.idx % 19 = 0 THEN NULL WHEN e.idx % 3 < 2 THEN 'high' ELSE 'low' END AS confidence, CASE WHEN e.idx % 19 = 0 THEN 0 ELSE e.idx % 7 END AS probes,
+    CASE WHEN e.idx % 19 <> 0 AND e.idx % 8 <> 0 THEN CASE WHEN e.idx % 2 = 0 THEN 'financial_object_error' ELSE 'financial_measure_error' END END AS mismatch, e.idx % 19 <> 0 AND e.idx % 5 <> 0 AS hinted
+  FROM ev e JOIN orders ON o_orderkey = e.idx)"""
+
 #: The same derivations in DuckDB SQL, as common table expressions.
 LED_SQL = """led AS (
   SELECT l_orderkey AS Transaction_ID, CAST(l_shipdate AS DATE) AS Transaction_DATE,
