@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerlens.sources.ledger import A, B, C, D
+from ledgerlens.sources.scratch import written
 
 
 def dedupe(df: DataFrame, key: str, order: str, keep: str = "first") -> DataFrame:
@@ -47,24 +48,60 @@ def looked_up(rows: DataFrame, cache: DataFrame, value: str, order: str, key: st
 
 
 def route(group: Column) -> Column:
-    """Where a group's rows go on: to verification, repair, or nowhere; an unknown group is an error."""
-    return F.when(group.isin(A, B), "verify").when(group == C, "repair").when(group == D, "skip").otherwise("error")
+    """Where a group's rows go on: to verification, repair, or nowhere. Reading the route of an unknown or null group fails."""
+    unknown = F.raise_error(F.concat(F.lit("unknown evaluation group: "), F.coalesce(group, F.lit("null")))).cast("string")
+    return F.when(group.isin(A, B), "verify").when(group == C, "repair").when(group == D, "skip").otherwise(unknown)
+
+
+#: From here on a double has no sixth decimal to round.
+_COARSE = float(1 << 33)
+
+
+def round6(x: Column) -> Column:
+    """A double rounded to six decimals by its exact value, ties to even, with built-in arithmetic alone.
+
+    ``x * 10**6`` is taken as a product and its rounding error (by splitting the
+    factors in halves), so the fraction that decides is exact.
+    """
+    scale, split = 1e6, float((1 << 27) + 1)
+    low = lambda v: v - (v * split - (v * split - v))  # noqa: E731  the lower half of a double's digits
+    size = F.abs(x)
+    product = size * scale
+    scale_low = float(scale - (scale * split - (scale * split - scale)))
+    scale_high = scale - scale_low
+    x_low = low(size)
+    x_high = size - x_low
+    error = ((x_high * scale_high - product) + x_high * scale_low + x_low * scale_high) + x_low * scale_low
+    whole = F.floor(product)
+    rest = (product - whole) - 0.5 + error
+    up = (rest > 0) | ((rest == 0) & (whole % 2 == 1))
+    rounded = (whole + F.when(up, 1).otherwise(0)).cast("double") / scale
+    return F.when(size < _COARSE, F.when(x < 0, -rounded).otherwise(rounded)).otherwise(x)
+
+
+NUMBERS = ("byte", "short", "integer", "long", "float", "double", "boolean")
+
+
+def cell(column: Column, kind: str) -> Column:
+    """A value as text that says its kind: numbers of all types are one kind, truths count as 0 and 1, dates are text."""
+    if kind == "boolean":
+        column, kind = column.cast("int"), "integer"
+    if kind in ("byte", "short", "integer", "long"):
+        return F.concat(F.lit("n:"), column.cast("string"))
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        x = round6(column.cast("double"))
+        whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+        return F.concat(F.lit("n:"), F.when(whole, F.floor(x).cast("string")).otherwise(x.cast("string")))
+    if kind == "binary":
+        return F.concat(F.lit("b:"), F.hex(column))
+    if kind in ("struct", "array", "map"):
+        return F.concat(F.lit("t:"), F.to_json(column))
+    return F.concat(F.lit("t:"), column.cast("string"))
 
 
 def canonical(df: DataFrame) -> DataFrame:
-    """Columns by position; numbers and booleans as doubles rounded to six digits, dates and other values as text."""
-    out = []
-    for n, f in enumerate(df.schema):
-        kind = f.dataType.typeName()
-        value = F.col(f"`{f.name}`")
-        if kind == "boolean":
-            value = value.cast("int").cast("double")
-        elif kind in ("byte", "short", "integer", "long", "float", "double") or kind.startswith("decimal"):
-            value = F.bround(value.cast("double"), 6)
-        else:
-            value = value.cast("string")
-        out.append(value.alias(f"c{n}"))
-    return df.select(*out)
+    """Columns by position, each value as text with its kind; null stays null."""
+    return df.toDF(*[f"c{n}" for n in range(len(df.columns))]).select(*[cell(F.col(f"c{n}"), f.dataType.typeName()).alias(f"c{n}") for n, f in enumerate(df.schema)])
 
 
 def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -78,8 +115,47 @@ def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def bags_equal(left: DataFrame, right: DataFrame) -> bool:
     """Equality of two results as bags of rows, whatever their column names."""
+    return len(left.columns) == len(right.columns) and bag_difference(left, right).isEmpty()
+
+
+def numbered(df: DataFrame, name: str = "at") -> DataFrame:
+    """Rows with their place, from 0, in the order that ``df`` has; rows are not gathered.
+
+    The rows are written once, so that their places hold; partitions are counted
+    and each begins after the rows of those before it (a row for each partition).
+    """
+    part, row = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = written(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_start"))
+    return placed.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + row).drop("_row", "_part", "_start")
+
+
+def ordered_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Places at which two ordered results differ, or only one has a row: place, and the rows as arrays."""
+    if len(left.columns) != len(right.columns):
+        raise ValueError("the results differ in their number of columns")
+    rows = lambda df, name: numbered(canonical(df)).select("at", F.array(*[c for c in canonical(df).columns]).alias(name))
+    return rows(left, "left").join(rows(right, "right"), "at", "full").where(~F.col("left").eqNullSafe(F.col("right")))
+
+
+def raw_equal(left: DataFrame, right: DataFrame) -> bool:
+    """Equality row by row as the values stand, without rounding; numbers of all types are one kind."""
     if len(left.columns) != len(right.columns):
         return False
-    if [k for _, k in canonical(left).dtypes] != [k for _, k in canonical(right).dtypes]:
-        return left.isEmpty() and right.isEmpty()
-    return bag_difference(left, right).isEmpty()
+    exact = lambda df: df.toDF(*[f"c{n}" for n in range(len(df.columns))]).select(*[_exact(F.col(f"c{n}"), f.dataType.typeName()).alias(f"c{n}") for n, f in enumerate(df.schema)])
+    a, b = (numbered(exact(x)) for x in (left, right))
+    same = F.lit(True)
+    for c in (c for c in a.columns if c != "at"):
+        same = same & a[c].eqNullSafe(b[c])
+    return a.join(b, a["at"].eqNullSafe(b["at"]) & same, "full").where(a["at"].isNull() | b["at"].isNull()).isEmpty()
+
+
+def _exact(column: Column, kind: str) -> Column:
+    if kind == "boolean":
+        column, kind = column.cast("int"), "integer"
+    if kind in NUMBERS or kind.startswith("decimal"):
+        whole = column.cast("double") == F.floor(column.cast("double"))
+        return F.concat(F.lit("n:"), F.when(whole, column.cast("decimal(38,0)").cast("string")).otherwise(column.cast("double").cast("string")))
+    return F.concat(F.lit("t:"), column.cast("string"))

@@ -134,6 +134,7 @@ def bottleneck(steps: list[tuple[str, Column]], default: str) -> Column:
 
 
 def reward(valid: Column, was_right: Column, now_right: Column, asa: Column) -> Column:
-    """Repair reward: -1 for invalid SQL, -2 for a corruption, 2 for a correction, -0.25 for a row that stays wrong, 0.5 more where the accounting holds."""
-    base = F.when(~valid, -1.0).when(was_right & ~now_right, -2.0).when(~was_right & now_right, 2.0).when(~now_right, -0.25).otherwise(0.0)
-    return base + F.when(valid & asa, 0.5).otherwise(0.0)
+    """Repair reward: -1 for a query that does not run, -0.25 for one that stays wrong, -2 for a corruption, 2 for a correction; 0.5 more where it matches and the accounting holds."""
+    right, was, sound = (F.coalesce(x, F.lit(False)) for x in (now_right, was_right, asa))
+    moved = F.when(was & ~right, -2.0).when(~was & right, 2.0).otherwise(0.0)
+    return F.when(~F.coalesce(valid, F.lit(False)), -1.0).when(~was & ~right, -0.25).otherwise(moved + F.when(right & sound, 0.5).otherwise(0.0))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
-from ledgerlens.operators import annotate, dataflow, metrics
+from ledgerlens.operators import dataflow, metrics, reports
 from ledgerlens.sources.ledger import EV_SQL, LED_SQL, A, B, evaluation_records, ledger_lines, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,17 +267,17 @@ def status_execution_crosstab(spark, d):
     return ev.groupBy("mode").pivot("g", ["a", "b", "c", "d"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-@query("ablation_delta", ev_sql(f"SELECT mode, x, x - (SELECT {rn(f'count(*) FILTER (WHERE before_group = {COR})', 'count(*)')} FROM ev) AS delta FROM (SELECT mode, {rn(f'count(*) FILTER (WHERE before_group = {COR})', 'count(*)')} AS x FROM ev GROUP BY mode)"))
+@query("ablation_delta", ev_sql(f"SELECT mode AS key, x AS ex_accuracy, x - (SELECT {rn(f'count(*) FILTER (WHERE before_group = {COR})', 'count(*)')} FROM ev WHERE mode = 'hybrid') AS delta_ex_accuracy FROM (SELECT mode, {rn(f'count(*) FILTER (WHERE before_group = {COR})', 'count(*)')} AS x FROM ev GROUP BY mode)"))
 def ablation_delta(spark, d):
-    ev = evaluation_records(spark, d)
     share = S.rate(F.count_if(F.col("before_group") == A), F.count("*"), None)
-    return ev.groupBy("mode").agg(share.alias("x")).crossJoin(F.broadcast(ev.agg(share.alias("_x")))).select("mode", "x", (F.col("x") - F.col("_x")).alias("delta"))
+    variants = evaluation_records(spark, d).groupBy(F.col("mode").alias("key")).agg(share.alias("ex_accuracy"))
+    return reports.against_full(variants, full="hybrid")
 
 
-@query("reward_matrix", ev_sql(f"SELECT idx, CASE WHEN after_group = 'C_non_executable' THEN -1.0 WHEN before_group = {COR} AND after_group <> {COR} THEN -2.0 WHEN before_group <> {COR} AND after_group = {COR} THEN 2.0 WHEN after_group <> {COR} THEN -0.25 ELSE 0.0 END + CASE WHEN after_group <> 'C_non_executable' AND coalesce(inv, 0) = 1 THEN 0.5 ELSE 0.0 END AS reward FROM ev").replace("-1.0", "CAST(-1.0 AS DOUBLE)"))
+@query("reward_matrix", ev_sql(f"SELECT idx, CAST(CASE WHEN after_group = 'C_non_executable' THEN -1 WHEN before_group = {COR} THEN CASE WHEN after_group = {COR} THEN 0 ELSE -2 END WHEN after_group = {COR} THEN 2 ELSE -0.25 END + CASE WHEN after_group = {COR} AND inv = 1 THEN 0.5 ELSE 0 END AS DOUBLE) AS reward FROM ev"))
 def reward_matrix(spark, d):
     c = F.col
-    return evaluation_records(spark, d).select("idx", metrics.reward(c("after_group") != "C_non_executable", c("before_group") == A, c("after_group") == A, F.coalesce(c("inv"), F.lit(0)) == 1).alias("reward"))
+    return evaluation_records(spark, d).select("idx", metrics.reward(c("after_group") != "C_non_executable", c("before_group") == A, c("after_group") == A, c("inv") == 1).alias("reward"))
 
 
 @query("few_shot_selection", "SELECT l AS level, min(k) AS idx FROM (SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS l FROM orders) GROUP BY 1")
@@ -311,24 +311,6 @@ def extract_sql(spark, d):
     return table(spark, d, "orders").select(key.alias("idx"), S.sql_from_answer(answer).alias("s"))
 
 
-#: Predicates with the kind of period they describe.
-PERIODS = [
-    ("BETWEEN", "date('now','start of year')", "date('now')", "year_to_date"), ("BETWEEN", "date('now','start of month')", "current_date", "month_to_date"),
-    ("BETWEEN", "date('now','weekday 0','-6 days')", "date('now')", "week_to_date"), ("BETWEEN", "date('now','-12 months')", "date('now')", "trailing_12_months"),
-    ("BETWEEN", "date('now','-1 year')", "date('now')", "trailing_1_year"), ("BETWEEN", "date('now','start of month','-1 month')", "date('now','start of month','-1 day')", "prior_calendar_month"),
-    ("BETWEEN", "date('now','weekday 0','-13 days')", "date('now','weekday 0','-7 days')", "relative_week_range"), ("BETWEEN", "date('now','start of year','-1 year')", "date('now','start of year','-1 day')", "relative_year_range"),
-    ("BETWEEN", "2024-01-01", "2024-02-01", "absolute_date_range"), ("BETWEEN", "a", "b", "date_range"), (">=", "date('now','start of year')", None, "year_to_date_lower_bound"),
-    (">", "date('now','-12 months')", None, "trailing_12_months_lower_bound"), (">=", "2024-01-01", None, "absolute_date_lower_bound"), ("<", "2024-01-01", None, "absolute_date_upper_bound"),
-    ("<=", "x", None, "date_upper_bound"), ("=", "strftime('%Y', d)", None, "year_component_filter"), ("=", "strftime('%m', d)", None, "month_component_filter"), ("=", "2024-01-01", None, "absolute_date_match"), ("LIKE", "2024%", None, "temporal_filter"),
-]
-
-
-@query("period_hint", "SELECT * FROM (VALUES " + ", ".join(f"({n}, '{p[3]}')" for n, p in enumerate(PERIODS)) + ") t(idx, hint)")
-def period_hint(spark, d):
-    rows = spark.createDataFrame([(n, *p[:3]) for n, p in enumerate(PERIODS)], "idx int, op string, low string, high string")
-    return rows.select("idx", S.period_hint(F.col("op"), F.col("low"), F.col("high"), F.lit("")).alias("hint"))
-
-
 @query("temporal_predicate_test", "SELECT p_partkey AS idx, regexp_matches(lower(p_name), '(date|time|year|month|day|week|quarter|fiscal|period|posted|posting|created)') AS loose FROM part")
 def temporal_predicate_test(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("idx"), S.is_temporal(F.col("p_name")).alias("loose"))
@@ -341,16 +323,16 @@ def grouped_question_gate(spark, d):
     return table(spark, d, "orders").select(key.alias("idx"), S.asks_for_groups(question).alias("grouped"))
 
 
-@query("bag_equal_unordered", "SELECT l_returnflag AS c0, CAST(count(*) AS BIGINT) AS surplus FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
+@query("bag_equal_unordered", "SELECT 't:' || l_returnflag AS c0, CAST(count(*) AS BIGINT) AS surplus FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
 def bag_equal_unordered(spark, d):
     lines = table(spark, d, "lineitem")
     return dataflow.bag_difference(lines.select("l_returnflag"), lines.where("l_linestatus <> 'F'").select(F.col("l_returnflag").alias("other")))
 
 
-@query("double_entry_imbalance", led_sql("SELECT Transaction_ID, round(sum(Debit), 2) AS debit, round(sum(Credit), 2) AS credit FROM led GROUP BY 1 HAVING abs(sum(Debit) - sum(Credit)) > 0.005"))
+@query("double_entry_imbalance", led_sql("SELECT Transaction_ID, round(sum(Debit), 2) AS debit, round(sum(Credit), 2) AS credit FROM led GROUP BY 1 HAVING round(coalesce(sum(Debit), 0), 6) <> round(coalesce(sum(Credit), 0), 6)"))
 def double_entry_imbalance(spark, d):
-    sums = ledger_lines(spark, d).groupBy("Transaction_ID").agg(F.sum("Debit").alias("x"), F.sum("Credit").alias("y"))
-    return sums.where(F.abs(F.col("x") - F.col("y")) > 0.005).select("Transaction_ID", F.round("x", 2).alias("debit"), F.round("y", 2).alias("credit"))
+    sums = ledger_lines(spark, d).groupBy("Transaction_ID").agg(F.coalesce(F.sum("Debit"), F.lit(0.0)).alias("x"), F.coalesce(F.sum("Credit"), F.lit(0.0)).alias("y"))
+    return sums.where(dataflow.round6(F.col("x")) != dataflow.round6(F.col("y"))).select("Transaction_ID", F.round("x", 2).alias("debit"), F.round("y", 2).alias("credit"))
 
 
 @query("template_preflight", led_sql("SELECT Transaction_TYPE, CAST(count(DISTINCT Transaction_ID) AS BIGINT) AS transactions, CAST(count(*) FILTER (WHERE AR_paid = 'paid') AS BIGINT) AS paid, round(sum(Amount), 2) AS amount FROM led GROUP BY 1"))
@@ -388,16 +370,6 @@ for _name, _sql in LEDGER_SQL.items():
     query(_name, led_sql(_sql))(_ledger_query(_sql))
 
 
-@query("annotation_lookup", annotate.LOOKUP_SQL)
-def annotation_lookup(spark, d):
-    return annotate.look_up_columns(annotate.demo_references(spark), annotate.annotations(spark)).select("ref", "table", "column", "semantic_role", "ambiguous")
-
-
-@query("value_concept_resolution", annotate.VALUES_SQL)
-def value_concept_resolution(spark, d):
-    return annotate.resolve_values(annotate.demo_values(spark), annotate.annotations(spark)).select("ref", "value", "status", "concept")
-
-
 @query("submission_rows", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS id, 'select ' || o_orderkey AS pred_sql FROM orders")
 def submission_rows(spark, d):
     from ledgerlens.sources.records import submission, with_question_ids
@@ -406,51 +378,6 @@ def submission_rows(spark, d):
     return submission(rows.select(F.col("question_id").cast("long").alias("id"), F.concat(F.lit("select "), "o_orderkey").alias("pred_sql")))
 
 
-@query("contradiction_cases")
-def contradiction_cases(spark, d):
-    from ledgerlens.plans import contradict
-
-    return contradict.cases_frame(spark)
-
-
-@query("changed_clauses")
-def changed_clauses(spark, d):
-    from ledgerlens.plans import gates
-
-    return gates.cases_frame(spark)
-
-
-@query("guarded_execution")
-def guarded_execution(spark, d):
-    from ledgerlens.plans import execute
-
-    return execute.demo(spark, ledger_lines(spark, d))
-
-
-@query("posting_effect", led_sql("SELECT a.element, s.side, CASE WHEN (a.element IN ('asset', 'expense')) = (s.side = 'debit') THEN 'increase' ELSE 'decrease' END AS effect FROM (VALUES ('asset'), ('expense'), ('liability'), ('income'), ('equity')) a(element), (VALUES ('debit'), ('credit')) s(side)"))
-def posting_effect(spark, d):
-    elements = spark.createDataFrame([(e, s) for e in ("asset", "expense", "liability", "income", "equity") for s in ("debit", "credit")], "element string, side string")
-    return elements.withColumn("effect", annotate.posting_effect(F.col("element"), F.col("side")))
-
-
-@query("absence_signals", led_sql("SELECT Transaction_ID, CASE WHEN count(Account) > 0 THEN 'present' ELSE 'missing' END AS account, CASE WHEN count(*) FILTER (WHERE Debit <> 0) > 0 THEN 'present' ELSE 'none' END AS debit, CASE WHEN count(*) FILTER (WHERE Credit <> 0) > 0 THEN 'present' ELSE 'none' END AS credit FROM led GROUP BY 1"))
-def absence_signals(spark, d):
-    told = lambda test, absent: F.when(test, "present").otherwise(absent)
-    return ledger_lines(spark, d).groupBy("Transaction_ID").agg(told(F.count("Account") > 0, "missing").alias("account"), told(F.count_if(F.col("Debit") != 0) > 0, "none").alias("debit"), told(F.count_if(F.col("Credit") != 0) > 0, "none").alias("credit"))
-
-
-@query("asa_deltas", ev_sql(f"SELECT {r0(f'count(*) FILTER (WHERE after_group = {COR})', 'count(*)')} - {r0(f'count(*) FILTER (WHERE before_group = {COR})', 'count(*)')} AS ex_delta FROM ev WHERE before_group <> 'D_ambiguous'"))
-def asa_deltas(spark, d):
-    share = lambda c: S.rate(F.count_if(F.col(c) == A), F.count("*"))
-    return evaluation_records(spark, d).where("before_group <> 'D_ambiguous'").agg((share("after_group") - share("before_group")).alias("ex_delta"))
-
-
-@query("confidence_table", ev_sql(f"SELECT mode, {n_if('probes_used >= 4')} AS high, {n_if(f'probes_used >= 4 AND before_group = {COR} AND answers_question')} AS high_right, {n_if('probes_used >= 4 AND before_group = ' + chr(39) + 'B_wrong_executable' + chr(39) + ' AND answers_question')} AS high_wrong FROM ev GROUP BY mode"))
-def confidence_table(spark, d):
-    sure, said = F.col("probes_used") >= 4, F.col("answers_question")
-    return evaluation_records(spark, d).groupBy("mode").agg(F.count_if(sure).alias("high"), metrics.count_if(sure & (F.col("before_group") == A) & said).alias("high_right"), metrics.count_if(sure & (F.col("before_group") == B) & said).alias("high_wrong"))
-
-
 @query("common_denominator", ev_sql("SELECT count(DISTINCT n) <= 1 AS common FROM (SELECT count(*) AS n FROM ev GROUP BY mode)"))
 def common_denominator(spark, d):
     return evaluation_records(spark, d).groupBy("mode").agg(F.count("*").alias("n")).agg((F.count_distinct("n") <= 1).alias("common"))
@@ -469,15 +396,6 @@ def predicate_symmetric_difference(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.array_union(F.array_except(a, b), F.array_except(b, a)).alias("changed"))
 
 
-@query("candidate_classification", ev_sql("SELECT idx, CASE WHEN before_group = 'D_ambiguous' THEN 'skip: ambiguous' WHEN before_group = 'C_non_executable' THEN CASE WHEN idx % 4 = 0 THEN 'skip: no sql' ELSE 'execution' END WHEN idx % 10 = 0 THEN 'skip: abstained' WHEN answers_question IS DISTINCT FROM false THEN 'skip: not rejected' WHEN idx % 3 = 0 THEN 'skip: no mismatch type' WHEN idx % 7 = 0 THEN 'skip: no hint' ELSE 'semantic: financial_object_error' END AS kind FROM ev"))
-def candidate_classification(spark, d):
-    from ledgerlens.plans.verdicts import candidate
-
-    key = F.col("idx")
-    mismatch, hint = F.when(key % 3 != 0, "financial_object_error"), F.when(key % 7 == 0, " ").otherwise("use the vendor")
-    return evaluation_records(spark, d).select("idx", candidate(F.col("before_group"), F.col("answers_question"), key % 10 == 0, mismatch, hint, F.when(key % 4 != 0, "select 1")).alias("kind"))
-
-
 @query("verdict_normalisation", "SELECT o_orderkey AS idx, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN false END END AS answers, o_orderkey % 2 = 0 AS flag FROM orders")
 def verdict_normalisation(spark, d):
     from ledgerlens.plans.verdicts import truth, verdict
@@ -495,19 +413,3 @@ def profile_status(spark, d):
     key = F.col("o_orderkey")
     text = F.when(key % 4 == 0, '{"status": "ok"}').when(key % 4 == 1, '{"profile": {"status": "parse_error"}}').when(key % 4 == 2, "Tables: t\n[Status] EMPTY\n").otherwise("nothing")
     return table(spark, d, "orders").select(key.alias("idx"), status(text).alias("status"))
-
-
-@query("repair_chain_stub")
-def repair_chain_stub(spark, d):
-    from ledgerlens.plans.verdicts import repair_chain
-
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.lit("select 0").alias("sql"), F.when(F.col("o_orderkey") % 2 == 0, "financial_measure_error").otherwise("computation_logic_error").alias("mismatch"))
-    follow = {"financial_measure_error": "financial_object_error", "financial_object_error": None}
-    return repair_chain(rows, lambda sql, m: None if m == "computation_logic_error" else f"{sql}, {m}", lambda sql, m: follow[m])
-
-
-@query("semantic_profile")
-def semantic_profile(spark, d):
-    from ledgerlens.plans.profile import profiles_frame
-
-    return profiles_frame(spark)
