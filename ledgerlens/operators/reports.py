@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import count_and_rate, filled, percent, rate, signed_points, worsened
 from ledgerlens.operators.metrics import bottleneck, count_if
+from ledgerlens.plans.contradict import HARD, NONE, UNKNOWN, WARNINGS
 from ledgerlens.sources.ledger import A, B, C, D
 
 
@@ -90,6 +91,30 @@ def repair_report(df: DataFrame) -> DataFrame:
     })
 
 
+def contradiction_report(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Figures of pairs judged by ``contradict.with_contradictions`` (status, execution_match, excluded_from_primary_metrics).
+
+    Rates of contradictions are of the pairs that can be judged. The crosstab with
+    execution leaves out pairs that cannot be judged and those without a match.
+    """
+    status, match = F.col("status"), F.col("execution_match")
+    measured = match.isNotNull() & ~F.coalesce("excluded_from_primary_metrics", F.lit(False))
+    judged = status != UNKNOWN
+    counts = {"total": F.count(F.lit(1)), "evaluable": count_if(judged), "hard": count_if(status == HARD), "none": count_if(status == NONE), "not_evaluable": count_if(status == UNKNOWN)}
+    counts |= {f"{name}_{end}": count_if((status == kind) & (match == held)) for name, kind in (("hard", HARD), ("none", NONE)) for end, held in (("pass", True), ("fail", False))}
+    counts |= {"without_match": count_if(judged & match.isNull()), "measured": count_if(measured), "measured_pass": count_if(measured & match)}
+    rates = {"hard_rate": ("hard", "evaluable"), "none_rate": ("none", "evaluable"), "not_evaluable_rate": ("not_evaluable", "total"), "execution_accuracy": ("measured_pass", "measured")}
+    return tallied(df, counts, rates, by)
+
+
+def warning_rates(df: DataFrame) -> DataFrame:
+    """Each known warning with the pairs that have it, also none, and its rate of the pairs that can be judged."""
+    held = [count_if(F.array_contains("warnings", w)).alias(w) for w in WARNINGS]
+    every = df.agg(count_if(F.col("status") != UNKNOWN).alias("evaluable"), *held)
+    rows = F.inline(F.array(*[F.struct(F.lit(w).alias("code"), F.col(w).alias("n")) for w in WARNINGS]))
+    return every.select("evaluable", rows).select("code", "n", rate(F.col("n"), F.col("evaluable"), 0.0).alias("rate"))
+
+
 def histograms(df: DataFrame, columns: list[str]) -> DataFrame:
     """Counts of the values of several columns in one pass over the rows: (name, value, n), nulls counted."""
     pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(x).cast("string").alias("value")) for x in columns]))

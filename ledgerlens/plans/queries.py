@@ -7,8 +7,9 @@ import json
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import scalars as S
-from ledgerlens.operators.queries import AS_OF, query
-from ledgerlens.plans import contradict, execute, facts, fixtures, gates, notes, profile, repair, verify
+from ledgerlens.operators import reports
+from ledgerlens.operators.queries import AS_OF, n_if, query
+from ledgerlens.plans import contradict, execute, facts, fixtures, gates, layers, notes, profile, repair, verify
 from ledgerlens.sources.ledger import LED_SQL, ledger_lines, table
 
 
@@ -166,6 +167,49 @@ def contradiction_histogram(spark, d):
     return contradiction_pairs(spark, d).select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
 
 
+def judged_pairs(spark, d):
+    key = F.col("idx")
+    return contradiction_pairs(spark, d).withColumns({"execution_match": F.when(key % 3 < 2, key % 3 == 0), "excluded_from_primary_metrics": F.when(key % 5 < 3, key % 5 == 0)})
+
+
+_JUDGED_SQL = """FROM (SELECT CASE WHEN o_orderkey % 7 IN (1, 2) THEN 'hard' WHEN o_orderkey % 7 = 5 THEN 'unknown' ELSE 'none' END AS s, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS m,
+  o_orderkey % 5 = 0 AS x, o_orderkey % 7 AS k FROM orders)"""
+
+
+@query("contradiction_report", "SELECT *, hard / greatest(evaluable, 1) AS hard_rate, none / greatest(evaluable, 1) AS none_rate, not_evaluable / greatest(total, 1) AS not_evaluable_rate, measured_pass / greatest(measured, 1) AS execution_accuracy FROM (SELECT " + ", ".join(
+    f"{n_if(t)} AS {n}" for n, t in {"total": "true", "evaluable": "s <> 'unknown'", "hard": "s = 'hard'", "none": "s = 'none'", "not_evaluable": "s = 'unknown'", "hard_pass": "s = 'hard' AND m", "hard_fail": "s = 'hard' AND NOT m", "none_pass": "s = 'none' AND m",
+    "none_fail": "s = 'none' AND NOT m", "without_match": "s <> 'unknown' AND m IS NULL", "measured": "m IS NOT NULL AND NOT x", "measured_pass": "m AND NOT x"}.items()) + f" {_JUDGED_SQL})")
+def contradiction_report(spark, d):
+    return reports.contradiction_report(judged_pairs(spark, d))
+
+
+@query("warning_rates", f"SELECT code, n, n / greatest(e, 1) AS rate FROM (SELECT {n_if('k <> 5')} AS e, {n_if('k IN (3, 4)')} AS g, {n_if('k = 6')} AS f {_JUDGED_SQL}), LATERAL (SELECT unnest({list(contradict.WARNINGS)!r}) AS code), LATERAL (SELECT CASE code WHEN 'aggregation_or_grain_error' THEN g WHEN 'financial_scope_warning' THEN f ELSE 0 END AS n)")
+def warning_rates(spark, d):
+    return reports.warning_rates(judged_pairs(spark, d))
+
+
+# Layers
+
+
+@query("query_layers", """SELECT o_orderkey AS idx, CASE k WHEN 4 THEN 'UNSUPPORTED_LINEAGE' WHEN 5 THEN 'PARSE_ERROR' ELSE 'OK' END AS layer_status,
+  CASE k WHEN 4 THEN 'unknown_due_to_extraction_limit' WHEN 5 THEN 'unknown_due_to_parse_error' WHEN 2 THEN 'no_scope_in_sql' ELSE 'explicit_scope' END AS scope_status,
+  CASE k WHEN 0 THEN 'customer_by_temporal_period' WHEN 1 THEN 'global_summary' WHEN 3 THEN 'vendor_level' WHEN 5 THEN 'unknown' ELSE 'raw_transaction' END AS grain,
+  CASE k WHEN 0 THEN ['transaction_event', 'measure_filter'] WHEN 1 THEN ['transaction_event', 'payment_status'] WHEN 3 THEN ['transaction_event'] ELSE [] END AS scope_roles,
+  CASE k WHEN 0 THEN ['credit', 'debit'] WHEN 1 THEN ['credit'] WHEN 2 THEN ['balance'] WHEN 3 THEN ['row_count'] WHEN 4 THEN ['unknown'] ELSE [] END AS vectors,
+  CASE k WHEN 0 THEN ['single_column_aggregate'] WHEN 1 THEN ['single_column_aggregate', 'composite_expression'] WHEN 2 THEN ['raw_column_selection'] WHEN 3 THEN ['row_count'] WHEN 4 THEN ['raw_column_selection'] ELSE [] END AS types,
+  CASE k WHEN 1 THEN ['include_only', 'invert_sign_polarity'] ELSE [] END AS effects,
+  CASE k WHEN 0 THEN ['prior_month'] WHEN 1 THEN ['prior_calendar_year'] ELSE [] END AS period_labels,
+  CASE k WHEN 0 THEN 'normalized' WHEN 1 THEN 'partially_normalized' WHEN 3 THEN 'normalized' WHEN 5 THEN 'unknown' ELSE 'no_temporal_filter' END AS temporal_status,
+  CASE k WHEN 0 THEN 'possible_pre_aggregation_threshold_filter' ELSE 'none_detected' END AS threshold_risk FROM (SELECT o_orderkey, o_orderkey % 6 AS k FROM orders)""")
+def query_layers(spark, d):
+    texts = by_case(
+        "SELECT Customers, SUM(Credit) - SUM(Debit) FROM master_txn_table WHERE Transaction_TYPE = 'invoice' AND Transaction_DATE BETWEEN date(current_date, 'start of month', '-1 months') AND date('now', 'start of month', '-1 days') AND Amount > {k} GROUP BY Customers, strftime('%Y', Transaction_DATE)",
+        "SELECT SUM(CASE WHEN Transaction_TYPE IN ('invoice', 'bill') THEN Credit ELSE 0 END), SUM(CASE WHEN AR_paid = 'paid' THEN -Credit ELSE Credit END) FROM master_txn_table WHERE strftime('%Y', Transaction_DATE) = strftime('%Y', 'now') - 1",
+        "SELECT Balance FROM customers", "SELECT COUNT(*) FROM master_txn_table WHERE Transaction_TYPE = 'bill' AND Transaction_DATE >= '2024-01-01' GROUP BY Vendor", "SELECT a FROM (SELECT {k} AS a) t", "SELEC {k}",
+    )
+    return layers.with_layers(orders(spark, d).select("idx", texts.alias("sql")), "sql", _NOTES).select("idx", "layer_status", "scope_status", "grain", "scope_roles", "vectors", "types", "effects", "period_labels", "temporal_status", "threshold_risk")
+
+
 # Gates
 
 _REPAIRS = [
