@@ -164,8 +164,8 @@ class Notes:
     def rows(self, spark: SparkSession) -> DataFrame:
         """One row for each annotated column."""
         fields = ", ".join(f"{a} string" for a in ATTRIBUTES)
-        rows = [(n.table, n.column, *(_text(n.get(a)) for a in ATTRIBUTES), n.default.status) for own in self.by_column.values() for n in own]
-        return spark.createDataFrame(rows, f"table string, column string, {fields}, default_status string")
+        rows = [(n.table, n.column, *(_text(n.get(a)) for a in ATTRIBUTES), n.default.status, n.missing.concept if n.missing else None) for own in self.by_column.values() for n in own]
+        return spark.createDataFrame(rows, f"table string, column string, {fields}, default_status string, missing_concept string")
 
     def literals(self, spark: SparkSession) -> DataFrame:
         """One row for each literal of a column and way to match it; the lowest rank that matches holds."""
@@ -202,7 +202,7 @@ def look_up_columns(refs: DataFrame, notes: Notes) -> DataFrame:
     all tables if there are none; more than one is ambiguous.
     """
     spark = refs.sparkSession
-    own = notes.rows(spark).drop("default_status")
+    own = notes.rows(spark).drop("default_status", "missing_concept")
     struct = F.struct(F.col("table").alias("note_table"), F.col("column").alias("note_column"), *ATTRIBUTES)
     index = own.groupBy(F.lower(F.trim("column")).alias("_c")).agg(F.sort_array(F.collect_list(struct)).alias("_notes"))
     count = sum(map(len, notes.by_column.values()))
@@ -221,18 +221,18 @@ def resolve_values(values: DataFrame, notes: Notes) -> DataFrame:
     literals = notes.literals(spark).select(F.lower("table").alias("_t"), F.lower("column").alias("_c"), F.struct("rank", "status", "concept", "classes", "way", "form").alias("_l"))
     by_column = literals.groupBy("_t", "_c").agg(F.collect_list("_l").alias("_l"))
     count = sum(len(n.exact) + len(n.loose) + 1 for own in notes.by_column.values() for n in own)
-    defaults = notes.rows(spark).select(F.lower("table").alias("_t"), F.lower("column").alias("_c"), F.col("default_status"))
+    defaults = notes.rows(spark).select(F.lower("table").alias("_t"), F.lower("column").alias("_c"), "default_status", "missing_concept")
     known = defaults.join(by_column, ["_t", "_c"], "left")
     joined = values.join(_sized(known, count), (F.lower(F.trim(values["table"])) == known["_t"]) & (F.lower(F.trim(values["column"])) == known["_c"]), "left")
     clean = clean_literal(F.col("value"))
     hits = F.filter("_l", lambda x: F.when(x["way"] == "clean", x["form"] == clean).otherwise(x["form"] == F.lower(clean)))
     best = F.get(F.sort_array(hits), 0)
     joined = joined.withColumn("_best", best)
-    missing = F.col("value").isNull() & F.col("default_status").isNotNull()
+    missing = F.col("value").isNull() & F.col("missing_concept").isNotNull()
     return joined.select(
         *values.columns,
         F.coalesce(F.col("_best.status"), F.when(missing, MARKER), "default_status", F.lit(NO_MAP)).alias("status"),
-        F.coalesce(F.col("_best.concept"), F.when(missing, "missing")).alias("concept"),
+        F.coalesce(F.col("_best.concept"), F.when(missing, F.col("missing_concept"))).alias("concept"),
         F.coalesce(F.col("_best.classes"), F.array().cast("array<string>")).alias("classes"),
     )
 

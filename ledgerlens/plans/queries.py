@@ -117,7 +117,7 @@ _COLUMNS = (("chart_of_accounts", "Account_type"), ("master_txn_table", "AR_paid
 
 @query("value_resolution", f"""SELECT idx, status, concept FROM (SELECT o_orderkey AS idx, o_orderkey % 8 AS v, (o_orderkey // 8) % 4 AS c FROM orders) JOIN {values([
     (0, 0, 'exact_match', 'income'), (0, 1, 'normalised_match', 'income'), (0, 2, 'unmapped_literal', None), (0, 3, 'unmapped_literal', None), (0, 4, 'unmapped_literal', None), (0, 5, 'unmapped_literal', None), (0, 6, 'unmapped_literal', None), (0, 7, 'missing_marker', 'missing'),
-    (1, 0, 'unmapped_literal', None), (1, 1, 'unmapped_literal', None), (1, 2, 'unmapped_literal', None), (1, 3, 'exact_match', 'paid'), (1, 4, 'missing_marker', 'no settlement recorded'), (1, 5, 'unmapped_literal', None), (1, 6, 'unmapped_literal', None), (1, 7, 'missing_marker', 'missing'),
+    (1, 0, 'unmapped_literal', None), (1, 1, 'unmapped_literal', None), (1, 2, 'unmapped_literal', None), (1, 3, 'exact_match', 'paid'), (1, 4, 'missing_marker', 'no settlement recorded'), (1, 5, 'unmapped_literal', None), (1, 6, 'unmapped_literal', None), (1, 7, 'missing_marker', 'no settlement recorded'),
     (2, 0, 'unobserved_literal', None), (2, 1, 'unobserved_literal', None), (2, 2, 'unobserved_literal', None), (2, 3, 'unobserved_literal', None), (2, 4, 'unobserved_literal', None), (2, 5, 'normalised_match', 'bill'), (2, 6, 'unobserved_literal', None), (2, 7, 'missing_marker', 'missing'),
     (3, 0, 'no_value_map', None), (3, 1, 'no_value_map', None), (3, 2, 'no_value_map', None), (3, 3, 'no_value_map', None), (3, 4, 'no_value_map', None), (3, 5, 'no_value_map', None), (3, 6, 'no_value_map', None), (3, 7, 'missing_marker', 'missing')], 'cc, vv, status, concept')} ON c = cc AND v = vv""")
 def value_resolution(spark, d):
