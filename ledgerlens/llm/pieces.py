@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import text_parts
-from ledgerlens.llm.memo import WordMemo, slices
+from ledgerlens.llm.memo import WORDS, WordMemo, slices
 
 MARK = "▁"
 #: Answers of the pair test that a worker keeps.
@@ -38,7 +38,7 @@ PAIRS = 400_000
 class PrefixTableCodec:
     """Encodes and decodes as the model at ``path`` does, without begin, end or sampling."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = WORDS):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -76,7 +76,7 @@ class PrefixTableCodec:
             self.automaton.add_word(self.pieces[k], (k, len(self.pieces[k])))
         self.automaton.make_automaton()
         self.pair_memo: dict[int, bool] = {}
-        self.memo = WordMemo(lambda words: map(self.encode_run, words))
+        self.memo = WordMemo(lambda words: map(self.encode_run, words), words)
 
     def _merge(self, piece: str) -> tuple[int, int] | None:
         """The last two parts when the merges of ``piece`` end in ``piece`` itself, else None."""
@@ -238,9 +238,9 @@ def _utf8(run: bytes) -> str:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> PrefixTableCodec:
-    """One codec for a worker and model file; every node has the file at this path."""
-    return PrefixTableCodec(path)
+def codec(path: str, words: int = WORDS) -> PrefixTableCodec:
+    """One codec for a worker, model file and size of the memo; every node has the file at this path."""
+    return PrefixTableCodec(path, words)
 
 
 def _ids_array(rows: list[list[int]]) -> pa.Array:
@@ -274,17 +274,19 @@ def decode(df: DataFrame, model_path: str, id_column: str = "doc_id", ids_column
     return df.select(F.col(id_column).alias("i"), F.col(ids_column).alias("ids")).mapInArrow(run, f"i {kind}, text string").withColumnRenamed("i", id_column)
 
 
-def round_trip(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(df: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, words: int = WORDS) -> DataFrame:
     """Encodes each text, decodes its ids, and gives a digest of both.
 
     Columns: id, n_tokens (long), ids_sha256 (lowercase hex of the decimal ids
     joined by commas), decoded_sha256 (lowercase hex of the decoded text in
     UTF-8), and with ``with_ids`` the ids (array of int). A null text counts as empty; repeated rows stay repeated; other
     columns are ignored; a null id is kept. An empty table gives an empty result.
+    ``words`` bounds the memo of a worker, at about 600 bytes of memory for each;
+    it changes no result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_path)
+        own = codec(model_path, words)
         digits = [str(k) for k in range(len(own.pieces))].__getitem__
         sha = lambda text: hashlib.sha256(text.encode("utf-8")).hexdigest()
         for batch in batches:
