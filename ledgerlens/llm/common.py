@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,51 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (``spark.checkpoint.dir``), also set as checkpoint folder.
-
-    Without one, a session on one machine uses a folder of that machine; on a
-    cluster that would lose what other machines cannot see, so it is an error.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder and not context.master.split("[")[0] == "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-    folder = folder or LOCAL_CHECKPOINTS
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet in the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Removes a table made by ``written`` that no later step reads; anything else is left alone."""
-    path = getattr(df, "_written_at", None)
-    if path:
-        session = df.sparkSession
-        place = session._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+from ledgerlens.sources.scratch import forget, fresh_path, shared_dir, written  # noqa: F401 - the operators take all helpers from here
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 #: Rows of one key from which on ``split_join`` takes it out of the shuffle, at least.
 HEAVY = 1000
