@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.operators.dataflow import pending
+from ledgerlens.sources.scratch import exists
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
     """Appends rows whose key the sink does not have; of rows that repeat a key within the batch one is kept."""
     spark = rows.sparkSession
     rows = rows.dropDuplicates(keys)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop):
+    if exists(spark, path):
         rows = pending(rows, spark.read.schema(rows.schema).parquet(path), keys)
     rows.write.mode("append").parquet(path)
 
