@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm import chat, contamination, language, licenses, neighbours, packing, pieces, quality, sharding, simhash, token_files
+from ledgerlens.llm import alignment, chat, contamination, language, licenses, neighbours, packing, pieces, quality, sharding, simhash, token_files, vector_codes
 from ledgerlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,12 +54,21 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality": op1_quality, "op2_contamination": op2_contamination, "op3_licenses": op3_licenses, "op4_chat": op4_chat, "op5_token_files": op5_token_files, "op6_pieces": op6_pieces, "op7_shards": op7_shards, "op8_language": op8_language, "op9_simhash": op9_simhash, "op10_neighbours": op10_neighbours, "op12_packing": op12_packing}
+    found = [op1_quality, op2_contamination, op3_licenses, op4_chat, op5_token_files, op6_pieces, op7_shards, op8_language, op9_simhash, op10_neighbours, op11_vector_codes, op12_packing, op13_alignment]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
