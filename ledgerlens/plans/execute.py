@@ -1,11 +1,16 @@
 """Guarded execution of query pairs and comparison of their results.
 
-Queries run through ``spark.sql``, so they start on the driver; a bounded pool
-of threads keeps several in flight, each under a job tag that a timer cancels.
-Every distinct text runs once, over tables that are kept while the run lasts. A
-result of up to ``KEPT`` rows leaves two digests behind, of its rows in order
-and as a bag; larger ones are compared in the cluster, pair by pair, and only
-where their sizes agree. Pairs are judged in one job over the table of pairs.
+Queries run through ``spark.sql``, so they start on the driver. Every distinct
+text runs once, over tables that are kept while the run lasts. Aggregates over
+one source share scans (``fuse``); if a shared scan fails, its halves run, down
+to a query by itself, so that each has its own error. All other queries run one
+by one. A bounded pool of threads keeps several jobs in flight, each under a tag
+that a timer cancels.
+
+Every result leaves its number of rows, whether all its cells are null, and two
+digests behind, of its rows in order and as a bag. Of a result of up to ``KEPT``
+rows the driver takes them; a larger one is written once and they are taken in
+the cluster. Pairs are judged by these in one job over the table of pairs.
 """
 
 from __future__ import annotations
@@ -21,21 +26,23 @@ import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.dataflow import bag_difference, ordered_difference
+from ledgerlens.operators.dataflow import canonical, numbered, result_digest
 from ledgerlens.operators.metrics import group_of
+from ledgerlens.plans import fuse
 from ledgerlens.plans.dialect import DialectError, to_spark
 from ledgerlens.sources.ledger import D
-from ledgerlens.sources.scratch import fresh_path, remove, written
+from ledgerlens.sources.scratch import forget, fresh_path, remove, written
 
 WORKERS = 8
 TIMEOUT = 120.0
 #: Rows of a result that the driver looks at, and of those that a preview shows.
 KEPT, SHOWN = 10_000, 100
-#: Outcomes that the driver holds before they are written out.
+#: Queries that are planned together, whose outcomes the driver holds before they are written out.
 HELD = 20_000
 _ORDERED = r"(?i)\border\s+by\b"
 
@@ -78,7 +85,7 @@ class Engine:
         except DialectError as e:
             return None, str(e)
         except Exception as e:  # noqa: BLE001 - a query's failure is a result here
-            return None, str(e).strip().splitlines()[0][:300]
+            return None, _said(e)
 
     @contextmanager
     def limited(self):
@@ -102,41 +109,94 @@ class Engine:
             context.removeJobTag(tag)
 
     def run(self, sql: str | None) -> tuple:
-        """Outcome of one query: error, rows (null if there are more than are kept), all_null, preview, ordered digest, bag digest, seconds."""
+        """Outcome of one query: error, rows, all_null, preview, ordered digest, bag digest, seconds."""
         began = time.monotonic()
         frame, error = self.query(sql)
-        rows: list = []
-        if frame is not None:
-            try:
-                with self.limited():
-                    rows = frame.limit(self.kept + 1).collect()
-            except Exception as e:  # noqa: BLE001
-                late = time.monotonic() - began >= self.timeout or "cancelled" in str(e).lower()
-                error = f"query_timeout: over {self.timeout:g} seconds" if late else str(e).strip().splitlines()[0][:300]
-        seconds = round(time.monotonic() - began, 4)
-        if error is not None:
-            return error, None, None, None, None, None, seconds
-        large = len(rows) > self.kept
-        shown = json.dumps({"row_count": None if large else len(rows), "truncated": len(rows) > SHOWN, "rows": [[json_safe(v) for v in r] for r in rows[:SHOWN]]}, ensure_ascii=False)
-        if large:
-            return None, None, False, shown, None, None, seconds
-        lines = [json.dumps([plain_cell(v) for v in r], ensure_ascii=False) for r in rows]
-        empty = bool(rows) and all(v is None for r in rows for v in r)
-        return None, len(rows), empty, shown, _digest(lines), _digest(sorted(lines)), seconds
-
-    def same_rows(self, gold: str, made: str) -> tuple[bool, str | None]:
-        """Comparison of two large results in the cluster."""
-        left, right = self.query(gold)[0], self.query(made)[0]
-        if len(left.columns) != len(right.columns):
-            return False, None
+        return (error, *[None] * 5, round(time.monotonic() - began, 4)) if frame is None else self.outcome(frame, began)
+
+    def outcome(self, frame: DataFrame, began: float) -> tuple:
+        """Outcome of a result that is not yet computed."""
         try:
             with self.limited():
-                if left.count() != right.count():
-                    return False, None
-                return (ordered_difference if ordered(gold) else bag_difference)(left, right).isEmpty(), None
+                rows = frame.limit(self.kept + 1).collect()
+                found = _small(rows) if len(rows) <= self.kept else _large(frame)
+            error = None
         except Exception as e:  # noqa: BLE001
-            late = "cancelled" in str(e).lower()
-            return False, f"query_timeout: over {self.timeout:g} seconds" if late else str(e).strip().splitlines()[0][:300]
+            late = time.monotonic() - began >= self.timeout or "cancelled" in str(e).lower()
+            found, error = [None] * 5, f"query_timeout: over {self.timeout:g} seconds" if late else _said(e)
+        return (error, *found, round(time.monotonic() - began, 4))
+
+    def run_scan(self, scan: fuse.Scan) -> list[tuple[str, tuple]]:
+        """Outcomes of the queries of a shared scan, each with its text."""
+        if len(scan.parts) == 1:
+            return [(scan.parts[0].sql, self.run(scan.parts[0].sql))]
+        began = time.monotonic()
+        text, outers = scan.text()
+        name = f"groups_{uuid.uuid4().hex[:12]}"
+        try:
+            with self.limited():
+                groups = self.session.sql(text)
+                rows = groups.limit(self.kept + 1).collect()
+        except Exception:  # noqa: BLE001 - the halves say which query it is
+            return [o for half in scan.halves() for o in self.run_scan(half)]
+        if len(rows) <= self.kept:
+            held = self.session.createDataFrame(rows, groups.schema)
+        else:
+            held = written(groups, "groups")
+        held.createOrReplaceTempView(name)
+        out = []
+        share = (time.monotonic() - began) / len(scan.parts)
+        try:
+            if not scan.keys and self.kept:
+                # one row for all: every query's own row is projected from it in one job
+                return self._one_rows(scan, outers, name, share)
+            for part, outer in zip(scan.parts, outers):
+                started = time.monotonic()
+                try:
+                    frame = self.session.sql(outer.replace("{t}", f"`{name}`"))
+                except Exception:  # noqa: BLE001
+                    out.append((part.sql, self.run(part.sql)))
+                    continue
+                *found, seconds = self.outcome(frame, started)
+                out.append((part.sql, (*found, round(seconds + share, 4))))
+        finally:
+            self.session.catalog.dropTempView(name)
+            forget(held)
+        return out
+
+    def _one_rows(self, scan: fuse.Scan, outers: list[str], name: str, share: float) -> list[tuple[str, tuple]]:
+        structs = [f"struct({o.removeprefix('SELECT ').removesuffix(' FROM {t}')}) AS q{k}" for k, o in enumerate(outers)]
+        try:
+            row = self.session.sql(f"SELECT {', '.join(structs)} FROM `{name}`").collect()[0]
+        except Exception:  # noqa: BLE001
+            return [(p.sql, self.run(p.sql)) for p in scan.parts]
+        return [(p.sql, (None, *_small([tuple(r)]), round(share, 4))) for p, r in zip(scan.parts, row)]
+
+
+def _said(error: Exception) -> str:
+    return str(error).strip().splitlines()[0][:300]
+
+
+def _small(rows: list) -> tuple:
+    """Rows, all_null, preview and both digests of a result on the driver."""
+    lines = [json.dumps([plain_cell(v) for v in r], ensure_ascii=False) for r in rows]
+    empty = bool(rows) and all(v is None for r in rows for v in r)
+    return len(rows), empty, _preview(rows, len(rows)), _digest(lines), _digest(sorted(lines))
+
+
+def _preview(rows: list, count: int) -> str:
+    return json.dumps({"row_count": count, "truncated": count > SHOWN, "rows": [[json_safe(v) for v in r] for r in rows[:SHOWN]]}, ensure_ascii=False)
+
+
+def _large(frame: DataFrame) -> tuple:
+    """The same of a result that is written once and looked at in the cluster."""
+    placed = numbered(frame.toDF(*[f"c{n}" for n in range(len(frame.columns))]))
+    names = [c for c in placed.columns if c != "at"]
+    cells = placed.select("at", *[c.alias(n) for n, c in zip(names, canonical(placed.select(*names), columns=True))])
+    found = cells.agg(F.count("*").alias("n"), F.bool_and(F.coalesce(*names).isNull()).alias("empty"), result_digest(*names).alias("bag"), result_digest("at", *names).alias("ordered")).first()
+    first = placed.where(F.col("at") < SHOWN).orderBy("at").drop("at").collect()
+    forget(placed)
+    return found.n, found.empty, _preview(first, found.n), found.ordered, found.bag
 
 
 def _digest(lines: list[str]) -> str:
@@ -184,20 +244,23 @@ def _outcomes(engine: Engine, texts: Iterator[str], workers: int) -> tuple[DataF
     schema = f"h string, {_OUTCOME}"
     held: list[tuple] = []
     with ThreadPoolExecutor(workers) as pool:
-        waiting: list = []
-        for sql in texts:
-            waiting.append((sql, pool.submit(engine.run, sql)))
-            if len(waiting) >= 4 * workers:
-                done, future = waiting.pop(0)
-                held.append((hashlib.sha256(done.encode("utf-8", "surrogatepass")).hexdigest(), *future.result()))
-            if len(held) >= HELD:
+        while True:
+            some = list(islice(texts, HELD))
+            if not some and (held or path):
+                break
+            if held:
                 path = path or fresh_path(spark, "outcomes")
                 spark.createDataFrame(held, schema).write.mode("append").parquet(path)
-                held = []
-        held += [(hashlib.sha256(sql.encode("utf-8", "surrogatepass")).hexdigest(), *f.result()) for sql, f in waiting]
+            parts = {sql: part for sql, part in zip(some, (fuse.shared(t, engine.as_of, engine.types) for t in some)) if part}
+            jobs = [pool.submit(engine.run_scan, scan) for scan in fuse.scans(list(parts.values()))]
+            jobs += [pool.submit(lambda t: [(t, engine.run(t))], t) for t in some if t not in parts]
+            held = [(hashlib.sha256(sql.encode("utf-8", "surrogatepass")).hexdigest(), *outcome) for job in jobs for sql, outcome in job.result()]
+            if len(some) < HELD:
+                break
     if path is None:
         return spark.createDataFrame(held, schema), None
-    spark.createDataFrame(held, schema).write.mode("append").parquet(path)
+    if held:
+        spark.createDataFrame(held, schema).write.mode("append").parquet(path)
     return spark.read.schema(schema).parquet(path), path
 
 
@@ -227,16 +290,12 @@ def evaluate_pairs(pairs: DataFrame, engine: Engine, strict: bool = False, worke
     for side in ("g", "m"):
         own = outcomes.select(*[F.col(c).alias(f"_{side}_{c}" if c != "h" else f"_{side}") for c in outcomes.columns])
         hashed = hashed.join(own, f"_{side}", "left")
-    large = hashed.where("_g_error IS NULL AND _m_error IS NULL AND _g_n IS NULL AND _m_n IS NULL").select("_g", "_m", "gold_sql", "generated_sql").dropDuplicates(["_g", "_m"])
-    compared = [(r._g, r._m, *((True, None) if r._g == r._m else engine.same_rows(r.gold_sql, r.generated_sql))) for r in large.toLocalIterator()]
-    judged = engine.spark.createDataFrame(compared, "_g string, _m string, _same boolean, _late string")
-    hashed = hashed.join(judged, ["_g", "_m"], "left")
     c = F.col
     digests = F.when(c("gold_sql").rlike(_ORDERED), c("_g_in_order") == c("_m_in_order")).otherwise(c("_g_as_bag") == c("_m_as_bag"))
-    made_error = F.coalesce("_m_error", "_late")
+    made_error = c("_m_error")
     fine = c("_g_error").isNull() & made_error.isNull()
-    match = F.coalesce(fine & F.coalesce("_same", digests), F.lit(False))
-    flags = ambiguity_flags(c("_g_error"), made_error, F.coalesce("_g_n", F.lit(1)), F.coalesce("_m_n", F.lit(1)), c("_g_all_null"), c("_m_all_null"))
+    match = F.coalesce(fine & (c("_g_n") == c("_m_n")) & digests, F.lit(False))
+    flags = ambiguity_flags(c("_g_error"), made_error, c("_g_n"), c("_m_n"), c("_g_all_null"), c("_m_all_null"))
     none = lambda *names: F.exists(flags, lambda f: f.isin(*names))
     empty = none("both_results_empty", "gold_result_empty", "gold_result_all_null"), none("generated_result_empty", "generated_result_all_null")
     group = group_of(c("_g_error").isNotNull(), made_error.isNotNull(), *empty, match, strict=strict)

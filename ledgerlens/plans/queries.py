@@ -250,30 +250,34 @@ def grouping_evidence(spark, d):
 # Execution
 
 
-def execution_pairs(spark):
-    """Reference and candidate queries about each year and type of transaction; some fail on purpose."""
-    rows, n = [], 0
-    for year in range(1992, 1999):
-        for kind in ("bill", "deposit", "invoice"):
-            gold = f"SELECT ROUND(SUM(Amount), 2) FROM ledger_lines WHERE Transaction_TYPE = '{kind}' AND Transaction_DATE BETWEEN '{year}-01-01' AND date('{year}-01-01', '+1 year', '-1 day')"
-            made = f"SELECT ROUND(SUM(Amount), 2) AS total FROM ledger_lines WHERE Transaction_TYPE LIKE '{kind.upper()}' AND strftime('%Y', Transaction_DATE) = '{year}'" + (" AND AR_paid = \"paid\"" if n % 4 == 1 else "")
-            gold = gold.replace("FROM", "FORM") if n % 11 == 10 else gold
-            made = made.replace("Amount", "Amounts") if n % 5 == 4 else made
-            rows.append((n, year, kind, gold, made))
-            n += 1
-    return spark.createDataFrame(rows, "idx int, year int, kind string, gold_sql string, generated_sql string")
-
-
-@query("guarded_execution", f"""WITH {LED_SQL}, t AS (SELECT year(Transaction_DATE) AS y, Transaction_TYPE AS k, round(sum(Amount), 2) AS a, round(sum(CASE WHEN AR_paid = 'paid' THEN Amount END), 2) AS p FROM led GROUP BY 1, 2),
-  c AS (SELECT CAST((y.y - 1992) * 3 + k.n AS INT) AS idx, y.y AS y, k.k AS k FROM range(1992, 1999) y(y), (VALUES (0, 'bill'), (1, 'deposit'), (2, 'invoice')) k(n, k))
-  SELECT idx, CASE WHEN idx % 11 = 10 THEN 'D_ambiguous' WHEN idx % 5 = 4 THEN 'C_non_executable' WHEN idx % 4 = 1 AND a IS DISTINCT FROM p THEN 'B_wrong_executable' ELSE 'A_correct_executable' END AS evaluation_group,
-  list_filter([CASE WHEN idx % 11 = 10 THEN 'gold_sql_error' END, CASE WHEN idx % 5 = 4 THEN 'generated_sql_error' END, CASE WHEN idx % 11 <> 10 AND idx % 5 <> 4 AND a IS NULL THEN 'gold_result_all_null' END, CASE WHEN idx % 11 <> 10 AND idx % 5 <> 4 AND (CASE WHEN idx % 4 = 1 THEN p ELSE a END) IS NULL THEN 'generated_result_all_null' END], lambda x: x IS NOT NULL) AS ambiguity_flags
-  FROM c LEFT JOIN t ON t.y = c.y AND t.k = c.k""")
+def execution_pairs(spark, d):
+    """Reference and candidate queries about each vendor and type of transaction, and about each vendor's types; some fail on purpose."""
+    vendor = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
+    kinds = F.posexplode(F.array(*map(F.lit, ("bill", "deposit", "invoice", None)))).alias("n", "t")
+    rows = vendor.select("k", "v", kinds).withColumn("idx", F.col("k") * 4 + F.col("n"))
+    fill = lambda text: F.format_string(text.replace("%", "%%").replace("{v}", "%1$s").replace("{t}", "%2$s").replace("{T}", "%3$s"), "v", "t", F.upper("t"))
+    gold = F.when(F.col("t").isNull(), fill("SELECT Transaction_TYPE, COUNT(*) FROM ledger_lines WHERE Vendor = '{v}' GROUP BY Transaction_TYPE ORDER BY Transaction_TYPE")).otherwise(
+        fill("SELECT ROUND(SUM(Amount), 2) FROM ledger_lines WHERE Vendor = '{v}' AND Transaction_TYPE = '{t}' AND Transaction_DATE <= date('1997-01-01', '+1 year', '-1 day')"))
+    made = F.when(F.col("t").isNull(), fill("SELECT Transaction_TYPE AS kind, SUM(1) AS n FROM ledger_lines WHERE Vendor = '{v}' GROUP BY Transaction_TYPE ORDER BY Transaction_TYPE")).otherwise(
+        fill("SELECT ROUND(SUM(Amount), 2) AS total FROM ledger_lines WHERE Transaction_TYPE LIKE '{T}' AND strftime('%Y', Transaction_DATE) < '1998' AND Vendor = '{v}'"))
+    made = F.when((F.col("idx") % 5 == 1) & F.col("t").isNotNull(), F.concat(made, F.lit(' AND AR_paid = "paid"'))).when((F.col("idx") % 5 == 1), F.concat(made, F.lit(" DESC"))).otherwise(made)
+    gold = F.when(F.col("idx") % 23 == 22, F.replace(gold, F.lit("FROM"), F.lit("FORM"))).otherwise(gold)
+    made = F.when(F.col("idx") % 9 == 8, F.replace(made, F.lit("ledger_lines"), F.lit("lines"))).otherwise(made)
+    return rows.select("idx", gold.alias("gold_sql"), made.alias("generated_sql"))
+
+
+@query("guarded_execution", f"""WITH {LED_SQL}, t AS (SELECT Vendor AS v, Transaction_TYPE AS t, round(sum(Amount), 2) AS a, round(sum(CASE WHEN AR_paid = 'paid' THEN Amount END), 2) AS p FROM led WHERE Transaction_DATE < DATE '1998-01-01' GROUP BY 1, 2),
+  g AS (SELECT Vendor AS v, count(DISTINCT Transaction_TYPE) AS kinds FROM led GROUP BY 1),
+  c AS (SELECT s_suppkey * 4 + k.n AS idx, s_name AS v, k.t FROM supplier, (VALUES (0, 'bill'), (1, 'deposit'), (2, 'invoice'), (3, NULL)) k(n, t)),
+  e AS (SELECT idx, c.t, a, p, coalesce(kinds, 0) AS kinds, idx % 23 = 22 AS bad_gold, idx % 9 = 8 AS bad_made, idx % 5 = 1 AS other, CASE WHEN idx % 5 = 1 THEN p ELSE a END AS m FROM c LEFT JOIN t ON t.v = c.v AND t.t = c.t LEFT JOIN g ON g.v = c.v)
+  SELECT idx, CASE WHEN bad_gold THEN 'D_ambiguous' WHEN bad_made THEN 'C_non_executable' WHEN t IS NULL AND other AND kinds > 1 OR t IS NOT NULL AND m IS DISTINCT FROM a THEN 'B_wrong_executable' ELSE 'A_correct_executable' END AS evaluation_group,
+  list_filter([CASE WHEN bad_gold THEN 'gold_sql_error' END, CASE WHEN bad_made THEN 'generated_sql_error' END, CASE WHEN NOT bad_gold AND NOT bad_made AND t IS NULL AND kinds = 0 THEN 'both_results_empty' END, CASE WHEN NOT bad_gold AND NOT bad_made AND t IS NOT NULL AND a IS NULL THEN 'gold_result_all_null' END, CASE WHEN NOT bad_gold AND NOT bad_made AND t IS NOT NULL AND m IS NULL THEN 'generated_result_all_null' END], lambda x: x IS NOT NULL) AS ambiguity_flags
+  FROM e""")
 def guarded_execution(spark, d):
     lines = ledger_lines(spark, d).persist()
     engine = execute.Engine(spark, {"ledger_lines": lines}, AS_OF)
     try:
-        return execute.evaluate_pairs(execution_pairs(spark), engine).select("idx", "evaluation_group", "ambiguity_flags")
+        return execute.evaluate_pairs(execution_pairs(spark, d), engine).select("idx", "evaluation_group", "ambiguity_flags")
     finally:
         engine.close()
         lines.unpersist()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import dataflow
-from ledgerlens.plans import execute
+from ledgerlens.plans import execute, fuse
 
 LINES = [("a", 5.0, 1.0, "bill", dt.date(1998, 2, 3), None), ("b", 1.0, 1.0, "invoice", dt.date(1997, 2, 3), None), ("b", 0.1, 0.2, "invoice", dt.date(1997, 3, 3), None)]
 SCHEMA = "Account string, Credit double, Debit double, Transaction_TYPE string, Transaction_DATE date, Empty string"
@@ -48,17 +48,69 @@ def pairs(spark):
 
 @pytest.mark.parametrize("kept", [10_000, 0])
 def test_groups_and_flags(spark, lines, kept):
-    """With nothing kept every comparison is made in the cluster, and emptiness is not looked at."""
+    """With nothing kept every result is looked at in the cluster; nothing else changes."""
     engine = execute.Engine(spark, {"l": lines}, "1998-06-24", kept=kept)
     got = execute.evaluate_pairs(pairs(spark), engine).orderBy("idx").collect()
     engine.close()
     assert [r.evaluation_group for r in got] == [g for _, _, g, _ in PAIRS]
     assert [r.excluded_from_primary_metrics for r in got] == [g[0] == "D" for _, _, g, _ in PAIRS]
-    if kept:
-        assert [r.ambiguity_flags for r in got] == [f for _, _, _, f in PAIRS]
-        assert got[4].error_message.startswith("baseline status: failed; baseline error: late; generated SQL error: ")
-        assert got[6].error_message.startswith("generated SQL error: empty SQL; gold SQL error: ") and got[0].error_message is None
-        assert got[0].generated_result == '{"row_count": 1, "truncated": false, "rows": [[6.1]]}'
+    assert [r.ambiguity_flags for r in got] == [f for _, _, _, f in PAIRS]
+    assert got[4].error_message.startswith("baseline status: failed; baseline error: late; generated SQL error: ")
+    assert got[6].error_message.startswith("generated SQL error: empty SQL; gold SQL error: ") and got[0].error_message is None
+    assert got[0].generated_result == '{"row_count": 1, "truncated": false, "rows": [[6.1]]}'
+
+
+def test_one_rule_at_every_size(spark):
+    """All-null and empty results are told apart whatever their size, and rows are counted."""
+    wide = spark.range(300).select(F.lit(None).cast("int").alias("x"), F.col("id").alias("k"), (F.col("id") % 7).alias("m"))
+    texts = [("select x from t", "select x from t"), ("select k from t", "select k from t order by k desc"), ("select k from t order by k", "select k from t order by k desc"), ("select m from t order by m, k", "select k % 7 from t order by k % 7"), ("select k from t", "select k from t where k < 299"), ("select x, m from t", "select m, x from t"), ("select k from t", "select k, k from t")]
+    frame = spark.createDataFrame([(n, g, m) for n, (g, m) in enumerate(texts)], "idx int, gold_sql string, generated_sql string")
+    found = []
+    for kept in (10_000, 100, 0):
+        engine = execute.Engine(spark, {"t": wide}, "1998-06-24", kept=kept)
+        found.append([(r.evaluation_group[0], r.ambiguity_flags, r.gold_result, r.generated_result) for r in execute.evaluate_pairs(frame, engine, strict=True).orderBy("idx").collect()])
+        engine.close()
+    assert found[0] == found[1] == found[2]
+    assert [g for g, *_ in found[0]] == ["D", "A", "B", "A", "B", "B", "B"]
+    assert found[0][0][1] == ["gold_result_all_null", "generated_result_all_null"]
+
+
+SHARED = [
+    "SELECT SUM(Credit) FROM l WHERE Account = 'b'", "SELECT SUM(Credit) - SUM(Debit) AS net, COUNT(*) FROM l", "SELECT COUNT(*) / 2, SUM(Credit) / COUNT(*) FROM l WHERE Credit > 0.5", "SELECT MAX(Transaction_DATE) FROM l WHERE Account LIKE 'A'",
+    "SELECT AVG(Credit) FROM l WHERE 0", "SELECT total(Credit), COUNT(Empty), SUM(Empty) FROM l WHERE 0", "SELECT CASE WHEN COUNT(*) > 1 THEN 'many{}' ELSE 'few' END FROM l", "SELECT COUNT(DISTINCT Account) FROM l", "SELECT SUM(CASE WHEN Account = 'b' THEN Credit END) > 1 FROM l",
+    "SELECT Account, SUM(Credit) AS s FROM l GROUP BY Account ORDER BY s DESC LIMIT 1", "SELECT Account, SUM(Debit) FROM l WHERE Credit < 3 GROUP BY Account", "SELECT COUNT(*), Account FROM l WHERE Credit < 0 GROUP BY Account", "SELECT Account FROM l GROUP BY Account HAVING SUM(Credit) > 2 ORDER BY Account",
+    "SELECT Account, Transaction_TYPE, MIN(Credit) FROM l GROUP BY Account, Transaction_TYPE ORDER BY 3", "SELECT SUM(Nothing) FROM l", "SELECT SUM(Credit) FROM l WHERE nofunction(Account)", "SELECT SUM(Credit), Account FROM l", "SELECT l.Account, COUNT(*) AS \"a b\" FROM l GROUP BY l.Account ORDER BY \"a b\"", "SELECT SUM(a.Credit) FROM l a JOIN l b ON a.Account = b.Account WHERE b.Credit < 3",
+    "SELECT Account || '-' || COUNT(*) FROM l GROUP BY Account ORDER BY COUNT(*) DESC, Account",
+]
+
+
+def test_shared_scans_give_what_each_query_gives(spark, lines):
+    engine = execute.Engine(spark, {"l": lines}, "1998-06-24")
+    parts = [fuse.shared(t, engine.as_of, engine.types) for t in SHARED]
+    assert [t for t, p in zip(SHARED, parts) if p is None] == [SHARED[k] for k in (6, 7, 14, 16, 17)]
+    for width in (80, 3):
+        shared = fuse.scans([p for p in parts if p], width)
+        assert width == 3 or len(shared) == 4
+        got = dict(o for scan in shared for o in engine.run_scan(scan))
+        assert {t: o[:-1] for t, o in got.items()} == {t: engine.run(t)[:-1] for t, p in zip(SHARED, parts) if p}
+    small = execute.Engine(spark, {"l": lines}, "1998-06-24", kept=0)
+    got = dict(o for scan in fuse.scans([p for p in parts if p and p.keys]) for o in small.run_scan(scan))
+    assert {t: o[:4] for t, o in got.items()} == {t: engine.run(t)[:4] for t in got}
+    engine.close()
+    small.close()
+
+
+def test_unequal_rows_by_digests(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(50), rng.choice(["a", "b", None])) for _ in range(3000)]
+    a, b = (spark.createDataFrame(r, "x int, y string") for r in (rows, rows[:-3] + [(99, None), (99, None)]))
+    want = sorted(map(tuple, dataflow.bag_difference(a, b).collect()), key=repr)
+    assert want
+    for buckets in (1, 2, 1024):
+        assert sorted(map(tuple, dataflow.unequal_rows(a, b, buckets).collect()), key=repr) == want
+    assert dataflow.unequal_rows(a, a.orderBy("y")).collect() == [] and dataflow.unequal_rows(a.limit(0), a.limit(0)).collect() == []
+    swapped = spark.createDataFrame([(None, "a")], "x string, y string"), spark.createDataFrame([("a", None)], "x string, y string")
+    assert not dataflow.bags_equal(*swapped) and dataflow.bags_equal(swapped[0], swapped[0]) and dataflow.bags_equal(a.limit(0), b.limit(0))
 
 
 def test_strict_mode(spark, lines):
