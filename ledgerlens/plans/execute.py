@@ -23,6 +23,7 @@ import re
 import threading
 import time
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
@@ -35,6 +36,7 @@ from ledgerlens.operators.dataflow import canonical, numbered, result_digest
 from ledgerlens.operators.metrics import group_of
 from ledgerlens.plans import fuse
 from ledgerlens.plans.dialect import DialectError, to_spark
+from ledgerlens.plans.sql import SqlError, parse
 from ledgerlens.sources.ledger import D
 from ledgerlens.sources.scratch import forget, fresh_path, remove, written
 
@@ -42,6 +44,8 @@ WORKERS = 8
 TIMEOUT = 120.0
 #: Rows of a result that the driver looks at, and of those that a preview shows.
 KEPT, SHOWN = 10_000, 100
+#: Groups of a shared scan that the driver holds, at most.
+GROUPS = 50_000
 #: Queries that are planned together, whose outcomes the driver holds before they are written out.
 HELD = 20_000
 _ORDERED = r"(?i)\border\s+by\b"
@@ -55,6 +59,12 @@ def ordered(sql: str) -> bool:
     return bool(re.search(_ORDERED, sql))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that many queries will scan: one that comes in fewer parts than there are cores is dealt out once."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Engine:
     """A session for SQLite queries over named tables: errors in values give nulls, as in SQLite."""
 
@@ -66,6 +76,11 @@ class Engine:
             self.session.conf.set(key, value)
         kinds = {"long": "int", "integer": "int", "short": "int", "byte": "int", "double": "real", "float": "real"}
         self.types = {f.name.lower(): kinds.get(f.dataType.typeName(), "text") for df in tables.values() for f in df.schema}
+        kinds_of: dict[str, set[str]] = defaultdict(set)
+        for f in (f for df in tables.values() for f in df.schema):
+            kinds_of[f.name.lower()].add(f.dataType.simpleString())
+        #: Columns that hold strings in every table that has them.
+        self.strings = {c for c, own in kinds_of.items() if own == {"string"}}
         mark = uuid.uuid4().hex[:12]
         self.names = {name: f"{name}_{mark}" for name in tables}
         for name, df in tables.items():
@@ -81,8 +96,12 @@ class Engine:
         if not (sql or "").strip():
             return None, "empty SQL"
         try:
+            tree = parse(sql)
+            known = {t.lower() for t in self.tables} | {c.text.lower() for c in tree.walk("cte")}
+            if absent := next((n.text for n in tree.walk("table") if n.text.lower() not in known), None):
+                return None, f"no such table: {absent}"
             return self.session.sql(to_spark(sql, self.as_of, self.types)), None
-        except DialectError as e:
+        except (DialectError, SqlError) as e:
             return None, str(e)
         except Exception as e:  # noqa: BLE001 - a query's failure is a result here
             return None, _said(e)
@@ -128,49 +147,83 @@ class Engine:
 
     def run_scan(self, scan: fuse.Scan) -> list[tuple[str, tuple]]:
         """Outcomes of the queries of a shared scan, each with its text."""
-        if len(scan.parts) == 1:
-            return [(scan.parts[0].sql, self.run(scan.parts[0].sql))]
+        if len(scan.parts) == 1 or not self.kept:
+            return [(p.sql, self.run(p.sql)) for p in scan.parts]
         began = time.monotonic()
-        text, outers = scan.text()
+        text, shapes = scan.text()
         name = f"groups_{uuid.uuid4().hex[:12]}"
+        most = max(self.kept, GROUPS)
         try:
             with self.limited():
                 groups = self.session.sql(text)
-                rows = groups.limit(self.kept + 1).collect()
+                rows = groups.limit(most + 1).collect()
         except Exception:  # noqa: BLE001 - the halves say which query it is
             return [o for half in scan.halves() for o in self.run_scan(half)]
-        if len(rows) <= self.kept:
-            held = self.session.createDataFrame(rows, groups.schema)
-        else:
-            held = written(groups, "groups")
+        if len(rows) > most and scan.held:
+            return [o for half in scan.halves() for o in self.run_scan(half)]
+        held = self.session.createDataFrame(rows, groups.schema) if len(rows) <= most else written(groups, "groups")
         held.createOrReplaceTempView(name)
-        out = []
         share = (time.monotonic() - began) / len(scan.parts)
         try:
-            if not scan.keys and self.kept:
+            if scan.held:
+                return [o for shape in shapes for o in self._by_literals(shape, scan, name, groups.schema, share)]
+            if not scan.keys:
                 # one row for all: every query's own row is projected from it in one job
-                return self._one_rows(scan, outers, name, share)
-            for part, outer in zip(scan.parts, outers):
+                return self._one_row(shapes, name, share)
+            out = []
+            for shape in shapes:
                 started = time.monotonic()
+                cut = ("" if shape.limit is None else f" LIMIT {shape.limit}") + (f" OFFSET {shape.offset}" if shape.offset else "")
                 try:
-                    frame = self.session.sql(outer.replace("{t}", f"`{name}`"))
+                    frame = self.session.sql(f"SELECT {shape.items} FROM `{name}`{shape.tail}{cut}")
                 except Exception:  # noqa: BLE001
-                    out.append((part.sql, self.run(part.sql)))
+                    out += [(p.sql, self.run(p.sql)) for p in shape.parts]
                     continue
                 *found, seconds = self.outcome(frame, started)
-                out.append((part.sql, (*found, round(seconds + share, 4))))
+                out += [(p.sql, (*found, round(seconds + share, 4))) for p in shape.parts]
+            return out
         finally:
             self.session.catalog.dropTempView(name)
             forget(held)
+
+    def _by_literals(self, shape: fuse.Shape, scan: fuse.Scan, name: str, schema, share: float) -> list[tuple[str, tuple]]:
+        """Queries of one shape: their rows are those of their literals; aggregates without keys have a row even over nothing."""
+        width = len(scan.held)
+        own: dict[tuple, list[tuple]] = defaultdict(list)
+        nothing: list[tuple] = []
+        try:
+            with self.limited():
+                for row in self.session.sql(f"SELECT {', '.join(f'l{k}' for k in range(width))}, {shape.items} FROM `{name}`{shape.tail}").collect():  # at most ``GROUPS`` rows
+                    own[tuple(row[:width])].append(tuple(row[width:]))
+                if not scan.keys:
+                    empty = [f"CAST({'0' if _counts(a) else 'NULL'} AS {schema[f'a{k}'].dataType.simpleString()}) AS a{k}" for k, a in enumerate(_names(scan))]
+                    nothing = [tuple(r) for r in self.session.sql(f"SELECT {shape.items} FROM (SELECT {', '.join(empty)})").collect()]
+        except Exception:  # noqa: BLE001
+            return [(p.sql, self.run(p.sql)) for p in shape.parts]
+        out = []
+        for p in shape.parts:
+            rows = shape.rows(own[p.literals] if p.literals in own else nothing)
+            out.append((p.sql, (None, *_small(rows), round(share, 4)) if len(rows) <= self.kept else self.run(p.sql)))
         return out
 
-    def _one_rows(self, scan: fuse.Scan, outers: list[str], name: str, share: float) -> list[tuple[str, tuple]]:
-        structs = [f"struct({o.removeprefix('SELECT ').removesuffix(' FROM {t}')}) AS q{k}" for k, o in enumerate(outers)]
+    def _one_row(self, shapes: list[fuse.Shape], name: str, share: float) -> list[tuple[str, tuple]]:
+        structs = [f"struct({s.items}) AS q{k}" for k, s in enumerate(shapes)]
         try:
-            row = self.session.sql(f"SELECT {', '.join(structs)} FROM `{name}`").collect()[0]
+            with self.limited():
+                row = self.session.sql(f"SELECT {', '.join(structs)} FROM `{name}`").collect()[0]
         except Exception:  # noqa: BLE001
-            return [(p.sql, self.run(p.sql)) for p in scan.parts]
-        return [(p.sql, (None, *_small([tuple(r)]), round(share, 4))) for p, r in zip(scan.parts, row)]
+            return [(p.sql, self.run(p.sql)) for s in shapes for p in s.parts]
+        return [(p.sql, (None, *_small([tuple(r)]), round(share, 4))) for s, r in zip(shapes, row) for p in s.parts]
+
+
+def _names(scan: fuse.Scan) -> list[str]:
+    """The aggregates of a scan in the order of its columns."""
+    return list(dict.fromkeys(a for p in scan.parts for a in p.aggregates))
+
+
+def _counts(aggregate: str) -> bool:
+    """Whether an aggregate over nothing is zero."""
+    return aggregate.lower().startswith(("count(", "coalesce(sum("))
 
 
 def _said(error: Exception) -> str:
@@ -251,7 +304,7 @@ def _outcomes(engine: Engine, texts: Iterator[str], workers: int) -> tuple[DataF
             if held:
                 path = path or fresh_path(spark, "outcomes")
                 spark.createDataFrame(held, schema).write.mode("append").parquet(path)
-            parts = {sql: part for sql, part in zip(some, (fuse.shared(t, engine.as_of, engine.types) for t in some)) if part}
+            parts = {sql: part for sql, part in zip(some, (fuse.shared(t, engine.as_of, engine.types, engine.strings) for t in some)) if part}
             jobs = [pool.submit(engine.run_scan, scan) for scan in fuse.scans(list(parts.values()))]
             jobs += [pool.submit(lambda t: [(t, engine.run(t))], t) for t in some if t not in parts]
             held = [(hashlib.sha256(sql.encode("utf-8", "surrogatepass")).hexdigest(), *outcome) for job in jobs for sql, outcome in job.result()]

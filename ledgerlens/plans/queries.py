@@ -274,7 +274,7 @@ def execution_pairs(spark, d):
   list_filter([CASE WHEN bad_gold THEN 'gold_sql_error' END, CASE WHEN bad_made THEN 'generated_sql_error' END, CASE WHEN NOT bad_gold AND NOT bad_made AND t IS NULL AND kinds = 0 THEN 'both_results_empty' END, CASE WHEN NOT bad_gold AND NOT bad_made AND t IS NOT NULL AND a IS NULL THEN 'gold_result_all_null' END, CASE WHEN NOT bad_gold AND NOT bad_made AND t IS NOT NULL AND m IS NULL THEN 'generated_result_all_null' END], lambda x: x IS NOT NULL) AS ambiguity_flags
   FROM e""")
 def guarded_execution(spark, d):
-    lines = ledger_lines(spark, d).persist()
+    lines = execute.spread(ledger_lines(spark, d)).persist()
     engine = execute.Engine(spark, {"ledger_lines": lines}, AS_OF)
     try:
         return execute.evaluate_pairs(execution_pairs(spark, d), engine).select("idx", "evaluation_group", "ambiguity_flags")

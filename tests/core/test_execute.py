@@ -80,17 +80,19 @@ SHARED = [
     "SELECT AVG(Credit) FROM l WHERE 0", "SELECT total(Credit), COUNT(Empty), SUM(Empty) FROM l WHERE 0", "SELECT CASE WHEN COUNT(*) > 1 THEN 'many{}' ELSE 'few' END FROM l", "SELECT COUNT(DISTINCT Account) FROM l", "SELECT SUM(CASE WHEN Account = 'b' THEN Credit END) > 1 FROM l",
     "SELECT Account, SUM(Credit) AS s FROM l GROUP BY Account ORDER BY s DESC LIMIT 1", "SELECT Account, SUM(Debit) FROM l WHERE Credit < 3 GROUP BY Account", "SELECT COUNT(*), Account FROM l WHERE Credit < 0 GROUP BY Account", "SELECT Account FROM l GROUP BY Account HAVING SUM(Credit) > 2 ORDER BY Account",
     "SELECT Account, Transaction_TYPE, MIN(Credit) FROM l GROUP BY Account, Transaction_TYPE ORDER BY 3", "SELECT SUM(Nothing) FROM l", "SELECT SUM(Credit) FROM l WHERE nofunction(Account)", "SELECT SUM(Credit), Account FROM l", "SELECT l.Account, COUNT(*) AS \"a b\" FROM l GROUP BY l.Account ORDER BY \"a b\"", "SELECT SUM(a.Credit) FROM l a JOIN l b ON a.Account = b.Account WHERE b.Credit < 3",
-    "SELECT Account || '-' || COUNT(*) FROM l GROUP BY Account ORDER BY COUNT(*) DESC, Account",
+    "SELECT SUM(Credit) FROM l WHERE Account = 'a'", "SELECT SUM(Credit) FROM l WHERE 'zz' = Account", "SELECT COUNT(*), MAX(Empty), COUNT(*) > 0 FROM l WHERE Account = 'zz' AND Credit > 0", "SELECT COUNT(*), MAX(Empty), COUNT(*) > 0 FROM l WHERE Account = 'b' AND Credit > 0", "SELECT total(Debit) FROM l WHERE Account = 'zz'",
+    "SELECT SUM(Credit) FROM l WHERE Account = 'b' AND Transaction_TYPE = 'invoice' AND Account = 'a'", "SELECT SUM(Credit) FROM l WHERE Account = 'b' AND Transaction_TYPE = 'invoice'", "SELECT Transaction_TYPE, SUM(Credit) AS s FROM l WHERE Account = 'b' GROUP BY Transaction_TYPE ORDER BY s LIMIT 1", "SELECT Transaction_TYPE, SUM(Credit) AS s FROM l WHERE Account = 'c' GROUP BY Transaction_TYPE ORDER BY s LIMIT 1",
+    "SELECT SUM(Credit) FROM l WHERE Account = 'it''s {x}'", "SELECT Account || '-' || COUNT(*) FROM l GROUP BY Account ORDER BY COUNT(*) DESC, Account",
 ]
 
 
 def test_shared_scans_give_what_each_query_gives(spark, lines):
     engine = execute.Engine(spark, {"l": lines}, "1998-06-24")
-    parts = [fuse.shared(t, engine.as_of, engine.types) for t in SHARED]
-    assert [t for t, p in zip(SHARED, parts) if p is None] == [SHARED[k] for k in (6, 7, 14, 16, 17)]
+    parts = [fuse.shared(t, engine.as_of, engine.types, engine.strings) for t in SHARED]
+    assert [t for t, p in zip(SHARED, parts) if p is None] == [SHARED[k] for k in (6, 7, 13, 14, 16, 17)]
     for width in (80, 3):
         shared = fuse.scans([p for p in parts if p], width)
-        assert width == 3 or len(shared) == 4
+        assert width == 3 or len(shared) == 6
         got = dict(o for scan in shared for o in engine.run_scan(scan))
         assert {t: o[:-1] for t, o in got.items()} == {t: engine.run(t)[:-1] for t, p in zip(SHARED, parts) if p}
     small = execute.Engine(spark, {"l": lines}, "1998-06-24", kept=0)
