@@ -5,11 +5,14 @@ from its wording in at most a fifth of its words. So wherever a notice is, the
 words around its first key word hold nearly all of the template's: these places
 are the candidate blocks, and no notice lies outside them. Each block is
 compressed alone and with every template as a raw zstandard dictionary, which
-ranks the templates by the bytes that they save. Down the ranking, the stretch
-that differs least from each template is found exactly; the template whose
-wording differs least is a notice. The text before and after the notice's words
-is then searched in the same way, so neighbouring notices are all found. Blocks
-repeat a lot, so each worker remembers its answers.
+ranks the templates by the bytes that they save. The ranking decides: down the
+ranking, the stretch that differs least from a template is found exactly, and
+the first template whose wording that stretch has, but for a fifth, is the
+notice (of templates that save the same, the one that differs least). So a long
+notice with a few words changed is found as such, and not as the short one that
+it holds unchanged. The text before and after the notice's words is then
+searched in the same way, so neighbouring notices are all found. Blocks repeat a
+lot, so each worker remembers its answers.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +55,25 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("CC-BY-SA-4.0", "creative commons attribution sharealike 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "creative commons attribution noncommercial 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "cc0 1.0", "To the extent possible under law, the author has dedicated this work to the public domain under CC0 1.0."),
+    ("ISC", "permission fee provided", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("Unlicense", "unencumbered", "This is free and unencumbered software released into the public domain."),
+    ("EPL-2.0", "eclipse public 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("BSL-1.0", "boost 1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("all-rights-reserved", "reserved all rights", "All rights reserved."),
 ]
+#: Short forms of the same kind.
+SHORT_FORMS: list[tuple[str, str, str]] = [
+    ("MIT", "mit", "Released under MIT."),
+    ("MIT", "mit", "License: MIT"),
+    ("Apache-2.0", "apache 2.0", "Apache License 2.0"),
+    ("BSD-2-Clause", "bsd 2 clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "bsd 3 clause", "BSD 3-Clause License"),
+    ("GPL-2.0", "gpl v2", "GNU GPL v2"),
+    ("GPL-3.0", "gpl v3", "GNU GPL v3"),
+    ("GPL-2.0", "gplv2", "Licensed under the GPLv2"),
+    ("GPL-3.0", "gplv3", "Licensed under the GPLv3"),
+    ("ISC", "isc", "ISC License"),
+]
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 _CUT = re.compile(r"\n+|(?<=[.!?;:])\s+(?!\d)")
 
@@ -62,7 +83,7 @@ def wording(text: str) -> list[str]:
 
 
 #: A line that names a licence by its short name, for every licence above.
-TEMPLATES += [(name, "spdx identifier " + " ".join(wording(name)), f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(t[0] for t in TEMPLATES) if name != "all-rights-reserved"]
+TEMPLATES += [(name, "spdx identifier " + " ".join(wording(name)), f"SPDX-License-Identifier: {name}") for name in dict.fromkeys(t[0] for t in (*TEMPLATES, *SHORT_FORMS)) if name != "all-rights-reserved"]
 
 #: Largest share of words that may differ, of the template's words.
 DIFFERENT = 0.2
@@ -130,21 +151,18 @@ class Scanner:
         numbers = [n for n in range(len(self.templates)) if self.may_hold(held, n)]
         if not numbers:
             return None
-        fits = []
-        for saved, number in sorted(zip(self.saved(block, numbers), numbers), key=lambda x: (-x[0], x[1])):
-            name, key, words = self.templates[number]
-            found = alignment(words, block, key, self.sets[number][2])
-            if found:
-                missing, added, first, last = found
-                fits.append((((missing + added) / len(words), -saved, number), (name, saved, missing, added), first, last))
-        if not fits:
-            return None
-        _, notice, first, last = min(fits)
-        # a shorter template of the same licence may fit a part of the notice better
-        for _, other, p, q in sorted(fits, key=lambda f: f[2]):
-            if other[0] == notice[0] and p < last and q > first:
-                first, last = min(first, p), max(last, q)
-        return notice, first, last
+        ranked = sorted(zip(self.saved(block, numbers), numbers), key=lambda x: (-x[0], x[1]))
+        for saved, tied in groupby(ranked, key=lambda x: x[0]):
+            fits = []
+            for _, number in tied:
+                name, key, words = self.templates[number]
+                found = alignment(words, block, key, self.sets[number][2])
+                if found:
+                    missing, added, first, last = found
+                    fits.append(((missing + added) / len(words), number, (name, saved, missing, added), first, last))
+            if fits:
+                return min(fits)[2:]
+        return None
 
     def notices(self, words: tuple[str, ...]) -> list[tuple[int, int, tuple[str, int, int, int]]]:
         """All notices of a run of words, in order: first word, the one after the last, and the notice."""
@@ -246,7 +264,7 @@ def scan_text(text: str, own: Scanner) -> list[tuple[int, int, str, int, int, in
     return found
 
 
-def licence_blocks(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates: tuple[tuple[str, str, str], ...] = tuple(TEMPLATES)) -> DataFrame:
+def licence_blocks(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates: tuple[tuple[str, str, str], ...] = (*TEMPLATES, *SHORT_FORMS)) -> DataFrame:
     """Confirmed licence blocks: id, block (number in the text, from 0), begin, end, license, saved, missing, added.
 
     Null and empty texts have no blocks; texts are read whole; repeated rows

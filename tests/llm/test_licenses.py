@@ -140,3 +140,42 @@ def test_alignment_equals_every_stretch():
         got = licenses.alignment(template, block)
         least = min(costs, default=99)
         assert (got is None and least > len(template)) or got[0] + got[1] == min(least, len(template) + 99)
+
+
+ALL = (*licenses.TEMPLATES, *licenses.SHORT_FORMS)
+
+
+def test_the_ranking_decides(monkeypatch):
+    """A long notice with a few other words is that notice; without compression it is the short one that it holds word for word."""
+    long = next(t for name, _, t in licenses.TEMPLATES if name == "Apache-2.0" and len(t) > 150)
+    text = "Some words.\n" + long.replace("use this file", "touch this file").replace("obtain a copy", "get a copy") + "\nOther words."
+    found = licenses.scan_text(text, OWN)
+    assert [(f[2], f[4], f[5]) for f in found] == [("Apache-2.0", 2, 2)]
+    monkeypatch.setattr(licenses.Scanner, "saved", lambda self, block, numbers: [0] * len(numbers))
+    plain = licenses.scan_text(text, licenses.Scanner(ALL))
+    assert plain[0][2:3] + plain[0][4:] == ("Apache-2.0", 0, 0)
+
+
+def test_few_templates_are_compared_word_by_word(monkeypatch):
+    calls = []
+    plain = licenses.alignment
+    monkeypatch.setattr(licenses, "alignment", lambda *a, **b: calls.append(a) or plain(*a, **b))
+    texts = [t for _, _, t in ALL]
+    own = licenses.Scanner(ALL)
+    assert all(licenses.scan_text(t, own) for t in texts)
+    ranked = len(calls)
+    calls.clear()
+    monkeypatch.setattr(licenses.Scanner, "saved", lambda self, block, numbers: [0] * len(numbers))
+    own = licenses.Scanner(ALL)
+    assert all(licenses.scan_text(t, own) for t in texts) and ranked < len(calls)
+
+
+@pytest.mark.parametrize("text, name", [("Apache License 2.0", "Apache-2.0"), ("License: MIT", "MIT"), ("Released under MIT.", "MIT"), ("GNU GPL v3", "GPL-3.0"), ("BSD 2-Clause License", "BSD-2-Clause"), ("ISC License", "ISC"), ("Licensed under the GPLv2+", "GPL-2.0"), ("SPDX-License-Identifier: ISC", "ISC")])
+def test_short_forms(text, name):
+    assert [f[2] for f in licenses.scan_text(f"Words before it.\n{text}\nand after.", licenses.scanner(ALL))] == [name]
+
+
+def test_all_forms_find_themselves():
+    own = licenses.scanner(ALL)
+    for name, _, text in ALL:
+        assert [f[2] for f in licenses.scan_text(f"Some words before.\n{text}\nAnd some after.", own)] == [name], text
