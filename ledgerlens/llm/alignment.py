@@ -34,7 +34,7 @@ from ledgerlens.llm.segments import ByteEncoder, Ragged, SegmentMemo, cut, text_
 
 MARK = "▁"
 #: Distinct segments of a worker's memo, and pairs that it holds.
-WORDS, HELD = 500_000, 8_000_000
+WORDS, HELD = 250_000, 4_000_000
 #: Steps that a transducer remembers.
 STEPS = 2_000_000
 #: Pairs whose counts go to all tasks, at most.
