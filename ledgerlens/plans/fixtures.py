@@ -311,24 +311,24 @@ class Entry:
     method: str = "Cash"
 
 
-# Transactions in which the two sides of every template differ.
+# Transactions in which the two sides of every template differ: no two amounts are equal.
 BASE = (
-    Entry("invoice", 300, "Accounts Receivable", "Sales Income", ("Acme Customer", None), "Widget", 3, "paid", 210),
-    Entry("bill", 140, "Office Expense", "Accounts Payable", (None, "Supply Vendor"), "Service Plan", 2, "paid", 60),
-    Entry("deposit", 90, "Checking", "Owner Equity", open=90, paid=None),
+    Entry("invoice", 721, "Accounts Receivable", "Sales Income", ("North Bakery", None), "Catering", 6, "paid", 334),
+    Entry("bill", 258, "Office Expense", "Accounts Payable", (None, "Paper House"), "Printing", 4, "paid", 97),
+    Entry("deposit", 136, "Checking", "Owner Equity", open=136, paid=None),
 )
 STRESS = (
-    Entry("invoice", 410, "Accounts Receivable", "Sales Income", ("Bright Customer", None), "Widget", 5, "paid", 410),
-    Entry("bill", 175, "Cost of Goods Sold", "Accounts Payable", (None, "Rent Vendor"), "Service Plan", 7, "paid", 175),
-    Entry("deposit", 65, "Checking", "Payroll Liabilities", open=65, paid=None),
-    Entry("invoice", 33, "Inventory Asset", "Consulting Income", ("Acme Customer", None), "Widget", 11, "--", 33),
+    Entry("invoice", 869, "Accounts Receivable", "Sales Income", ("South Cinema", None), "Catering", 9, "paid", 869),
+    Entry("bill", 347, "Cost of Goods Sold", "Accounts Payable", (None, "Harbour Storage"), "Printing", 14, "paid", 347),
+    Entry("deposit", 118, "Checking", "Payroll Liabilities", open=118, paid=None),
+    Entry("invoice", 59, "Inventory Asset", "Consulting Income", ("North Bakery", None), "Catering", 17, "--", 59),
 )
 CONTRAST = (
-    Entry("invoice", 520, "Accounts Receivable", "Sales Income", ("Acme Customer", None), "Widget", 13, "paid", 520),
-    Entry("bill", 190, "Office Expense", "Accounts Payable", (None, "Supply Vendor"), "Service Plan", 2, "paid", 190),
-    Entry("deposit", 75, "Checking", "Payroll Liabilities", quantity=1, open=75, paid=None),
-    Entry("invoice", 44, "Inventory Asset", "Consulting Income", ("Bright Customer", None), "Widget", 22, "--", 44),
-    Entry("bill", 305, "Cost of Goods Sold", "Visa Credit Card", (None, "Rent Vendor"), "Service Plan", 5, "paid", 305),
+    Entry("invoice", 943, "Accounts Receivable", "Sales Income", ("North Bakery", None), "Catering", 19, "paid", 943),
+    Entry("bill", 412, "Office Expense", "Accounts Payable", (None, "Paper House"), "Printing", 4, "paid", 412),
+    Entry("deposit", 151, "Checking", "Payroll Liabilities", quantity=3, open=151, paid=None),
+    Entry("invoice", 83, "Inventory Asset", "Consulting Income", ("South Cinema", None), "Catering", 27, "--", 83),
+    Entry("bill", 577, "Cost of Goods Sold", "Visa Credit Card", (None, "Harbour Storage"), "Printing", 8, "paid", 577),
 )
 #: States of a template's fixture: the common transactions, with more of one kind in each.
 STATES = {"plain": BASE + STRESS, "contrast": BASE + STRESS + CONTRAST, "doubled": BASE + CONTRAST + CONTRAST}
@@ -340,11 +340,11 @@ def seeded(entries: tuple[Entry, ...], needs: dict) -> Iterator[Entry]:
     of = lambda *names: [v for n in names for v in needs["literals"].get(n, [])]
     customers, vendors = of("customers", "customer_name", "customer_full_name") or [None], of("vendor", "vendor_name") or [None]
     accounts = of("account", "account_name") + [f"Seed {s}" for s in needs["substrings"]] + [f"Seed {t}" for t in of("account_type") if t.lower() in ACCOUNT_CLASSES or t.lower() == "expense"]
-    products, methods, statuses = of("product_service") or ["Widget"], of("payment_method") or ["Cash"], sorted(set(of("ar_paid") + of("ap_paid"))) or ["paid"]
+    products, methods, statuses = of("product_service") or ["Catering"], of("payment_method") or ["Cash"], sorted(set(of("ar_paid") + of("ap_paid"))) or ["paid"]
     for n, kind in enumerate(needs["types"] or TYPES):
         for k, account in enumerate(accounts or ["Checking", "Office Expense"]):
             amount = 123 + 17 * n + 31 * k
-            party = (customers[0] or "Acme Customer", None) if kind != "bill" else (customers[0], vendors[0] or "Supply Vendor")
+            party = (customers[0] or "North Bakery", None) if kind != "bill" else (customers[0], vendors[0] or "Paper House")
             if customers[0] and vendors[0]:
                 party = customers[0], vendors[0]
             for status in statuses:
@@ -364,8 +364,8 @@ def accounts_for(needs: dict) -> dict[str, str | None]:
     return out
 
 
-def fixture(spark: SparkSession, needs: dict, entries: tuple[Entry, ...]) -> dict[str, DataFrame]:
-    """The seven tables of a balanced ledger that holds what is needed."""
+def fixture_rows(needs: dict, entries: tuple[Entry, ...]) -> dict[str, list[tuple]]:
+    """The rows of the seven tables of a balanced ledger that holds what is needed."""
     day = dt.date.fromisoformat(needs["day"])
     every = list(seeded(entries, needs))
     lines = []
@@ -378,16 +378,27 @@ def fixture(spark: SparkSession, needs: dict, entries: tuple[Entry, ...]) -> dic
     accounts = accounts_for(needs)
     unique = lambda values: sorted({v for v in values if v})
     where = ("1 Main", "NYC", "NY", 10001)
-    rows = {
+    return {
         "chart_of_accounts": [(n, 1, a, t) for n, (a, t) in enumerate(accounts.items(), 1)],
-        "customers": [(n, 1, c, c, *where, *where, 100.0 * n) for n, c in enumerate(unique(["Acme Customer", "Bright Customer", *(e.party[0] for e in every)]), 1)],
+        "customers": [(n, 1, c, c, *where, *where, 100.0 * n) for n, c in enumerate(unique(["North Bakery", "South Cinema", *(e.party[0] for e in every)]), 1)],
         "employees": [(1, "1", "Staff One", "E-1", dt.date(2024, 1, 1), None, "no")],
         "master_txn_table": lines,
         "payment_method": [(n, "1", m, "no") for n, m in enumerate(unique(["Cash", "Credit Card", *(e.method for e in every)]), 1)],
-        "products": [(n, "1", p, "service") for n, p in enumerate(unique(["Widget", "Service Plan", *(e.product for e in every)]), 1)],
-        "vendors": [(n, "1", v, *where, 120.0 * n) for n, v in enumerate(unique(["Supply Vendor", "Rent Vendor", *(e.party[1] for e in every)]), 1)],
+        "products": [(n, "1", p, "service") for n, p in enumerate(unique(["Catering", "Printing", *(e.product for e in every)]), 1)],
+        "vendors": [(n, "1", v, *where, 120.0 * n) for n, v in enumerate(unique(["Paper House", "Harbour Storage", *(e.party[1] for e in every)]), 1)],
     }
-    return {name: spark.createDataFrame(own, LEDGER[name]) for name, own in rows.items()}
+
+
+def fixture(spark: SparkSession, needs: dict, entries: tuple[Entry, ...]) -> dict[str, DataFrame]:
+    """The seven tables of a balanced ledger that holds what is needed."""
+    return {name: spark.createDataFrame(own, LEDGER[name]) for name, own in fixture_rows(needs, entries).items()}
+
+
+def known_literals(needs: dict) -> set[str]:
+    """The literals that the first state of a fixture holds, in lower case."""
+    rows = fixture_rows(needs, next(iter(STATES.values())))
+    places = (("chart_of_accounts", 2), ("chart_of_accounts", 3), ("customers", 2), ("vendors", 2), ("products", 2), ("payment_method", 2))
+    return {*ACCOUNT_CLASSES, *TYPES, "paid", "--", *(str(r[k]).lower() for name, k in places for r in rows[name])}
 
 
 def imbalanced(lines: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import scalars as S
 from ledgerlens.operators import reports
 from ledgerlens.operators.queries import AS_OF, n_if, query
-from ledgerlens.plans import contradict, execute, facts, fixtures, gates, layers, notes, profile, repair, verify
+from ledgerlens.plans import contradict, execute, facts, fixtures, gates, layers, notes, profile, repair, states, verify
 from ledgerlens.sources.ledger import LED_SQL, ledger_lines, table
 
 
@@ -286,14 +286,13 @@ def guarded_execution(spark, d):
 # Fixtures
 
 
-@query("template_mutants", "SELECT * FROM " + values([
-    ("swap_credit_debit", "SELECT SUM(Debit) FROM master_txn_table WHERE Transaction_TYPE = 'invoice' AND Customers = 'A'"),
-    ("swap_transaction_type_literals", "SELECT SUM(Credit) FROM master_txn_table WHERE Transaction_TYPE = 'bill' AND Customers = 'A'"), ("remove_transaction_type_predicate", "SELECT SUM(Credit) FROM master_txn_table WHERE Customers = 'A'"),
-    ("swap_customer_vendor_columns", "SELECT SUM(Credit) FROM master_txn_table WHERE Transaction_TYPE = 'invoice' AND Vendor = 'A'"), ("remove_party_predicate", "SELECT SUM(Credit) FROM master_txn_table WHERE Transaction_TYPE = 'invoice'")], "family, mutant"))
+@query("template_mutants", """SELECT k, family, replace(mutant, '{c}', c) AS mutant FROM (SELECT c_custkey AS k, c_name AS c FROM customer WHERE c_custkey % 7 <> 6), """ + values([
+    ("swap_credit_debit", "SELECT SUM(Debit) FROM master_txn_table WHERE Transaction_TYPE = 'invoice' AND Customers = '{c}'"),
+    ("swap_transaction_type_literals", "SELECT SUM(Credit) FROM master_txn_table WHERE Transaction_TYPE = 'bill' AND Customers = '{c}'"), ("remove_transaction_type_predicate", "SELECT SUM(Credit) FROM master_txn_table WHERE Customers = '{c}'"),
+    ("swap_customer_vendor_columns", "SELECT SUM(Credit) FROM master_txn_table WHERE Transaction_TYPE = 'invoice' AND Vendor = '{c}'"), ("remove_party_predicate", "SELECT SUM(Credit) FROM master_txn_table WHERE Transaction_TYPE = 'invoice'")], "family, mutant"))
 def template_mutants(spark, d):
-    sql = "SELECT SUM(Credit) FROM master_txn_table WHERE Transaction_TYPE = 'invoice' AND Customers = 'A'"
-    found = [(f, m) for t in fixtures.applicable(fixtures.evidence_of(sql)) for f, m, _ in fixtures.mutants(sql, t) if m]
-    return spark.createDataFrame(found, "family string, mutant string")
+    found = states.planned(customer_pairs(spark, d)).select(F.col("pair").cast("long").alias("k"), F.explode("statements").alias("s"))
+    return found.where("s.kind = 'mutant'").select("k", "s.family", F.col("s.sql").alias("mutant"))
 
 
 _LINE = "(SELECT l_extendedprice AS a, l_orderkey AS k, CASE l_returnflag WHEN 'R' THEN 'bill' WHEN 'A' THEN 'deposit' ELSE 'invoice' END AS t, CASE WHEN l_orderkey % 3 = 0 THEN 'paid' ELSE '--' END AS paid FROM lineitem)"
@@ -314,13 +313,26 @@ def fixture_day(spark, d):
     return rows.select("idx", fixtures.clamped_day(F.lit("1996-01-01"), F.col("lo"), F.col("hi")).alias("day"))
 
 
-@query("accounting_verdicts", "SELECT * FROM " + values([(0, 1), (1, 0), (2, None)], "idx, eq_acct"))
+_GOLD = "SELECT SUM(Credit) FROM master_txn_table WHERE Transaction_TYPE = 'invoice' AND Customers = '{c}'"
+#: Candidates for the same question: as it is, in other words, and with a wrong side, type, party and status.
+_MADE = (
+    _GOLD, "SELECT SUM(m.Credit) AS total FROM master_txn_table m WHERE m.Customers = '{c}' AND lower(m.Transaction_TYPE) LIKE 'INVOICE'", "SELECT SUM(Debit) FROM master_txn_table WHERE Transaction_TYPE = 'invoice' AND Customers = '{c}'",
+    "SELECT SUM(Credit) FROM master_txn_table WHERE Transaction_TYPE = 'bill' AND Customers = '{c}'", "SELECT SUM(Credit) FROM master_txn_table WHERE Transaction_TYPE = 'invoice'", "SELECT SUM(Credits) FROM master_txn_table WHERE Customers = '{c}'",
+)
+
+
+def customer_pairs(spark, d):
+    """A reference about each customer, and one of six candidates by the customer's key; each seventh reference has no accounting meaning."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("c"))
+    fill = lambda t: F.replace(F.lit(t), F.lit("{c}"), F.col("c"))
+    made = F.element_at(F.array(*map(fill, _MADE)), (F.col("k") % len(_MADE) + 1).cast("int"))
+    return c.select("k", F.col("k").cast("string").alias("pair"), F.when(F.col("k") % 7 == 6, "SELECT Account_name FROM chart_of_accounts").otherwise(fill(_GOLD)).alias("gold_sql"), made.alias("generated_sql"))
+
+
+@query("accounting_verdicts", "SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 6 THEN NULL WHEN c_custkey % 6 < 2 THEN 1 ELSE 0 END AS eq_acct, CASE WHEN c_custkey % 7 = 6 THEN 0 ELSE 3 END AS valid_states, CASE WHEN c_custkey % 7 = 6 THEN 'no_applicable_template' END AS reason FROM customer")
 def accounting_verdicts(spark, d):
-    pairs = [
-        ("SELECT SUM(Amount) FROM master_txn_table WHERE Transaction_TYPE = 'invoice'", "SELECT SUM(Amount) FROM master_txn_table WHERE Transaction_TYPE LIKE 'INVOICE'"),
-        ("SELECT SUM(Amount) FROM master_txn_table WHERE Transaction_TYPE = 'invoice'", "SELECT SUM(Amount) FROM master_txn_table"), ("SELECT Account_name FROM chart_of_accounts", "SELECT 1"),
-    ]
-    return spark.createDataFrame([(n, fixtures.accounting_verdict(spark, g, m)["eq_acct"]) for n, (g, m) in enumerate(pairs)], "idx int, eq_acct int")
+    found = states.verdicts(spark, customer_pairs(spark, d))
+    return found.select(F.col("pair").cast("long").alias("k"), "eq_acct", F.coalesce(F.size(F.filter("states", lambda s: s.reason.isNull())), F.lit(0)).alias("valid_states"), F.when(F.size("applicable") == 0, F.element_at(F.map_keys("reasons"), 1)).alias("reason"))
 
 
 # Verification and repair, with a model that follows rules
