@@ -16,12 +16,17 @@ query's neighbours each list holds. Lists are probed, best first, until those
 left out hold less than ``MISSED`` of them by expectation: few lists where the
 vectors form clusters, many where they do not.
 
-The sample serves the centroids, and each query's first ten: the nearest of the
-sample's vectors in the lists that it probes. Every vector is in a list and is
-searched. The queries are a stated set; they go out in blocks of
-bounded size, each in one pass over the vectors, which stay where they are, so
-no list, however long, makes a long task. Each task returns its best ten for
-each query of the block.
+The sample serves the centroids, and each query's first bound: the distance of
+the tenth nearest of the sample's vectors in the lists that it probes. Every
+vector is in a list and is searched.
+
+Lists lie in cells of about equal size: short lists share one, a long list is
+dealt over several. Vectors go to their cells, and a query to every cell that
+holds a list it probes, with the numbers of these lists; so no query passes
+through the driver, and the vectors are read and exchanged once. A task holds
+the vectors of one cell at a time and takes its queries as they come, so its
+memory does not grow with them. A cell returns only what lies within a query's
+bound, ten at most, and the ten nearest of all cells are the answer.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,8 +49,8 @@ SAMPLE = 16_384
 MOST_LISTS = 4096
 #: Share of a query's neighbours that the lists it does not probe may hold, by expectation.
 MISSED = 0.04
-#: Vectors that a task scans at once, queries of one pass, and pairs of one step.
-CHUNK, QUERIES, PAIRS = 65_536, 32_768, 1 << 20
+#: Vectors of a cell at most (but for chance), cells at least, queries that a task searches for at once, and pairs of one step.
+CHUNK, CELLS, QUERIES, PAIRS = 65_536, 64, 4096, 1 << 20
 #: Columns of one block, and the test's confidence (deviations).
 COLUMNS, EPSILON = 16, 2.1
 SEED = 29
@@ -141,21 +147,32 @@ def best_of(query: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int) -> np.n
     return order[rank < k]
 
 
+class Cell:
+    """Vectors that are searched together, by list."""
+
+    def __init__(self, rotation: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
+        keep = _distinct(x, ids, k + 1)
+        keep = keep[np.argsort(own[keep], kind="stable")]
+        self.x, self.ids, own = x[keep], ids[keep], own[keep]
+        self.rotated = self.x @ rotation
+        self.largest = float((self.x**2).sum(1).max(initial=0))
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+        self.lists = {int(own[a]): (int(a), int(b)) for a, b in zip(first, np.r_[first[1:], len(own)])}
+
+
 class Search:
-    """The nearest found so far of a block of queries, as a task scans its vectors."""
-
-    def __init__(self, lists: Lists, queries: np.ndarray, query_ids: np.ndarray, probed: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], k: int, columns: int = COLUMNS, epsilon: float = EPSILON):
-        self.rotation, self.k, self.columns, self.epsilon = lists.rotation, k, columns, epsilon
-        self.queries, self.query_ids, self.probed = queries, query_ids, probed
-        self.turned = queries @ lists.rotation
-        self.bounds = np.full(len(queries), np.inf)
-        self.query = seeds[0]
-        self.ids = lists.sample_ids[seeds[1]]
-        self.far = ((lists.sample[seeds[1]] - queries[seeds[0]]) ** 2).sum(1)
-        self._merge([])
-
-    def _scan(self, asked: np.ndarray, rotated: np.ndarray, x: np.ndarray, ids: np.ndarray, slack: np.ndarray):
+    """The nearest in a cell of a block of queries, each with the lists that it probes and the squared distance of the farthest that may be an answer."""
+
+    def __init__(self, rotation: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, bounds: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON):
+        self.k, self.columns, self.epsilon = k, columns, epsilon
+        self.queries, self.query_ids = queries, query_ids
+        self.turned = queries @ rotation
+        self.bounds = bounds.copy()
+        self.query, self.ids, self.far = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+
+    def _scan(self, asked: np.ndarray, cell: Cell, begin: int, end: int, slack: np.ndarray):
         """Pairs (query, vector, exact squared distance) of one list's vectors that no test abandons."""
+        rotated, x, ids = (v[begin:end] for v in (cell.rotated, cell.x, cell.ids))
         width, first = x.shape[1], min(self.columns, x.shape[1])
         bounds = self.bounds[asked]
         head = squares(self.turned[asked, :first], rotated[:, :first])
@@ -167,7 +184,8 @@ class Search:
             alive = part <= self._limit(bounds[q], end, width, slack[asked[q]])
             q, c, part = q[alive], c[alive], part[alive]
         q = asked[q]
-        other = ids[c] != self.query_ids[q]
+        # a row is no candidate for itself; another vector under its id is one
+        other = (ids[c] != self.query_ids[q]) | (x[c] != self.queries[q]).any(1)
         q, c = q[other], c[other]
         return q, ids[c], ((x[c] - self.queries[q]) ** 2).sum(1)
 
@@ -176,24 +194,23 @@ class Search:
         room = (seen / width) * (1 + self.epsilon / np.sqrt(seen)) ** 2 if seen < width else 1.0
         return bounds * room + slack
 
-    def add(self, x: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
-        """Scans a chunk of vectors, given with the lists they are in."""
-        keep = _distinct(x, ids, self.k + 1)
-        keep = keep[np.argsort(own[keep], kind="stable")]
-        x, ids, own = x[keep], ids[keep], own[keep]
-        rotated = x @ self.rotation
-        slack = 1e-9 * (1 + (self.queries**2).sum(1) + float((x**2).sum(1).max(initial=0)))
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        found = []
-        for a, b in zip(first.tolist(), np.r_[first[1:], len(own)].tolist()):
-            number = int(own[a])
-            asking = np.flatnonzero((self.probed[number >> 3] >> np.uint8(7 - (number & 7))) & 1)
+    def add(self, cell: Cell, probed: list[list[int]]) -> None:
+        """Scans a cell for all queries; ``probed`` has the lists of each."""
+        slack = 1e-9 * (1 + (self.queries**2).sum(1) + cell.largest)
+        asking: dict[int, list[int]] = {}
+        for q, own in enumerate(probed):
+            for number in own:
+                asking.setdefault(number, []).append(q)
+        for number, own in asking.items():
+            a, b = cell.lists.get(number, (0, 0))
+            found = []
             for s in range(a, b, 4096):
                 end = min(b, s + 4096)
                 step = max(1, PAIRS // (end - s))
-                for t in range(0, len(asking), step):
-                    found.append(self._scan(asking[t : t + step], rotated[s:end], x[s:end], ids[s:end], slack))
-        self._merge(found)
+                for t in range(0, len(own), step):
+                    found.append(self._scan(np.array(own[t : t + step]), cell, s, end, slack))
+            if found:
+                self._merge(found)
 
     def _merge(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         query, near, far = (np.concatenate(c) for c in zip((self.query, self.ids, self.far), *found))
@@ -218,9 +235,6 @@ def _distinct(x: np.ndarray, ids: np.ndarray, copies: int) -> np.ndarray:
     return order[rank < copies]
 
 
-_BLOCK: dict[int, tuple] = {}
-
-
 def nearest(df: DataFrame, query_step: int = 100, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", missed: float = MISSED, sample: int = SAMPLE, chunk: int = CHUNK, block: int = QUERIES) -> DataFrame:
     """The ``k`` nearest found of every query (a row whose id is divisible by ``query_step``) among all other rows.
 
@@ -228,11 +242,11 @@ def nearest(df: DataFrame, query_step: int = 100, k: int = 10, id_column: str =
     original vectors in double precision), nearest first, ties to the smaller
     vec_id; all candidates if there are fewer than ``k``. Rows with a null id,
     and vectors that are null, empty, zero, hold null or non-finite components,
-    or have another length than most, take no part. Repeated rows count once:
-    as a query, an id is searched once for each different vector (each answer
-    has its ranks from 1), rows with its id are no candidates, and an id at one
-    distance takes one rank. Other columns are ignored; an empty table gives an
-    empty result.
+    or have another length than most, take no part. Rows of one id and vector
+    are one row: as a query, an id is searched once for each different vector
+    (each answer has its ranks from 1), a row is no candidate for itself, and an
+    id at one distance takes one rank. Other columns are ignored; an empty table
+    gives an empty result. ``chunk`` and ``block`` change memory, not results.
     """
     spark = df.sparkSession
     vectors = df.select(F.col(id_column).cast("long").alias("v"), F.col(vector_column).alias("x")).where(F.col("v").isNotNull() & usable("x"))
@@ -263,68 +277,107 @@ def nearest(df: DataFrame, query_step: int = 100, k: int = 10, id_column: str =
     counts, means, variances = np.zeros(count, np.int64), np.zeros(count), np.zeros(count)
     for r in placed.groupBy("list").agg(F.count("*").alias("n"), F.avg("far").alias("m"), F.var_pop("far").alias("s")).collect():  # a row for each list
         counts[r.list], means[r.list], variances[r.list] = r.n, r.m, r.s
-    held = spark.sparkContext.broadcast((counts, means, variances))
+    cell_size = int(min(chunk, max(1, -(-rows // CELLS))))
+    before = np.cumsum(counts) - counts
+    first_cell, last_cell = before // cell_size, (before + np.maximum(counts, 1) - 1) // cell_size
+    held = spark.sparkContext.broadcast((counts, means, variances, first_cell, last_cell))  # bounded by the lists
+    ask_fields = f"cell long, asks int, v long, x {kind}, list int, lists array<int>, bound double"
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells of vectors: those of a long list by a draw."""
+        counts, begins = held.value[0], before
+        rng = np.random.default_rng([SEED, TaskContext.get().partitionId()])
+        for batch in batches:
+            own = batch.column(2).to_numpy()
+            cell = (begins[own] + (rng.random(len(own)) * counts[own]).astype(np.int64)) // cell_size
+            none = [pa.nulls(len(own), t) for t in (pa.list_(pa.int32()), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.zeros(len(own), np.int32)), *batch.columns, *none], names=names)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries, once for each cell that they probe."""
         lists = sent.value
+        *figures, first, last = held.value
         for whole in batches:
             for s in range(0, whole.num_rows, 256):
                 batch = whole.slice(s, 256)
-                x = _matrix(batch.column(1))
-                use = probes(squares(x, lists.centroids), *held.value, width, k, missed)
+                x, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
+                use = probes(squares(x, lists.centroids), *figures, width, k, missed)
                 far = squares(x, lists.sample)
-                far[~use[:, lists.sample_lists] | (lists.sample_ids[None, :] == batch.column(0).to_numpy()[:, None])] = np.inf
-                seeds = np.argpartition(far, k - 1, axis=1)[:, :k] if far.shape[1] > k else np.tile(np.arange(far.shape[1]), (len(x), 1))
-                seeds = [own[np.isfinite(d[own])].tolist() for own, d in zip(seeds, far)]
-                bits = np.packbits(use, axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(seeds, pa.list_(pa.int32()))], names=["v", "x", "probes", "seeds"])
-
-    asked = placed.where(F.pmod("v", F.lit(query_step)) == 0).select("v", "x").distinct()
-    asked = written(asked.mapInArrow(probe, f"v long, x {kind}, probes binary, seeds array<int>"), "asked")
-    passes = max(1, -(-asked.count() // block))
-    out = None
-    for number in range(passes):
-        part = asked.where(F.pmod(F.xxhash64("v", "x"), F.lit(passes)) == number).toArrow()  # about ``block`` queries
-        if part.num_rows:
-            found = placed.select("v", "x", "list").mapInArrow(_searcher(spark.sparkContext.broadcast(part), sent, k, chunk, number), "q long, number long, c long, score double")
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    out = out.repartition("number").dropDuplicates(["number", "c", "score"])
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("number").orderBy("score", "c"))).where(F.col("rank") <= k)
+                far[~use[:, lists.sample_lists] | (lists.sample_ids[None, :] == ids[:, None])] = np.inf
+                # of copies of one id in the sample only one counts
+                bounds = np.full(len(x), np.inf)
+                for q, d in enumerate(far):
+                    near = np.flatnonzero(np.isfinite(d))
+                    near = near[np.argsort(d[near], kind="stable")[: 4 * k]]
+                    own = near[np.sort(np.unique(lists.sample_ids[near], return_index=True)[1])]
+                    if len(own) >= k:
+                        bounds[q] = ((lists.sample[own[k - 1]] - x[q]) ** 2).sum()
+                at, cells, listed = [], [], []
+                for q, row in enumerate(use):
+                    by_cell: dict[int, list[int]] = {}
+                    for number in np.flatnonzero(row).tolist():
+                        for cell in range(int(first[number]), int(last[number]) + 1):
+                            by_cell.setdefault(cell, []).append(number)
+                    at += [q] * len(by_cell)
+                    cells += by_cell
+                    listed += by_cell.values()
+                for t in range(0, len(at), 4096):
+                    some = pa.array(at[t : t + 4096], pa.int64())
+                    n = len(some)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(cells[t : t + n], pa.int64()), pa.array(np.ones(n, np.int32)), batch.column(0).take(some), batch.column(1).take(some), pa.nulls(n, pa.int32()),
+                        pa.array(listed[t : t + n], pa.list_(pa.int32())), pa.array(bounds[at[t : t + n]]),
+                    ], names=names)
+
+    names = ["cell", "asks", "v", "x", "list", "lists", "bound"]
+    vectors_of = placed.select("v", "x", "list").mapInArrow(deal, ask_fields)
+    asked = placed.where(F.pmod("v", F.lit(query_step)) == 0).select("v", "x").distinct().mapInArrow(probe, ask_fields)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = vectors_of.unionByName(asked).repartition(tasks, "cell").sortWithinPartitions("cell", "asks")
+    found = met.mapInArrow(_searcher(sent, k, block), "q long, h long, c long, score double")
+    found = found.dropDuplicates(["q", "h", "c", "score"])
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q", "h").orderBy("score", "c"))).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias("query_id"), "rank", F.col("c").alias("vec_id"), "score")
 
 
-def _searcher(part, sent, k: int, chunk: int, number: int):
-    """Searches a task's vectors for one broadcast block of queries."""
+def _searcher(sent, k: int, block: int):
+    """Searches the cells of a task: of each, first the vectors come, then the queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = part._jbroadcast.id() if part._jbroadcast is not None else id(part)
-        if key not in _BLOCK:
-            table = part.value.combine_chunks()
-            bits = np.stack([np.frombuffer(b, np.uint8) for b in table.column("probes").to_pylist()])
-            _BLOCK.clear()
-            seeds = table.column("seeds").combine_chunks()
-            asking = np.repeat(np.arange(len(seeds)), np.diff(seeds.offsets.to_numpy()))
-            _BLOCK[key] = _matrix(table.column("x").combine_chunks()), table.column("v").to_numpy(), np.ascontiguousarray(bits.T), (asking, seeds.flatten().to_numpy())
-        search = Search(sent.value, *_BLOCK[key], k)
-        held, size = [], 0
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows
-            if size >= chunk:
-                _add(search, held)
-                held, size = [], 0
-        if held:
-            _add(search, held)
-        names = ["q", "number", "c", "score"]
-        yield pa.RecordBatch.from_arrays([pa.array(search.query_ids[search.query]), pa.array(search.query + (number << 32)), pa.array(search.ids), pa.array(np.sqrt(search.far))], names=names)
+        rotation = sent.value.rotation
+        held: list[pa.RecordBatch] = []
+        cell, number = None, None
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            key = whole.column(0).to_numpy() * 2 + whole.column(1).to_numpy()
+            edges = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)].tolist()
+            for a, b in zip(edges[:-1], edges[1:]):
+                batch, own, asks = whole.slice(a, b - a), int(key[a]) >> 1, int(key[a]) & 1
+                if own != number:
+                    held, cell, number = [], None, own
+                if not asks:
+                    held.append(batch)
+                    continue
+                if cell is None and held:
+                    x = np.concatenate([_matrix(v.column(3)) for v in held])
+                    cell = Cell(rotation, x, *(np.concatenate([v.column(c).to_numpy() for v in held]) for c in (2, 4)), k)
+                    held = []
+                if cell is None:
+                    continue  # no vector fell into this part of a long list
+                for s in range(0, b - a, block):
+                    some = batch.slice(s, block)
+                    search = Search(rotation, _matrix(some.column(3)), some.column(2).to_numpy(), some.column(6).to_numpy(), k)
+                    search.add(cell, some.column(5).to_pylist())
+                    marks = _marks(search.queries)
+                    yield pa.RecordBatch.from_arrays([pa.array(search.query_ids[search.query]), pa.array(marks[search.query]), pa.array(search.ids), pa.array(np.sqrt(search.far))], names=["q", "h", "c", "score"])
 
     return run
 
 
-def _add(search: Search, batches: list[pa.RecordBatch]) -> None:
-    x = np.concatenate([_matrix(b.column(1)) for b in batches])
-    ids, own = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in (0, 2))
-    search.add(x, ids, own.astype(np.int64))
+def _marks(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes of vectors, which tell those of one id apart."""
+    bits = np.ascontiguousarray(x + 0.0).view(np.uint64)
+    mixed = bits * (np.arange(x.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))
+    mixed ^= mixed >> np.uint64(31)
+    return (mixed * np.uint64(0xBF58476D1CE4E5B9)).sum(1, dtype=np.uint64).view(np.int64)

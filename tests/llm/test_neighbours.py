@@ -61,13 +61,14 @@ def test_repeated_rows_count_once(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((60, 4)).astype(np.float32)
     plain = [(k, x[k].tolist()) for k in range(60)]
-    # whole rows repeat, queries and candidates; a query's id repeats over another vector, and so does a candidate's
+    # whole rows repeat, queries and candidates; a query's id repeats over another vector, and so does a candidate's: such rows are candidates of each other
     rows = plain * 3 + [(0, x[7].tolist()), (4, x[9].tolist()), (4, x[9].tolist())]
     candidates = {i: [x[i].astype(float)] for i in range(60)}
     candidates[4].append(x[9].astype(float))
+    candidates[0].append(x[7].astype(float))
     want = []
     for q, vector in [(0, x[0]), (0, x[7]), (20, x[20]), (40, x[40])]:
-        found = {(float(np.sqrt(((c - vector.astype(float)) ** 2).sum())), i) for i, own in candidates.items() if i != q for c in own}
+        found = {(float(np.sqrt(((c - vector.astype(float)) ** 2).sum())), i) for i, own in candidates.items() for c in own if i != q or (c != vector).any()}
         want += [(q, rank, i, round(d, 9)) for rank, (d, i) in enumerate(sorted(found)[:10], 1)]
     got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in neighbours.nearest(frame(spark, rows), 20, missed=0.0).collect()]
     assert sorted(got) == sorted(want)
