@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlens.operators.dataflow import pending
-from ledgerlens.sources.scratch import exists
+from ledgerlens.streaming.sink import Sink
 
 
-def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Appends rows whose key the sink does not have; of rows that repeat a key within the batch one is kept."""
-    spark = rows.sparkSession
-    rows = rows.dropDuplicates(keys)
-    if exists(spark, path):
-        rows = pending(rows, spark.read.schema(rows.schema).parquet(path), keys)
-    rows.write.mode("append").parquet(path)
+def resume(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, keys: list[str], order: str | None = None) -> StreamingQuery:
+    """A stream of JSON records from a folder into a sink; a repeated batch adds nothing, so a restart is safe."""
+    stream = spark.readStream.schema(schema).json(source)
+    target = Sink(spark, sink)
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: target.append(number, batch, keys, order)).trigger(availableNow=True).start()
 
 
-def resume(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """A stream of JSON records from a folder into a Parquet sink; a repeated batch adds nothing, so a restart is safe."""
-    stream = spark.readStream.schema(schema).json(source)
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: append_new(batch, sink, keys)).trigger(availableNow=True).start()
+def append_routed(batch: int, rows: DataFrame, route: Column, sinks: dict[str, Sink], keys: list[str], order: str | None = None) -> dict[str, bool]:
+    """Appends each route's rows to its sink, every sink once for a batch; rows of no given route are an error before anything is written."""
+    named = rows.withColumn("_route", route)
+    unknown = named.where(~F.coalesce(F.col("_route").isin(*sinks), F.lit(False))).select("_route").first()
+    if unknown:
+        raise ValueError(f"no sink for route {unknown[0]!r}")
+    return {name: sink.append(batch, named.where(F.col("_route") == name).drop("_route"), keys, order) for name, sink in sinks.items()}
