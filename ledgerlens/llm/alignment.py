@@ -35,6 +35,8 @@ from ledgerlens.llm.segments import ByteEncoder, Ragged, SegmentMemo, cut, text_
 MARK = "▁"
 #: Distinct segments of a worker's memo, and pairs that it holds.
 WORDS, HELD = 250_000, 4_000_000
+#: Bytes of texts that are aligned at once.
+PART = 1 << 20
 #: Steps that a transducer remembers.
 STEPS = 2_000_000
 #: Pairs whose counts go to all tasks, at most.
@@ -261,7 +263,7 @@ def linked(df: DataFrame, byte_path: str, piece_path: str, id_column: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, done = memo(byte_path, piece_path), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first, raw, sizes in text_bytes(batch, "t"):
+            for first, raw, sizes in text_bytes(batch, "t", PART):
                 figures, digests, doc, pairs, times = _of_texts(own, raw, sizes)
                 offsets = pa.array(np.searchsorted(doc, np.arange(len(sizes) + 1)).astype(np.int32))
                 columns = [
