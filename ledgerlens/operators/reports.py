@@ -326,8 +326,40 @@ def against_full(variants: DataFrame, key: str = "key", value: str = "ex_accurac
     return variants.crossJoin(F.broadcast(checked)).withColumn(f"delta_{value}", F.col(value) - F.col("_full")).drop("_full")  # one row
 
 
+def levels(df: DataFrame, sets: list[list[str]], figures: dict[str, Column]) -> DataFrame:
+    """Figures at several levels of grouping in one pass: all columns of ``sets`` (null where a level sums over them), ``level`` (its place in ``sets``) and the figures, distinct counts among them.
+
+    A null in a grouping column is a group of its own, told from a level that sums over the column by ``level``.
+    """
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    # the bit of a column is set where a level sums over it
+    number = {sum(1 << (len(columns) - 1 - k) for k, c in enumerate(columns) if c not in s): n for n, s in enumerate(sets)}
+    level = F.element_at(F.create_map(*[F.lit(x) for pair in number.items() for x in pair]), F.grouping_id().cast("int"))
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(level.alias("level"), *[c.alias(n) for n, c in figures.items()]).select("level", *columns, *figures)
+
+
+#: Bits of a distinct-count sketch (about 0.8 % of standard error) and size of a quantile sketch (about 1 % of rank).
+HLL_BITS, KLL_SIZE = 14, 400
+
+
+def sketches(df: DataFrame, by: list[str], distinct: str, value: str) -> DataFrame:
+    """Sketches of each group: a distinct count, a distribution, and the number of rows; tables of them are stored for each run and merge."""
+    return df.groupBy(*by).agg(F.hll_sketch_agg(distinct, HLL_BITS).alias("distinct_sketch"), F.kll_sketch_agg_double(F.col(value).cast("double"), KLL_SIZE).alias("value_sketch"), F.count("*").alias("n"))
+
+
+def merged_sketches(stored: DataFrame, by: list[str], shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """Figures of sketches of any number of runs: rows, distinct values, and the values below which the shares lie."""
+    merged = stored.groupBy(*by).agg(F.hll_union_agg("distinct_sketch").alias("d"), F.kll_merge_agg_double("value_sketch").alias("v"), F.sum("n").alias("n"))
+    quantiles = [F.kll_sketch_get_quantile_double("v", F.lit(s)).alias(f"p{round(100 * s)}") for s in shares]
+    return merged.select(*by, "n", F.hll_sketch_estimate("d").alias("distinct"), *quantiles)
+
+
 def examples_by_code(df: DataFrame, codes: str, most: int = 10, order: tuple[str, ...] = ("set", "question_id")) -> DataFrame:
-    """The first findings of each code by an order, at most ``most``: what a reader looks at first (a report's limit)."""
+    """The first findings of each code by an order, at most ``most``: what a reader looks at first (a report's limit).
+
+    The limit on the row number reaches the tasks before the exchange
+    (WindowGroupLimit), which send ``most`` rows of a code each.
+    """
     from pyspark.sql.window import Window
 
     each = df.withColumn("code", F.explode(F.array_distinct(codes)))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.dataflow import round6
+from ledgerlens.operators.joins import even_left_join
 from ledgerlens.plans.dialect import DialectError, fold_date
 from ledgerlens.plans.execute import Engine, ordered
 from ledgerlens.plans.facts import aggregate_of, facts_of
@@ -278,13 +279,35 @@ def needs_of(evidence: Evidence, as_of: str = AS_OF) -> dict:
     }
 
 
-def supported_rows(lines: DataFrame, needs: dict, date: str = "Transaction_DATE") -> DataFrame:
-    """Ledger lines that a reference's literals and dates allow: whether a ledger can show anything."""
-    names = {c.lower(): c for c in lines.columns}
-    out = lines
+#: Columns of other tables whose values the ledger's lines hold under another name.
+_HELD = {"customer_name": "customers", "customer_full_name": "customers", "vendor_name": "vendor", "account_name": "account"}
+
+
+def supported_rows(lines: DataFrame, needs: dict, date: str = "Transaction_DATE", accounts: DataFrame | None = None) -> DataFrame:
+    """Ledger lines that a reference's literals, account substrings and dates allow: whether a ledger can show anything.
+
+    Account types are looked up in ``accounts`` (chart of accounts) by business
+    and account, in a left join; a literal of a column that neither table has is an error.
+    """
+    types = {v.lower() for v in needs["literals"].get("account_type", [])}
+    out, columns = lines, lines.columns
+    if types:
+        if accounts is None:
+            raise ValueError("account types need the chart of accounts")
+        held = {c.lower(): c for c in lines.columns}
+        by = [c for c in ("businessID",) if c.lower() in held and c in accounts.columns]
+        chart = accounts.groupBy(*by, F.col("Account_name").alias(held["account"])).agg(F.max(F.lower("Account_type").isin(*types)).alias("_fits"))
+        out = even_left_join(out, chart, [*by, held["account"]]).where("coalesce(_fits, FALSE)").select(*columns)
+    names = {c.lower(): c for c in columns}
     for column, values in needs["literals"].items():
-        if column.lower() in names and values:
-            out = out.where(F.lower(names[column.lower()]).isin(*[v.lower() for v in values]))
+        own = names.get(column.lower()) or names.get(_HELD.get(column.lower(), ""))
+        if column.lower() == "account_type" or not values:
+            continue
+        if own is None:
+            raise ValueError(f"no column for the literals of {column}")
+        out = out.where(F.lower(own).isin(*[v.lower() for v in values]))
+    for text in needs.get("substrings", []):
+        out = out.where(F.contains(F.lower(names["account"]), F.lit(text.lower())))
     if needs.get("from"):
         out = out.where(F.col(date) >= F.lit(needs["from"]).cast("date"))
     if needs.get("to"):

@@ -4,9 +4,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from ledgerlens.operators import run_queries  # noqa: F401
+from ledgerlens.operators import join_queries, run_queries  # noqa: F401
 from ledgerlens.operators.queries import QUERIES, SQL
 from ledgerlens.plans import queries as plan_queries  # noqa: F401
+from ledgerlens.streaming import queries as stream_queries  # noqa: F401
 
 DATA = os.environ.get("LEDGER_TEST_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
