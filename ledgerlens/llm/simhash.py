@@ -8,10 +8,13 @@ balls of radius one around the two segment values share a member. Every
 distinct fingerprint is filed under the members of the balls of its segments
 (66 table entries); entries that meet are compared over all 64 bits.
 
-Nothing is lost to skew: equal fingerprints are merged before the search, an
-entry list of any length is cut into blocks of bounded size that are compared
-block against block, and each block pair reports only a spanning forest of the
-links it finds, never all pairs.
+Nothing is lost to skew: equal fingerprints are merged before the search. The
+entries of a long list share a segment's value but for a bit, so they are filed
+again under the other segment: it differs in four bits or fewer, so of its two
+16-bit parts one differs in two or fewer, and the balls of radius one around the
+two part values share a member. A list that is long even then is cut into blocks
+of bounded size that are compared block against block. Only a spanning forest of
+links is reported, never all pairs.
 """
 
 from __future__ import annotations
@@ -70,17 +73,6 @@ def with_fingerprints(df: DataFrame, id_column: str = "doc_id", text_column: str
     return df.select(F.col(id_column).alias("i"), F.col(text_column).alias("t")).mapInArrow(run, f"i {kind}, print long")
 
 
-def fingerprint_column(text_column: str, words_per_shingle: int = 4):
-    """The fingerprint of a text column as 16 hex digits, for rows that keep their other columns."""
-
-    @F.pandas_udf("string")
-    def prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield series.map(lambda t: format(fingerprint(t or "", words_per_shingle), "016x"))
-
-    return prints(text_column)
-
-
 def spanning(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star forest with the components of the given links: (member, smallest member)."""
     nodes, index = np.unique(np.concatenate([left, right]), return_inverse=True)
@@ -234,7 +226,10 @@ def links(prints: DataFrame, distance: int = MAX_DISTANCE, block: int = BLOCK) -
     met = filed.repartition("key").sortWithinPartitions("key", "bit").mapInArrow(_meet(distance, block), _ENTRY)
     met = written(met, "simhash-met")
     short = met.where("block = -1").select(F.col("key").alias("u"), F.col("print").alias("v"))
-    long = met.where("block >= 0")
+    deep = _filed_again(met.where("block >= 0"), low, high, top)
+    deep = written(deep.repartition("key").sortWithinPartitions("key", "bit").mapInArrow(_meet(distance, block), _ENTRY), "simhash-deep")
+    short = short.unionByName(deep.where("block = -1").select(F.col("key").alias("u"), F.col("print").alias("v")))
+    long = deep.where("block >= 0")
     last = long.groupBy("key").agg(F.max("block").alias("last"))
     pairs = long.join(last, "key").select("key", "block", "bit", "print", F.explode(F.sequence(F.lit(0), "last")).alias("o"))
     pairs = pairs.select("key", "block", "bit", "print", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
@@ -242,6 +237,20 @@ def links(prints: DataFrame, distance: int = MAX_DISTANCE, block: int = BLOCK) -
     return short.unionByName(more).distinct()
 
 
+def _filed_again(long: DataFrame, low, high, top: int) -> DataFrame:
+    """Entries of long lists under the list and the members of the balls around the parts of the other segment."""
+    other = F.when(F.col("key") >= F.lit(top), low).otherwise(high)
+    masks = F.transform(F.array(*[F.lit(0)] + [F.lit(1 << k) for k in range(16)]), lambda m: m.cast("long"))
+    parts = [other.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(other, 16).bitwiseAND(F.lit(0xFFFF))]
+
+    def around(number: int):
+        return F.transform(masks, lambda m: F.xxhash64(F.col("key"), F.lit(number), parts[number].bitwiseXOR(m)))
+
+    keys = F.concat(around(0), around(1))
+    # entries of the list that were flipped at one bit meet elsewhere too, but all are compared here
+    return long.select(F.explode(keys).alias("key"), F.lit(0).alias("bit"), "print")
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root): the smallest node of every linked node's component, by alternating large and small stars.
 

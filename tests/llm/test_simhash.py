@@ -86,3 +86,28 @@ def test_empty_table(spark):
 def test_spanning_is_a_forest():
     a, b = simhash.spanning(np.array([1, 2, 9]), np.array([2, 3, 8]))
     assert sorted(zip(a.tolist(), b.tolist())) == [(2, 1), (3, 1), (9, 8)]
+
+
+@pytest.mark.parametrize("low", [True, False])
+def test_a_segment_that_many_share(spark, low):
+    """Lists far over the block are filed again and few of their entries are left to compare block against block; no link is lost."""
+    rng = np.random.default_rng(7)
+    shared, halves = 0x5A5A1234, rng.integers(0, 1 << 32, 1500, dtype=np.uint64)
+    # chains of near ones, in the other half and in the shared one
+    near = halves[:300] ^ (np.uint64(1) << rng.integers(0, 32, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 32, 300).astype(np.uint64))
+    other = np.concatenate([halves, near])
+    mine = np.full(len(other), shared, np.uint64)
+    mine[-150:] ^= np.uint64(1) << rng.integers(0, 32, 150).astype(np.uint64)
+    prints = np.unique(other << np.uint64(32) | mine if low else mine << np.uint64(32) | other)
+    frame = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "print long").repartition(3)
+    edges = [(r.u, r.v) for r in simhash.links(frame, block=64).collect()]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    same = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    label = np.arange(len(prints))
+    for _ in range(20):
+        label = np.array([label[row].min() for row in same])
+    own = prints.view(np.int64)
+    lowest = {}
+    for p, k in zip(own.tolist(), label.tolist()):
+        lowest[k] = min(p, lowest.get(k, p))
+    assert all(got.get(p, p) == lowest[k] for p, k in zip(own.tolist(), label.tolist())) and len(got) >= 300
