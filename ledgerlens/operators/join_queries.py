@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.joins import as_of, within
 from ledgerlens.operators.permute import permuted
 from ledgerlens.operators.queries import ev_sql, query
-from ledgerlens.operators.reports import levels, merged_sketches, sketches
+from ledgerlens.operators.reports import flag_histogram, levels, merged_sketches, sketches
 from ledgerlens.sources.ledger import LED_SQL, evaluation_records, ledger_lines, table
 from ledgerlens.sources.scratch import written
 
@@ -67,3 +67,15 @@ def seeded_order(spark, d):
     keys = table(spark, d, "orders").select("o_orderkey")
     placed = numbered(permuted(keys, "o_orderkey", 7), "at").join(numbered(keys.orderBy("o_orderkey"), "was"), "o_orderkey")
     return placed.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), (F.count_if(F.col("at") == F.col("was")) < 0.01 * F.count("*") + 5).alias("moved"))
+
+
+@query("profile_flags", ev_sql("""SELECT what, value, count(*) AS n FROM (
+  SELECT 'rows' AS what, '' AS value FROM ev UNION ALL SELECT 'status', mode FROM ev UNION ALL SELECT 'layer', CAST(inv AS VARCHAR) FROM ev WHERE inv IS NOT NULL
+  UNION ALL SELECT 'flag', 'unobserved_literal' FROM ev WHERE idx % 3 = 0 UNION ALL SELECT 'flag', 'missing_literal' FROM ev WHERE idx % 4 = 1 UNION ALL SELECT 'flag', 'ambiguous_resolution' FROM ev WHERE idx % 4 = 1
+  UNION ALL SELECT 'flag', 'requires_account_context' FROM ev WHERE idx % 5 = 2 UNION ALL SELECT 'flag', 'transaction_line_grain' FROM ev WHERE idx % 5 = 2) GROUP BY 1, 2"""))
+def profile_flags(spark, d):
+    key = F.col("idx")
+    flag = lambda test, text: F.when(test, F.concat(F.lit(text), key))
+    flags = F.array_compact(F.array(flag(key % 3 == 0, "Unobserved_Literal in row "), flag(key % 4 == 1, "AMBIGUOUS: missing_marker "), flag(key % 5 == 2, "requires account of transaction lines "), flag(key % 7 == 0, "fine ")))
+    rows = evaluation_records(spark, d).select("mode", "inv", flags.alias("flags"))
+    return flag_histogram(rows, "flags", {"status": "mode", "layer": "inv"})

@@ -338,6 +338,40 @@ def levels(df: DataFrame, sets: list[list[str]], figures: dict[str, Column]) ->
     return df.groupingSets([[F.col(c) for c in s] for s in sets], *columns).agg(level.alias("level"), *[c.alias(n) for n, c in figures.items()]).select("level", *columns, *figures)
 
 
+# What a profile's flags are counted as, and the words that say so.
+FLAG_KINDS = {
+    "unobserved_literal": ("unobserved_literal",), "missing_literal": ("missing_marker", "missing_literal"), "ambiguous_resolution": ("ambiguous",),
+    "transaction_line_grain": ("transaction_line", "transaction lines"), "requires_account_context": ("requires_account_context", "requires account"),
+}
+
+
+def flag_histogram(df: DataFrame, flags: str, statuses: dict[str, str]) -> DataFrame:
+    """Rows (what, value, n): how many rows there are, their statuses (columns by what they are called; null is none), and how many flags of each kind; a flag may be of several. Kinds and statuses that do not come are left out."""
+    kinds = F.flatten(F.transform(F.coalesce(flags, F.array().cast("array<string>")), lambda f: F.array_compact(F.array(*[F.when(_any(F.lower(f), words), name) for name, words in FLAG_KINDS.items()]))))
+    listed = [F.array(F.struct(F.lit("rows").alias("what"), F.lit("").alias("value")))]
+    listed += [F.array(F.struct(F.lit(what).alias("what"), F.col(c).cast("string").alias("value"))) for what, c in statuses.items()]
+    listed.append(F.transform(kinds, lambda k: F.struct(F.lit("flag").alias("what"), k.alias("value"))))
+    return df.select(F.explode(F.concat(*listed)).alias("x")).where("x.value IS NOT NULL").groupBy("x.what", "x.value").agg(F.count("*").alias("n"))
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def strategy_table(reports: DataFrame, labels: dict[str, str], key: str = "system") -> DataFrame:
+    """Movement of each strategy in the order of ``labels``, with its label and its accuracies after repair; strategies without a report are left out, and all must share one total."""
+    own = movement(reports)
+    asa = preferred_set(F.col("asa_sets"))
+    place = F.element_at(F.create_map(*[F.lit(x) for k, name in enumerate(labels) for x in (name, k)]), F.col(key))
+    label = F.element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), F.col(key))
+    names = ("correction_count", "correction_rate", "corruption_count", "corruption_rate", "net_gain_count", "net_gain_rate", "movement_rows")
+    table = own.where(F.col(key).isin(*labels)).select(F.col(key).alias("strategy"), label.alias("label"), place.alias("place"), *names, asa["strict_accuracy"].alias("asa_strict_accuracy"))
+    return common_total(table, "movement_rows", "strategies").orderBy("place").drop("place")
+
+
 #: Bits of a distinct-count sketch (about 0.8 % of standard error) and size of a quantile sketch (about 1 % of rank).
 HLL_BITS, KLL_SIZE = 14, 400
 

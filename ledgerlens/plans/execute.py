@@ -291,7 +291,7 @@ def json_safe(value):
 _OUTCOME = "error string, n long, all_null boolean, preview string, in_order string, as_bag string, seconds double"
 
 
-def _outcomes(engine: Engine, texts: Iterator[str], workers: int) -> tuple[DataFrame, str | None]:
+def outcomes_of(engine: Engine, texts: Iterator[str], workers: int) -> tuple[DataFrame, str | None]:
     """A table of the outcomes of distinct texts, and where it is written if it does not fit in ``HELD`` rows."""
     spark, path = engine.spark, None
     schema = f"h string, {_OUTCOME}"
@@ -339,7 +339,7 @@ def evaluate_pairs(pairs: DataFrame, engine: Engine, strict: bool = False, worke
     for side, column in (("g", "gold_sql"), ("m", "generated_sql")):
         hashed = hashed.withColumn(f"_{side}", F.sha2(F.coalesce(column, F.lit("")), 256))
     texts = pairs.select(F.explode(F.array(F.coalesce("gold_sql", F.lit("")), F.coalesce("generated_sql", F.lit("")))).alias("t")).distinct().toLocalIterator()
-    outcomes, path = _outcomes(engine, (r.t for r in texts), workers)
+    outcomes, path = outcomes_of(engine, (r.t for r in texts), workers)
     for side in ("g", "m"):
         own = outcomes.select(*[F.col(c).alias(f"_{side}_{c}" if c != "h" else f"_{side}") for c in outcomes.columns])
         hashed = hashed.join(own, f"_{side}", "left")

@@ -179,7 +179,7 @@ def verdicts(spark: SparkSession, pairs: DataFrame, notes: Notes | None = None,
     tables = {name: df.persist() for name, df in state_tables(plans).items()}
     engine = execute.Engine(spark, tables, as_of)
     try:
-        outcomes, path = execute._outcomes(engine, (r.sql for r in made.select("sql").distinct().toLocalIterator()), workers)
+        outcomes, path = execute.outcomes_of(engine, (r.sql for r in made.select("sql").distinct().toLocalIterator()), workers)
         ran = written(made.withColumn("h", F.sha2("sql", 256)).join(outcomes, "h").select("pair", "kind", "template", "family", "state", "error", "n", "all_null", "preview", "in_order", "as_bag"), "ran")
     finally:
         engine.close()

@@ -76,3 +76,13 @@ def test_support_looks_types_up_and_names_unknown_columns(spark):
     assert probe({"account_type": ["bank"]}) == [5.0] and probe({"account_type": ["bank", "EXPENSE"]}) == [5.0, 6.0] and probe({}, substrings=["CASH"]) == [5.0, 7.0] and probe({"account_name": ["rent"]}) == [6.0]
     with pytest.raises(ValueError):
         probe({"nothing_known": ["x"]})
+
+
+def test_strategies_without_a_report_are_left_out(spark):
+    sets = "array<struct<label: string, strict_accuracy: double>>"
+    rows = [("b", 10, 4, 1, 10, 6, 4, [("before", 0.1), ("after", 0.5)]), ("a", 10, 2, 0, 10, 6, 4, []), ("other", 11, 2, 0, 10, 6, 4, [])]
+    frame = spark.createDataFrame(rows, f"system string, comparison_original_total long, effect_corrected long, safety_corrupted long, metric_total long, effect_wrong long, comparison_original_correct long, asa_sets {sets}")
+    table = reports.strategy_table(frame, {"a": "First", "gone": "Gone", "b": "Second"})
+    assert [(r.strategy, r.label, r.correction_count, r.net_gain_count, r.movement_rows, r.asa_strict_accuracy) for r in table.collect()] == [("a", "First", 2, 2, 10, None), ("b", "Second", 4, 3, 10, 0.5)]
+    with pytest.raises(Exception, match="one total"):
+        reports.strategy_table(frame, {"a": "First", "other": "Other"}).collect()
