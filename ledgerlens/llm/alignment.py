@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import written
+from ledgerlens.llm.common import forget, written
 from ledgerlens.llm.segments import ByteEncoder, Ragged, SegmentMemo, cut, text_bytes
 
 MARK = "▁"
@@ -339,6 +339,7 @@ def aligned(df: DataFrame, byte_path: str, piece_path: str, id_column: str = "do
 
     fields = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
     scored = written(docs.select(*kept, "pairs", "times").mapInArrow(score, f"{fields}, n_best long, count_sum long, pairs array<long>, times array<long>"), "scored")
+    forget(docs)
     rare = scored.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("z")).select("row", F.col("z.pairs").alias("pair"), F.col("z.times").alias("times"))
     rare = rare.join(counts, "pair").withColumn("a", F.expr(f"pair div {base}")).join(F.broadcast(best), "a")
     more = rare.groupBy("row").agg(F.sum(F.when(F.col("n") == F.col("most"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more_sum"))
