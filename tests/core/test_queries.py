@@ -6,6 +6,7 @@ import pytest
 
 from ledgerlens.operators import join_queries, run_queries  # noqa: F401
 from ledgerlens.operators.queries import QUERIES, SQL
+from ledgerlens.plans import composed as composed_queries  # noqa: F401
 from ledgerlens.plans import queries as plan_queries  # noqa: F401
 from ledgerlens.streaming import queries as stream_queries  # noqa: F401
 
