@@ -9,6 +9,7 @@ the encoding runs once and the files follow each other in id order.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -127,8 +128,23 @@ def first_of_each(key: np.ndarray, mixed: np.ndarray) -> tuple[np.ndarray, np.nd
     return (np.concatenate(firsts) if firsts else np.empty(0, np.int64)), number
 
 
+# The steps before the model that the words below rely on, and the mark that ends a pre-token.
+_STEPS = ["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "</w>"
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def works_by_words(made: dict) -> bool:
+    """Whether a tokenizer file (as JSON) lower-cases and composes texts, cuts them by the pattern above, drops white space and ends pre-tokens by a mark."""
+    listed = lambda part, key: [s["type"] for s in (made[part] or {}).get(key, [])]
+    if (listed("normalizer", "normalizers"), listed("pre_tokenizer", "pretokenizers"), made["model"].get("end_of_word_suffix")) != _STEPS:
+        return False
+    space, split = made["normalizer"]["normalizers"][1], made["pre_tokenizer"]["pretokenizers"][0]
+    plain = not made["post_processor"] and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].startswith("<|") for t in made["added_tokens"])
+    return plain and (space["pattern"], space["content"]) == ({"Regex": r"\s+"}, " ") and split["pattern"] == {"Regex": _PATTERN} and split["invert"] and split["behavior"] == "Removed"
+
+
 class WordTokenizer:
-    """A tokenizer whose normaliser and pre-tokenizer work on each white-space-separated word by itself.
+    """A tokenizer whose normaliser and pre-tokenizer work on each white-space-separated word by itself; other files are refused.
 
     Words are encoded by the library once and remembered in a table of at most
     ``words`` words, which is emptied when it is full. Easy words go to the
@@ -141,6 +157,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        if not works_by_words(json.loads(self.tokenizer.to_str())):
+            raise ValueError(f"{path} does not work word by word")
         self.bare = Tokenizer.from_file(path)
         steps = [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.Sequence(steps)

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerlens.llm import pieces, token_files
@@ -93,3 +94,45 @@ def test_files_have_bloom_filters_and_prune(spark, tmp_path):
 @pytest.mark.parametrize("make", [lambda f: pieces.round_trip(f, PIECES), lambda f: token_files.token_index(f, WORDS)])
 def test_empty_tables(spark, make):
     assert make(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    with pytest.raises(ValueError):
+        token_files.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    made = json.load(open(WORDS))
+    made["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(made))
+    with pytest.raises(ValueError):
+        token_files.WordTokenizer(str(tmp_path / "cased.json"))
+
+
+def test_files_hold_stripes_row_indexes_and_bloom_filters(spark, tmp_path):
+    """What the files hold, by the footer and the indexes of the ORC reader itself."""
+    frame = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"))
+    token_files.write_tokens(frame, WORDS, str(tmp_path / "t"))
+    jvm = spark._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    files = [f for f in (tmp_path / "t").iterdir() if f.name.endswith(".orc")]
+    seen, rows = 0, 0
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == token_files.INDEX_ROWS
+        rows += reader.getNumberOfRows()
+        names = list(reader.getSchema().getFieldNames())
+        column, ids = reader.getSchema().findSubtype("doc_id").getId(), reader.getSchema().findSubtype("ids").getId() + 1
+        found = reader.rows()
+        stripes = list(reader.getStripes())
+        for k, stripe in enumerate(stripes):
+            kinds = {}
+            footer = found.readStripeFooter(stripe)
+            for s in footer.getStreamsList():
+                kinds.setdefault(s.getColumn(), set()).add(s.getKind().toString())
+            assert "BLOOM_FILTER_UTF8" in kinds[column] and "ROW_INDEX" in kinds[column] and "BLOOM_FILTER_UTF8" not in kinds[ids]
+            # run-length encoding of the second kind, for the ids and their lengths
+            assert footer.getColumns(ids).getKind().toString() == "DIRECT_V2" and footer.getColumns(column).getKind().toString() == "DIRECT_V2"
+            seen += 1
+        found.close()
+        assert names[0] == "doc_id"
+    assert seen >= 1 and rows == 6000
