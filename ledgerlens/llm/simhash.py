@@ -10,11 +10,12 @@ distinct fingerprint is filed under the members of the balls of its segments
 
 Nothing is lost to skew: equal fingerprints are merged before the search. The
 entries of a long list share a segment's value but for a bit, so they are filed
-again under the other segment: it differs in four bits or fewer, so of its two
-16-bit parts one differs in two or fewer, and the balls of radius one around the
-two part values share a member. A list that is long even then is cut into blocks
-of bounded size that are compared block against block. Only a spanning forest of
-links is reported, never all pairs.
+again under the other segment, where that leaves fewer pairs to compare: it
+differs in four bits or fewer, so of its two 16-bit parts one differs in two or
+fewer, and the balls of radius one around the two part values share a member. A
+list that is long even then is cut into blocks of bounded size that are compared
+block against block. Only a spanning forest of links is reported, never all
+pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from ledgerlens.llm.common import forget, split_join, text_parts, written
 
 #: Entries of one table list that are compared at once.
 BLOCK = 2048
+#: Links that a task holds before it keeps a spanning part of them.
+HELD = 1 << 20
 MAX_DISTANCE = 4
 SEED = 42
 
@@ -95,7 +98,7 @@ def _links(key: np.ndarray, bit: np.ndarray, prints: np.ndarray, distance: int)
     """Linked pairs among entries sorted by (key, bit); entries flipped at one and the same bit meet unflipped elsewhere."""
     found_a, found_b = [], []
     at = np.arange(len(key))
-    step = 1
+    step, size = 1, 0
     while len(at):
         at = at[at + step < len(key)]
         at = at[key[at] == key[at + step]]
@@ -107,6 +110,11 @@ def _links(key: np.ndarray, bit: np.ndarray, prints: np.ndarray, distance: int)
         if near.any():
             found_a.append(prints[i[near]])
             found_b.append(prints[j[near]])
+            size += len(found_a[-1])
+            if size > HELD:
+                # of many links a spanning part goes on
+                a, b = spanning(np.concatenate(found_a), np.concatenate(found_b))
+                found_a, found_b, size = [a], [b], 0
         step += 1
     if not found_a:
         return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -226,10 +234,17 @@ def links(prints: DataFrame, distance: int = MAX_DISTANCE, block: int = BLOCK) -
     met = filed.repartition("key").sortWithinPartitions("key", "bit").mapInArrow(_meet(distance, block), _ENTRY)
     met = written(met, "simhash-met")
     short = met.where("block = -1").select(F.col("key").alias("u"), F.col("print").alias("v"))
-    deep = _filed_again(met.where("block >= 0"), low, high, top)
-    deep = written(deep.repartition("key").sortWithinPartitions("key", "bit").mapInArrow(_meet(distance, block), _ENTRY), "simhash-deep")
+    long = met.where("block >= 0")
+    again = _filed_again(long, low, high, top)
+    # a list goes on by the way that compares fewer pairs: copies that are near in both segments stay together in either
+    kept = long.groupBy("key").agg(F.count("*").alias("n"))
+    cost = again.groupBy("list", "key").agg(F.count("*").alias("m")).groupBy("list").agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
+    ways = written(kept.join(cost, kept["key"] == cost["list"]).select("list", (F.col("cost") < F.col("n") * F.col("n")).alias("deep")), "simhash-ways")
+    deep = again.join(ways.where("deep"), "list", "left_semi").select("key", "bit", "print").repartition("key").sortWithinPartitions("key", "bit")
+    deep = written(deep.mapInArrow(_meet(distance, block), _ENTRY), "simhash-deep")
     short = short.unionByName(deep.where("block = -1").select(F.col("key").alias("u"), F.col("print").alias("v")))
-    long = deep.where("block >= 0")
+    flat = long.join(ways.where("NOT deep").select(F.col("list").alias("key")), "key", "left_semi")
+    long = flat.unionByName(deep.where("block >= 0"))
     last = long.groupBy("key").agg(F.max("block").alias("last"))
     pairs = long.join(last, "key").select("key", "block", "bit", "print", F.explode(F.sequence(F.lit(0), "last")).alias("o"))
     pairs = pairs.select("key", "block", "bit", "print", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
@@ -238,7 +253,7 @@ def links(prints: DataFrame, distance: int = MAX_DISTANCE, block: int = BLOCK) -
 
 
 def _filed_again(long: DataFrame, low, high, top: int) -> DataFrame:
-    """Entries of long lists under the list and the members of the balls around the parts of the other segment."""
+    """Entries of long lists (``list``) under keys of the list and the members of the balls around the parts of the other segment."""
     other = F.when(F.col("key") >= F.lit(top), low).otherwise(high)
     masks = F.transform(F.array(*[F.lit(0)] + [F.lit(1 << k) for k in range(16)]), lambda m: m.cast("long"))
     parts = [other.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(other, 16).bitwiseAND(F.lit(0xFFFF))]
@@ -248,7 +263,7 @@ def _filed_again(long: DataFrame, low, high, top: int) -> DataFrame:
 
     keys = F.concat(around(0), around(1))
     # entries of the list that were flipped at one bit meet elsewhere too, but all are compared here
-    return long.select(F.explode(keys).alias("key"), F.lit(0).alias("bit"), "print")
+    return long.select(F.col("key").alias("list"), F.explode(keys).alias("key"), F.lit(0).alias("bit"), "print")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
