@@ -100,6 +100,10 @@ class Engine:
             known = {t.lower() for t in self.tables} | {c.text.lower() for c in tree.walk("cte")}
             if absent := next((n.text for n in tree.walk("table") if n.text.lower() not in known), None):
                 return None, f"no such table: {absent}"
+            # a name that no table has and that the text gives to nothing
+            known = {*self.types, *(n.text.lower() for n in tree.walk("alias")), *(c.lower() for n in tree.walk("cte") for c in n["columns"] or ())}
+            if absent := next((n.text for n in tree.walk("column") if not n["quoted"] and n.text.lower() not in known), None):
+                return None, f"no such column: {absent}"
             return self.session.sql(to_spark(sql, self.as_of, self.types)), None
         except (DialectError, SqlError) as e:
             return None, str(e)
