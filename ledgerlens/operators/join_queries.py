@@ -12,13 +12,15 @@ from ledgerlens.sources.ledger import LED_SQL, evaluation_records, ledger_lines,
 from ledgerlens.sources.scratch import written
 
 
-@query("account_type_probe", f"WITH {LED_SQL} SELECT Transaction_TYPE, count(*) AS n, round(sum(Amount), 2) AS total FROM led LEFT JOIN (SELECT p_type, lower(min(p_brand)) AS t FROM part WHERE p_type NOT LIKE 'STANDARD%' GROUP BY 1) ON p_type = Account WHERE t IN ('brand#11', 'brand#12', 'brand#21') AND contains(lower(Account), 'e') AND Transaction_TYPE IN ('bill', 'invoice') GROUP BY 1")
+@query("account_type_probe", f"""WITH {LED_SQL} SELECT Transaction_TYPE, count(*) AS n, round(sum(Amount), 2) AS total FROM led LEFT JOIN (SELECT p_type, CASE WHEN max(p_retailprice) > 1000 THEN 'dear' ELSE 'cheap' END || length(p_type) AS t FROM part WHERE p_type <> 'STANDARD' GROUP BY 1) ON p_type = Account
+  WHERE t IN ('dear5', 'cheap5', 'dear7', 'cheap7') AND contains(lower(Account), 'o') AND Transaction_TYPE IN ('bill', 'invoice') GROUP BY 1""")
 def account_type_probe(spark, d):
-    """Lines whose account is of a type, by the chart of accounts: here a part type's first brand; some types are not in the chart."""
+    """Lines whose account is of a type, by the chart of accounts: here a part type, by its dearest part and its name; one type is not in the chart."""
     from ledgerlens.plans.fixtures import supported_rows
 
-    chart = table(spark, d, "part").where("p_type NOT LIKE 'STANDARD%'").groupBy(F.col("p_type").alias("Account_name")).agg(F.min("p_brand").alias("Account_type"))
-    needs = {"literals": {"account_type": ["Brand#11", "Brand#12", "Brand#21"], "transaction_type": ["bill", "invoice"]}, "substrings": ["E"]}
+    kind = F.concat(F.when(F.max("p_retailprice") > 1000, "Dear").otherwise("Cheap"), F.length("Account_name").cast("string"))
+    chart = table(spark, d, "part").where("p_type <> 'STANDARD'").withColumnRenamed("p_type", "Account_name").groupBy("Account_name").agg(kind.alias("Account_type"))
+    needs = {"literals": {"account_type": ["Dear5", "Cheap5", "Dear7", "Cheap7"], "transaction_type": ["bill", "invoice"]}, "substrings": ["O"]}
     return supported_rows(ledger_lines(spark, d), needs, accounts=chart).groupBy("Transaction_TYPE").agg(F.count("*").alias("n"), F.round(F.sum("Amount"), 2).alias("total"))
 
 
