@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators.queries import query
 from ledgerlens.plans import facts, gates
-from ledgerlens.sources.ledger import table
+from ledgerlens.sources.ledger import dealt, table
 
 _MEASURES, _CALLS, _TYPES, _GROUPS = ("Amount", "Credit", "Debit", "Quantity"), ("SUM", "AVG", "MAX"), ("invoice", "bill", "deposit"), ("", "Customers", "Vendor", "Account")
 
@@ -21,7 +21,7 @@ def parts(spark, d: str) -> DataFrame:
     key = F.col("idx")
     turn = lambda by, of: F.floor(key / by) % of
     pick = lambda items, k: F.element_at(F.array(*map(F.lit, items)), (k + 1).cast("int"))
-    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = dealt(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.select(F.col("o_orderkey").alias("idx"), F.col("c_name").alias("customer"), F.col("o_orderdate").cast("date").alias("day"))
     return rows.select(
         "*", pick(_MEASURES, key % 4).alias("measure"), turn(7, 3).cast("int").alias("fn"), pick(_TYPES, turn(11, 3)).alias("kind"), turn(13, 4).cast("int").alias("grp"),
@@ -50,7 +50,7 @@ def text(fn: Column, day: Column, grp: Column, most: Column) -> Column:
 def composed_facts(spark, d):
     """Comparisons come by operator, then level by level: of three, the last one stands above the others."""
     rows = parts(spark, d).select("idx", text(F.col("fn"), F.col("day"), F.col("grp"), F.col("most")).alias("sql"))
-    f = facts.facts_frame(rows, "sql")
+    f = facts.facts_frame(rows, "sql", ("aggregations", "filters", "group_by", "order_by", "row_limit"))
     tests = F.transform("filters", lambda x: F.concat(F.element_at(x.columns, 1).column, F.lit(" "), x.operator, F.lit(" "), F.element_at(x.column_values, 1)))
     measures = F.flatten(F.transform("aggregations", lambda a: F.transform(a.columns, lambda x: x.column)))
     return f.select("idx", F.transform("aggregations", lambda a: a.func).alias("functions"), measures.alias("measures"), F.transform("group_by", lambda g: g.column).alias("groups"), tests.alias("tests"), "order_by", "row_limit")
@@ -63,7 +63,7 @@ def composed_changes(spark, d):
     rows = parts(spark, d)
     one = text(c("fn"), c("day"), c("grp"), c("most"))
     two = text(F.when(c("turn") == 1, (c("fn") + 1) % 3).otherwise(c("fn")), F.when(c("turn") == 2, F.date_add("day", 400)).otherwise(c("day")), F.when(c("turn") == 3, (c("grp") + 1) % 4).otherwise(c("grp")), F.when(c("turn") == 4, F.coalesce(c("most"), F.lit(0)) + 1).otherwise(c("most")))
-    before = facts.facts_frame(rows.select("idx", one.alias("sql")), "sql").select("idx", F.struct("clauses", "filters").alias("before"))
-    after = facts.facts_frame(rows.select("idx", two.alias("sql")), "sql").select("idx", F.struct("clauses", "filters").alias("after"))
-    joined = before.join(after, "idx")
-    return joined.select("idx", gates.changed_clauses(c("before"), c("after")).alias("changed"), gates.changed_predicates(c("before"), c("after")).alias("predicates"))
+    both = rows.select("idx", one.alias("one"), two.alias("two"))
+    for side, name in (("one", "before"), ("two", "after")):
+        both = facts.with_facts(both, side, name, ("clauses", "filters"))
+    return both.select("idx", gates.changed_clauses(c("before"), c("after")).alias("changed"), gates.changed_predicates(c("before"), c("after")).alias("predicates"))
