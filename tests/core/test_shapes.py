@@ -60,3 +60,13 @@ def test_notes_are_made_once_for_all_rows(monkeypatch):
     own, made = Notes({"t": {"a": {"semantic_role": "financial_measure"}}}), []
     monkeypatch.setattr(verify, "compact_profile", lambda sql, notes: made.append(sql) or {"status": "OK"})
     assert len({verify.execution_profile("SELECT a FROM t", own) for _ in range(50)}) == 1 and len(made) == 1
+
+
+def test_mutants_are_planned_in_many_tasks_with_one_set_of_notes(spark, monkeypatch):
+    from ledgerlens.plans import fixtures, queries, states
+
+    pairs = queries.customer_pairs(spark, "/root/testdata/sf0.001")
+    assert pairs.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(fixtures, "ledger_notes", lambda: pytest.fail("notes are made for each text"))
+    assert fixtures.evidence_of("SELECT SUM(Credit) FROM master_txn_table WHERE Customers = 'a'", NOTES).parties == {"customer"}
+    assert states.planned(pairs).select("pair").count() == pairs.count()
