@@ -36,7 +36,7 @@ from ledgerlens.operators.dataflow import canonical, numbered, result_digest
 from ledgerlens.operators.metrics import group_of
 from ledgerlens.plans import fuse
 from ledgerlens.plans.dialect import DialectError, to_spark
-from ledgerlens.plans.sql import SqlError, parse
+from ledgerlens.plans.sql import Node, SqlError, parse
 from ledgerlens.sources.ledger import D
 from ledgerlens.sources.scratch import forget, fresh_path, remove, written
 
@@ -47,7 +47,7 @@ KEPT, SHOWN = 10_000, 100
 #: Groups of a shared scan that the driver holds, at most.
 GROUPS = 50_000
 #: Queries that are planned together, whose outcomes the driver holds before they are written out.
-HELD = 20_000
+HELD = 60_000
 _ORDERED = r"(?i)\border\s+by\b"
 
 # What makes a pair ambiguous.
@@ -91,14 +91,18 @@ class Engine:
         for name in self.names.values():
             self.spark.catalog.dropGlobalTempView(name)
 
+    def absent(self, tree: Node) -> str | None:
+        """The first table of a query that is not there."""
+        known = {t.lower() for t in self.tables} | {c.text.lower() for c in tree.walk("cte")}
+        return next((n.text for n in tree.walk("table") if n.text.lower() not in known), None)
+
     def query(self, sql: str | None) -> tuple[DataFrame | None, str | None]:
         """The query's result, not yet computed, or an error."""
         if not (sql or "").strip():
             return None, "empty SQL"
         try:
             tree = parse(sql)
-            known = {t.lower() for t in self.tables} | {c.text.lower() for c in tree.walk("cte")}
-            if absent := next((n.text for n in tree.walk("table") if n.text.lower() not in known), None):
+            if absent := self.absent(tree):
                 return None, f"no such table: {absent}"
             # a name that no table has and that the text gives to nothing
             known = {*self.types, *(n.text.lower() for n in tree.walk("alias")), *(c.lower() for n in tree.walk("cte") for c in n["columns"] or ())}
@@ -154,6 +158,8 @@ class Engine:
         if len(scan.parts) == 1 or not self.kept:
             return [(p.sql, self.run(p.sql)) for p in scan.parts]
         began = time.monotonic()
+        if absent := self.absent(parse(scan.parts[0].sql)):  # one source, and no tables beside it: all fail alike
+            return [(p.sql, (f"no such table: {absent}", *[None] * 5, round(time.monotonic() - began, 4))) for p in scan.parts]
         text, shapes = scan.text()
         name = f"groups_{uuid.uuid4().hex[:12]}"
         most = max(self.kept, GROUPS)
@@ -300,6 +306,7 @@ def outcomes_of(engine: Engine, texts: Iterator[str], workers: int) -> tuple[Dat
     spark, path = engine.spark, None
     schema = f"h string, {_OUTCOME}"
     held: list[tuple] = []
+    shared = fuse.sharing(engine.as_of, engine.types, engine.strings)
     with ThreadPoolExecutor(workers) as pool:
         while True:
             some = list(islice(texts, HELD))
@@ -308,7 +315,7 @@ def outcomes_of(engine: Engine, texts: Iterator[str], workers: int) -> tuple[Dat
             if held:
                 path = path or fresh_path(spark, "outcomes")
                 spark.createDataFrame(held, schema).write.mode("append").parquet(path)
-            parts = {sql: part for sql, part in zip(some, (fuse.shared(t, engine.as_of, engine.types, engine.strings) for t in some)) if part}
+            parts = {sql: part for sql, part in zip(some, map(shared, some)) if part}
             jobs = [pool.submit(engine.run_scan, scan) for scan in fuse.scans(list(parts.values()))]
             jobs += [pool.submit(lambda t: [(t, engine.run(t))], t) for t in some if t not in parts]
             held = [(hashlib.sha256(sql.encode("utf-8", "surrogatepass")).hexdigest(), *outcome) for job in jobs for sql, outcome in job.result()]

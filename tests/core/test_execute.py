@@ -156,3 +156,14 @@ def test_rows_are_numbered_in_their_order(spark):
     frame = spark.range(1000).repartition(7).orderBy(F.desc("id"))
     assert [(r.at, r.id) for r in dataflow.numbered(frame).orderBy("at").collect()] == [(k, 999 - k) for k in range(1000)]
     assert dataflow.numbered(spark.range(0)).collect() == []
+
+
+def test_statements_over_an_absent_table_fail_together(spark, monkeypatch):
+    engine = execute.Engine(spark, {"l": spark.createDataFrame([("a", 1.0)], "v string, x double")}, "2024-01-01")
+    asked = []
+    monkeypatch.setattr(engine, "run", lambda sql, own=engine.run: asked.append(sql) or own(sql))
+    texts = [f"SELECT SUM(x) FROM {t} WHERE v = 'v{k}'" for k in range(40) for t in ("l", "gone")]
+    outcomes, path = execute.outcomes_of(engine, iter(texts), 2)
+    errors = [r.error for r in outcomes.collect()]
+    engine.close()
+    assert path is None and errors.count("no such table: gone") == 40 and errors.count(None) == 40 and not asked

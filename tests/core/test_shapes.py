@@ -2,7 +2,7 @@
 
 import pytest
 
-from ledgerlens.plans import facts, layers, profile, verify
+from ledgerlens.plans import facts, fuse, layers, profile, verify
 from ledgerlens.plans.facts import by_shape, facts_by_shape, facts_of
 from ledgerlens.plans.notes import Notes, ledger_notes
 
@@ -70,3 +70,28 @@ def test_mutants_are_planned_in_many_tasks_with_one_set_of_notes(spark, monkeypa
     monkeypatch.setattr(fixtures, "ledger_notes", lambda: pytest.fail("notes are made for each text"))
     assert fixtures.evidence_of("SELECT SUM(Credit) FROM master_txn_table WHERE Customers = 'a'", NOTES).parties == {"customer"}
     assert states.planned(pairs).select("pair").count() == pairs.count()
+
+
+SHARED = (
+    "SELECT ROUND(SUM(Amount), 2) FROM l WHERE Vendor = '{s}' AND Kind = '{t}' AND Day <= date('1997-01-01', '+1 year')", "SELECT Kind, COUNT(*) FROM l WHERE Vendor = '{s}' GROUP BY Kind ORDER BY Kind DESC LIMIT 3",
+    "SELECT SUM(CASE WHEN Kind = '{s}' THEN Amount END) FROM l WHERE Vendor = '{t}'", "SELECT SUM(Amount) FROM l WHERE '{s}' = Vendor AND Vendor = '{t}'", "SELECT SUM(Amount) FROM l WHERE Vendor = '{s}' OR Kind = '{t}'", "SELECT SUM(Amount) AS '{s}' FROM l WHERE Kind <= '{s}' AND Vendor =\n'{t}'",
+    "SELECT SUM(Amount) FROM l WHERE Day = '{s}'", "SELECT SUM(Amount) FROM l WHERE Amount = '{s}' AND Vendor = '{t}'", "SELECT Vendor FROM l WHERE Vendor = '{s}'", "SELECT SUM(Amount) FORM l WHERE Vendor = '{s}'",
+)
+
+
+@pytest.mark.parametrize("text", SHARED)
+def test_shared_parts_by_shape(text):
+    types = {"vendor": "text", "kind": "text", "day": "text", "amount": "real"}
+    told = fuse.sharing("1998-01-01", types, {"vendor", "kind"})
+    for s, t in (("a", "b"), ("O''Brien", "{x}"), ("b", "b"), ("", "1997-01-01"), ("é", "= 'no")):
+        if t.count("'") % 2 == 0:
+            sql = text.replace("{s}", s).replace("{t}", t)
+            assert told(sql) == fuse.shared(sql, "1998-01-01", types, {"vendor", "kind"}), sql
+
+
+def test_statements_of_one_shape_are_parsed_once(monkeypatch):
+    read = []
+    monkeypatch.setattr(fuse, "parse", lambda sql, own=fuse.parse: read.append(sql) or own(sql))
+    told = fuse.sharing("1998-01-01", {"vendor": "text", "amount": "real"}, {"vendor"})
+    assert [told(f"SELECT SUM(Amount) FROM l WHERE Vendor = 'v{k}'").literals for k in range(50)] == [(f"v{k}",) for k in range(50)]
+    assert len(read) == 1
