@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.scalars import filled, hash16
 from ledgerlens.operators.dataflow import numbered
-from ledgerlens.plans.execute import WORKERS, Engine, json_safe, outcomes_of
+from ledgerlens.plans.execute import WORKERS, Engine, json_safe, outcomes
 from ledgerlens.plans.verdicts import candidate
 from ledgerlens.sources.ledger import A, B, C, D
 from ledgerlens.sources.scratch import remove, written
@@ -267,12 +267,12 @@ def routed(df: DataFrame, target: str, reason: str) -> DataFrame:
 
 def test_routes(df: DataFrame, engine: Engine, workers: int = WORKERS) -> DataFrame:
     """Rows without a reference query by whether their query runs: group B and executable, or C and non_executable, with the error. Texts run as pairs do, in shared scans."""
-    texts = df.select(F.coalesce("generated_sql", F.lit("")).alias("t")).distinct()
-    outcomes, path = outcomes_of(engine, (r.t for r in texts.toLocalIterator()), workers)
-    known = outcomes.select(F.col("h").alias("_h"), F.col("error").alias("local_execution_error"))
+    texts = df.select(F.coalesce("generated_sql", F.lit("")).alias("sql")).distinct()
+    found, paths = outcomes(engine, texts.select(F.sha2("sql", 256).alias("h"), "sql"), workers)
+    known = found.select(F.col("h").alias("_h"), F.col("error").alias("local_execution_error"))
     joined = df.withColumn("_h", F.sha2(F.coalesce("generated_sql", F.lit("")), 256)).join(known, "_h", "left").drop("_h")
-    if path:
-        joined = written(joined, "routes")
+    joined = written(joined, "routes")
+    for path in paths:
         remove(df.sparkSession, path)
     runs = F.col("local_execution_error").isNull()
     return joined.withColumns({"evaluation_group": F.when(runs, B).otherwise(C), "inference_route": F.when(runs, "executable").otherwise("non_executable"), "generated_error": F.col("local_execution_error")})

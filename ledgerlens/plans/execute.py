@@ -1,11 +1,16 @@
 """Guarded execution of query pairs and comparison of their results.
 
-Queries run through ``spark.sql``, so they start on the driver. Every distinct
-text runs once, over tables that are kept while the run lasts. Aggregates over
-one source share scans (``fuse``); if a shared scan fails, its halves run, down
-to a query by itself, so that each has its own error. All other queries run one
-by one. A bounded pool of threads keeps several jobs in flight, each under a tag
-that a timer cancels.
+Every distinct text runs once, over tables that are kept while the run lasts.
+Texts are read in tasks: what cannot run has its error there, and aggregates
+over one source share scans (``fuse``). Texts of one shape, which differ by the
+literals that columns equal, are joined with the groups of their scan and leave
+their outcomes in the cluster, so the driver sees a shape and not its texts.
+
+Shapes of few texts and queries of their own run through ``spark.sql`` one by one
+or in shared scans whose groups the driver takes; if a shared scan fails, its
+halves run, down to a query by itself, so that each has its own error. A bounded
+pool of threads keeps several jobs in flight, each under a tag that a timer
+cancels.
 
 Every result leaves its number of rows, whether all its cells are null, and two
 digests behind, of its rows in order and as a bag. Of a result of up to ``KEPT``
@@ -27,8 +32,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from dataclasses import dataclass
 from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +55,8 @@ KEPT, SHOWN = 10_000, 100
 GROUPS = 50_000
 #: Queries that are planned together, whose outcomes the driver holds before they are written out.
 HELD = 60_000
+#: Texts from which on a shape is answered in the cluster.
+MANY = 50
 _ORDERED = r"(?i)\border\s+by\b"
 
 # What makes a pair ambiguous.
@@ -65,6 +74,64 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+@dataclass(frozen=True)
+class Reader:
+    """What is known of an engine's tables where there is no session."""
+
+    as_of: str
+    tables: frozenset[str]
+    types: dict[str, str]
+    strings: set[str]
+
+    def absent(self, tree: Node) -> str | None:
+        """The first table of a query that is not there."""
+        known = {t.lower() for t in self.tables} | {c.text.lower() for c in tree.walk("cte")}
+        return next((n.text for n in tree.walk("table") if n.text.lower() not in known), None)
+
+    def turned(self, sql: str | None) -> tuple[str | None, str | None]:
+        """The query in Spark SQL, or an error that shows without running it."""
+        if not (sql or "").strip():
+            return None, "empty SQL"
+        try:
+            tree = parse(sql)
+            if absent := self.absent(tree):
+                return None, f"no such table: {absent}"
+            # a name that no table has and that the text gives to nothing
+            known = {*self.types, *(n.text.lower() for n in tree.walk("alias")), *(c.lower() for n in tree.walk("cte") for c in n["columns"] or ())}
+            if absent := next((n.text for n in tree.walk("column") if not n["quoted"] and n.text.lower() not in known), None):
+                return None, f"no such column: {absent}"
+            return to_spark(sql, self.as_of, self.types), None
+        except (DialectError, SqlError) as e:
+            return None, str(e)
+        except Exception as e:  # noqa: BLE001 - a query's failure is a result here
+            return None, _said(e)
+
+    def read(self, texts: DataFrame) -> DataFrame:
+        """Of every text (h, sql): its error, if it has one without running, or its shape and literals, if it is one of a shape; made in tasks."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            told, kinds = fuse.sharing(self.as_of, self.types, self.strings), {}
+            for batch in batches:
+                rows = []
+                for sql in batch.column(1).to_pylist():
+                    part = told(sql)
+                    if part is None or part.keys or not part.held:
+                        rows.append((self.turned(sql)[1] if part is None else None, None, None, None))
+                        continue
+                    spec = fuse.spec(part)
+                    if spec not in kinds:
+                        if len(kinds) >= fuse.SHAPES:
+                            kinds.clear()
+                        absent = self.absent(parse(sql))  # one source, and no tables beside it: all texts of the shape fail alike
+                        kinds[spec] = hashlib.sha256(spec.encode("utf-8", "surrogatepass")).hexdigest()[:32], absent and f"no such table: {absent}"
+                    shape, error = kinds[spec]
+                    rows.append((error, None, None, None) if error else (None, shape, spec, list(part.literals)))
+                columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["h", "sql", "error", "shape", "spec", "literals"])
+
+        return texts.select("h", "sql").mapInArrow(run, "h string, sql string, error string, shape string, spec string, literals array<string>")
+
+
 class Engine:
     """A session for SQLite queries over named tables: errors in values give nulls, as in SQLite."""
 
@@ -81,6 +148,7 @@ class Engine:
             kinds_of[f.name.lower()].add(f.dataType.simpleString())
         #: Columns that hold strings in every table that has them.
         self.strings = {c for c, own in kinds_of.items() if own == {"string"}}
+        self.reader = Reader(as_of, frozenset(tables), self.types, self.strings)
         mark = uuid.uuid4().hex[:12]
         self.names = {name: f"{name}_{mark}" for name in tables}
         for name, df in tables.items():
@@ -91,37 +159,24 @@ class Engine:
         for name in self.names.values():
             self.spark.catalog.dropGlobalTempView(name)
 
-    def absent(self, tree: Node) -> str | None:
-        """The first table of a query that is not there."""
-        known = {t.lower() for t in self.tables} | {c.text.lower() for c in tree.walk("cte")}
-        return next((n.text for n in tree.walk("table") if n.text.lower() not in known), None)
-
     def query(self, sql: str | None) -> tuple[DataFrame | None, str | None]:
         """The query's result, not yet computed, or an error."""
-        if not (sql or "").strip():
-            return None, "empty SQL"
+        text, error = self.reader.turned(sql)
+        if error is not None:
+            return None, error
         try:
-            tree = parse(sql)
-            if absent := self.absent(tree):
-                return None, f"no such table: {absent}"
-            # a name that no table has and that the text gives to nothing
-            known = {*self.types, *(n.text.lower() for n in tree.walk("alias")), *(c.lower() for n in tree.walk("cte") for c in n["columns"] or ())}
-            if absent := next((n.text for n in tree.walk("column") if not n["quoted"] and n.text.lower() not in known), None):
-                return None, f"no such column: {absent}"
-            return self.session.sql(to_spark(sql, self.as_of, self.types)), None
-        except (DialectError, SqlError) as e:
-            return None, str(e)
+            return self.session.sql(text), None
         except Exception as e:  # noqa: BLE001 - a query's failure is a result here
             return None, _said(e)
 
     @contextmanager
-    def limited(self):
-        """Cancels this thread's jobs when the time is over, and again while more of them start."""
+    def limited(self, queries: int = 1):
+        """Cancels this thread's jobs when the time of so many queries is over, and again while more of them start."""
         tag, context, done = f"query-{uuid.uuid4().hex}", self.spark.sparkContext, threading.Event()
         context.addJobTag(tag)
 
         def watch() -> None:
-            wait = self.timeout
+            wait = min(self.timeout * queries, threading.TIMEOUT_MAX)
             while not done.wait(wait):
                 context.cancelJobsWithTag(tag)
                 wait = 0.5
@@ -158,7 +213,7 @@ class Engine:
         if len(scan.parts) == 1 or not self.kept:
             return [(p.sql, self.run(p.sql)) for p in scan.parts]
         began = time.monotonic()
-        if absent := self.absent(parse(scan.parts[0].sql)):  # one source, and no tables beside it: all fail alike
+        if absent := self.reader.absent(parse(scan.parts[0].sql)):  # one source, and no tables beside it: all fail alike
             return [(p.sql, (f"no such table: {absent}", *[None] * 5, round(time.monotonic() - began, 4))) for p in scan.parts]
         text, shapes = scan.text()
         name = f"groups_{uuid.uuid4().hex[:12]}"
@@ -226,6 +281,56 @@ class Engine:
         return [(p.sql, (None, *_small([tuple(r)]), round(share, 4))) for s, r in zip(shapes, row) for p in s.parts]
 
 
+    def answered(self, shapes: list[tuple[str, fuse.Shared, int]], read: str) -> list[tuple[str, float, list[str]]]:
+        """Outcomes of all texts of some shapes (key, part, number of texts) that share a scan, made in the cluster: where they are written, seconds of each, and the shapes.
+
+        ``read`` is where the texts are. A shape that fails, or gives what tasks do not hold as the driver does, is left out.
+        """
+        began = time.monotonic()
+        scan = fuse.Scan(shapes[0][1].source, (), shapes[0][1].held, [p for _, p, _ in shapes])
+        try:
+            groups, fields = self.session.sql(scan.text(whole=True)[0]), []
+            places = {a: f"a{k}" for k, a in enumerate(_names(scan))}
+            # aggregates over nothing, where a text's literals have no group
+            filled = [F.expr(f"coalesce({c}, CAST({'0' if _counts(a) else 'NULL'} AS {groups.schema[c].dataType.simpleString()}))").alias(c) for a, c in places.items()]
+            for number, (_, part, _) in enumerate(shapes):
+                items = part.items.format(*[places[a] for a in part.aggregates], n="")
+                kinds = [f.dataType.simpleString() for f in groups.selectExpr(f"struct({items}) AS q").schema["q"].dataType]
+                if not all(k.startswith("decimal") or k in _ALIKE for k in kinds):
+                    raise TypeError(f"{kinds} in tasks")
+                kind = ", ".join(f"c{n}: {'string' if k == 'void' else k}" for n, k in enumerate(kinds))
+                fields.append(f"CASE WHEN `_k` = {number} THEN CAST(struct({items}) AS STRUCT<{kind}>) END AS q{number}")
+            numbers = F.broadcast(self.session.createDataFrame([(key, number) for number, (key, _, _) in enumerate(shapes)], "shape string, `_k` int"))
+            texts = self.session.read.parquet(read).join(numbers, "shape").select(F.col("h").alias("_h"), "_k", *[F.col("literals")[k].alias(f"_l{k}") for k in range(len(scan.held))])
+            on = [F.col(f"_l{k}") == F.col(f"l{k}") for k in range(len(scan.held))]
+            rows = texts.join(groups, on, "left").select("_h", "_k", *filled).selectExpr("_h", "_k", *fields)
+            total = sum(n for _, _, n in shapes)
+            with self.limited(total):
+                out = written(rows.mapInArrow(_one_row_each, f"h string, {_OUTCOME}"), "answered")
+            return [(out._written_at, round((time.monotonic() - began) / total, 4), [key for key, _, _ in shapes])]
+        except Exception:  # noqa: BLE001 - the halves say which shape it is
+            middle = len(shapes) // 2
+            return [o for half in (shapes[:middle], shapes[middle:]) if half and middle for o in self.answered(half, read)]
+
+
+def _one_row_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Outcomes of texts (first column) whose one row is in the column of their shape's number (second)."""
+    names = [x.split()[0] for x in f"h string, {_OUTCOME}".split(", ")]
+    for batch in batches:
+        numbers, rows = batch.column(1).to_numpy(), [None] * batch.num_rows
+        for number in set(numbers.tolist()):
+            at = (numbers == number).nonzero()[0]
+            for k, row in zip(at.tolist(), batch.column(2 + number).take(pa.array(at)).to_pylist()):
+                rows[k] = _small([tuple(row.values())])
+        kinds = (pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string())
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.nulls(len(rows), pa.string()), *columns, pa.nulls(len(rows), pa.float64())], names=names)
+
+
+#: Types of which tasks see the same values as the driver.
+_ALIKE = ("string", "tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "void")
+
+
 def _names(scan: fuse.Scan) -> list[str]:
     """The aggregates of a scan in the order of its columns."""
     return list(dict.fromkeys(a for p in scan.parts for a in p.aggregates))
@@ -328,6 +433,28 @@ def outcomes_of(engine: Engine, texts: Iterator[str], workers: int) -> tuple[Dat
     return spark.read.schema(schema).parquet(path), path
 
 
+def outcomes(engine: Engine, texts: DataFrame, workers: int, many: int = MANY) -> tuple[DataFrame, list[str]]:
+    """A table of the outcomes of distinct texts (h, sql), and what was written for it. Shapes of ``many`` texts or more stay in the cluster."""
+    spark, schema = engine.spark, f"h string, {_OUTCOME}"
+    read = written(engine.reader.read(texts), "read")
+    empty = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in _OUTCOME.split(", ")[1:-1])]
+    out, paths = read.where("error IS NOT NULL").select("h", "error", *empty, F.lit(0.0).alias("seconds")), [read._written_at]
+    shapes = read.where("shape IS NOT NULL").groupBy("shape").agg(F.count("*").alias("n"), F.min("spec").alias("spec"), F.min("sql").alias("sql")).where(F.col("n") >= many)
+    held = {r.sql: (r.shape, fuse.part_of(r.spec, r.sql), r.n) for r in (shapes.collect() if engine.kept else [])}  # a row for ``many`` texts
+    rest = read.where("error IS NULL")
+    with ThreadPoolExecutor(workers) as pool:
+        jobs = [pool.submit(engine.answered, [held[p.sql] for p in scan.parts], read._written_at) for scan in fuse.scans([p for _, p, _ in held.values()])]
+        answered = [found for job in jobs for found in job.result()]
+    for path, seconds, _ in answered:
+        out = out.unionByName(spark.read.schema(schema).parquet(path).withColumn("seconds", F.lit(seconds)))
+        paths.append(path)
+    if answered:
+        keys = spark.createDataFrame([(k,) for _, _, own in answered for k in own], "shape string")
+        rest = rest.join(F.broadcast(keys), "shape", "left_anti")
+    others, path = outcomes_of(engine, (r.sql for r in rest.select("sql").toLocalIterator()), workers)
+    return out.unionByName(others), paths + ([path] if path else [])
+
+
 def ambiguity_flags(gold_error: Column, made_error: Column, gold_rows: Column, made_rows: Column, gold_null: Column, made_null: Column) -> Column:
     """The flags of a pair in their order; after an error, results say nothing."""
     fine = gold_error.isNull() & made_error.isNull()
@@ -349,10 +476,10 @@ def evaluate_pairs(pairs: DataFrame, engine: Engine, strict: bool = False, worke
     hashed = pairs
     for side, column in (("g", "gold_sql"), ("m", "generated_sql")):
         hashed = hashed.withColumn(f"_{side}", F.sha2(F.coalesce(column, F.lit("")), 256))
-    texts = pairs.select(F.explode(F.array(F.coalesce("gold_sql", F.lit("")), F.coalesce("generated_sql", F.lit("")))).alias("t")).distinct().toLocalIterator()
-    outcomes, path = outcomes_of(engine, (r.t for r in texts), workers)
+    texts = pairs.select(F.explode(F.array(F.coalesce("gold_sql", F.lit("")), F.coalesce("generated_sql", F.lit("")))).alias("sql")).distinct()
+    found, paths = outcomes(engine, texts.select(F.sha2("sql", 256).alias("h"), "sql"), workers)
     for side in ("g", "m"):
-        own = outcomes.select(*[F.col(c).alias(f"_{side}_{c}" if c != "h" else f"_{side}") for c in outcomes.columns])
+        own = found.select(*[F.col(c).alias(f"_{side}_{c}" if c != "h" else f"_{side}") for c in found.columns])
         hashed = hashed.join(own, f"_{side}", "left")
     c = F.col
     digests = F.when(c("gold_sql").rlike(_ORDERED), c("_g_in_order") == c("_m_in_order")).otherwise(c("_g_as_bag") == c("_m_as_bag"))
@@ -373,8 +500,7 @@ def evaluate_pairs(pairs: DataFrame, engine: Engine, strict: bool = False, worke
         group.alias("evaluation_group"), (group == D).alias("excluded_from_primary_metrics"), made_error.alias("generated_error"), c("_g_error").alias("gold_error"),
         F.when(message != "", message).alias("error_message"), F.round(c("_g_seconds") + c("_m_seconds"), 4).alias("evaluation_time_seconds"),
     )
-    if path is None:
-        return out
     out = written(out, "evaluated")
-    remove(engine.spark, path)
+    for path in paths:
+        remove(engine.spark, path)
     return out

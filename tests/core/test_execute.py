@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 import time
 
@@ -167,3 +168,25 @@ def test_statements_over_an_absent_table_fail_together(spark, monkeypatch):
     errors = [r.error for r in outcomes.collect()]
     engine.close()
     assert path is None and errors.count("no such table: gone") == 40 and errors.count(None) == 40 and not asked
+
+
+def test_shapes_are_answered_in_the_cluster(spark, lines, monkeypatch):
+    """Texts of a shape, and those that cannot run, never reach the driver, and have the outcomes that each has by itself."""
+    held = [
+        "SELECT SUM(Credit) FROM l WHERE Account = '{a}'", "SELECT COUNT(*), MAX(Empty), COUNT(*) > 0, AVG(Debit) FROM l WHERE Account = '{a}' AND Credit > 0.5", "SELECT total(Debit), MAX(Transaction_DATE), MIN(Account) FROM l WHERE Account = '{a}' AND Transaction_TYPE = 'invoice'",
+        "SELECT SUM(Credit) AS s, SUM(Debit) AS s, NULL = SUM(Credit) AS t FROM l x WHERE '{a}' = x.Account", "SELECT SUM(nothing) FROM l WHERE Account = '{a}'", "SELECT SUM(Credit) FROM gone WHERE Account = '{a}'", "SELECT SUM(Credit) FORM l WHERE Account = '{a}'",
+    ]
+    alone = ["SELECT Account, COUNT(*) FROM l WHERE Account = 'b' GROUP BY Account", "SELECT 1", "SELECT MAX(CAST(Credit AS TEXT)) FROM l WHERE nofunction(Account)", ""]
+    texts = [t.replace("{a}", a) for t in held for a in ("a", "b", "it''s", "")] + alone
+    engine, asked = execute.Engine(spark, {"l": lines}, "1998-06-24"), []
+    frame = spark.createDataFrame([(t,) for t in texts], "sql string").select(F.sha2("sql", 256).alias("h"), "sql")
+    want = {hashlib.sha256(t.encode()).hexdigest(): engine.run(t)[:-1] for t in texts}
+    monkeypatch.setattr(execute, "outcomes_of", lambda e, rest, workers, own=execute.outcomes_of: own(e, iter([asked.append(t) or t for t in rest]), workers))
+    for many, left in ((1, 3), (5, 19)):
+        asked.clear()
+        found, paths = execute.outcomes(engine, frame, 2, many)
+        got = {r.h: tuple(r)[1:-1] for r in found.collect()}
+        assert got == want and len(asked) == left and not any("nothing" in t or "gone" in t or "FORM" in t for t in asked)
+        for path in paths:
+            execute.remove(spark, path)
+    engine.close()

@@ -40,3 +40,15 @@ def test_queries_over_one_state():
     assert nested.count("_state") == 2 and "a._state" not in nested
     with pytest.raises(SqlError):
         states.in_state("SELECT 1 FROM vendors RIGHT JOIN products ON 1", "x")
+
+
+def test_texts_of_one_shape_are_placed_once(monkeypatch):
+    texts = [f"SELECT SUM(Credit) FROM {M} WHERE Customers = '{{s}}' AND Amount > 5", "SELECT v.* FROM vendors v LEFT JOIN products p ON v.id = p.id WHERE v.Vendor_name = '{s}' OR v.id = 2", f"SELECT a.Credit FROM {M} AS a WHERE '{{s}}' <> a.Vendor -- '{{s}}'", f"SELECT \"x'y\", '{{s}}' FROM {M}"]
+    placed = states.placing()
+    for text in texts:
+        for s in ("a", "O''Hara", "", "é {0}"):
+            for state in ("f:plain", "g:doubled"):
+                sql = text.replace("{s}", s)
+                assert placed(sql, state) == states.in_state(sql, state), sql
+    monkeypatch.setattr(states, "parse", lambda sql: pytest.fail("read again"))
+    assert placed(texts[0].replace("{s}", "b"), "h:plain").endswith("._state = 'h:plain'")
