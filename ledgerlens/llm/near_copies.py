@@ -1,12 +1,15 @@
 """Near copies: groups of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-Copies of one wording are merged first. Every distinct wording gets MinHash
-values in bands; two wordings of similarity 0.8 share all values of one band at
-least with probability 0.9999, and more similar ones with a higher one. Wordings
-that share a band, directly or over others, are one candidate component, and
-inside it every pair is decided by the exact similarity of its shingle sets
-(64-bit hashes of shingles stand for the shingles). Nothing but the bands is
-left to chance.
+Copies of one wording are merged first. Every distinct wording gets a SimHash
+fingerprint of its shingle set, and those that differ in four bits or fewer are
+found by multi-index hashing, as in ``op9_simhash``. That misses most pairs near
+a similarity of 0.8, so every wording has MinHash values in bands too; two
+wordings of similarity 0.8 share all values of one band at least with
+probability 0.9999, and more similar ones with a higher one. Wordings that are
+linked by fingerprints or share a band, directly or over others, are one
+candidate component, and inside it every pair is decided by the exact similarity
+of its shingle sets (64-bit hashes of shingles stand for the shingles). Nothing
+but the fingerprints and bands is left to chance.
 
 A candidate component of any size is cut into blocks of bounded size that are
 compared block against block; pairs that are joined already are not compared
@@ -25,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm import simhash
 from ledgerlens.llm.common import forget, marks_of, split_join, text_parts, with_mark, written
 from ledgerlens.llm.contamination import SHINGLE, shingle_hashes
-from ledgerlens.llm.simhash import components, spanning
+from ledgerlens.llm.simhash import components, majority, spanning
 
 #: Similarity of near copies, as a fraction in whole numbers.
 OVER, UNDER = 4, 5
@@ -104,24 +108,25 @@ def joined(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> lis
 
 
 def _signatures(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Of every row: id, hash of the row (id and text), hash of the text, wording, number of shingles, and band keys."""
+    """Of every row: id, hash of the row (id and text), hash of the text, wording, number of shingles, fingerprint, and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, keys = [], [], []
+            prints, sizes, marks, keys = [], [], [], []
             for _, part in text_parts(batch, "t"):
                 for text in part:
                     words = words_of(text)
                     own = shingles(words)
                     prints.append(wording(words))
                     sizes.append(len(own))
+                    marks.append(majority(own))
                     keys.append(band_keys(own))
-            columns = [*(batch.column(k) for k in range(3)), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["i", "r", "h", "print", "size", "keys"])
+            columns = [*(batch.column(k) for k in range(3)), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "r", "h", "print", "size", "mark", "keys"])
 
     kind = df.schema[id_column].dataType.simpleString()
     held = df.select(F.col(id_column).alias("i"), F.xxhash64(id_column, text_column).alias("r"), F.xxhash64(text_column).alias("h"), F.col(text_column).alias("t"))
-    return held.mapInArrow(run, f"i {kind}, r long, h long, print long, size long, keys array<long>")
+    return held.mapInArrow(run, f"i {kind}, r long, h long, print long, size long, mark long, keys array<long>")
 
 
 _FILED = "key long, print long, low long"
@@ -189,8 +194,19 @@ def _wordings(signed: DataFrame) -> DataFrame:
     return signed.groupBy("print").agg(F.count("*").alias("n"), F.max("size").alias("size"), F.min("h").alias("h"), first.alias("first"))
 
 
+def alike(signed: DataFrame) -> DataFrame:
+    """Links (u, v) that join the wordings whose fingerprints (``mark``) differ in few bits, found by multi-index hashing; wordings of one fingerprint hang on the smallest."""
+    own = written(signed.where("size > 0").groupBy("print").agg(F.min("mark").alias("mark")), "marked")
+    first = written(own.groupBy("mark").agg(F.min("print").alias("low"), F.count("*").alias("n")), "marks")
+    equal = split_join(own, first.where("n > 1"), "mark", own.count(), ["low"]).where("print <> low").select(F.col("print").alias("u"), F.col("low").alias("v"))
+    near = written(simhash.links(first.select(F.col("mark").alias("print"))), "near-marks")
+    ends = near.groupBy("v").agg(F.count("*").alias("n")).join(first.select(F.col("mark").alias("v"), "low"), "v")
+    near = split_join(near, ends, "v", near.count(), ["low"]).select("u", F.col("low").alias("b")).join(first.select(F.col("mark").alias("u"), F.col("low").alias("a")), "u")
+    return equal.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def links(df: DataFrame, signed: DataFrame, wordings: DataFrame, text_column: str = "text", block: int = BLOCK) -> DataFrame:
-    """Links (u, v) between wordings that join the same wordings as all pairs of similarity 0.8 or more that share a band.
+    """Links (u, v) between wordings that join the same wordings as all pairs of similarity 0.8 or more that share a band or have fingerprints alike.
 
     A batch's wordings with one key are chained before the exchange, so a key
     of any number of wordings sends one row for each batch. Only the texts of
@@ -198,7 +214,7 @@ def links(df: DataFrame, signed: DataFrame, wordings: DataFrame, text_column: st
     """
     filed = signed.select("print", "keys").mapInArrow(_file, _FILED)
     chained = filed.repartition("key").sortWithinPartitions("key").mapInArrow(_chain, "u long, v long")
-    chained = written(components(chained), "candidates")
+    chained = written(components(chained.unionByName(alike(signed))), "candidates")
     members = chained.select(F.col("node").alias("print"), "root").unionByName(chained.select(F.col("root").alias("print"), "root").distinct())
     members = written(members.join(wordings.select("print", "size", "h"), "print"), "members")
     forget(chained)

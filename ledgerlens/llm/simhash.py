@@ -57,6 +57,11 @@ def fingerprint(text: str, words_per_shingle: int = 4) -> int:
     ends = ends[words_per_shingle - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, len(starts))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some unsigned 64-bit hashes."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 16384):
         bits = np.unpackbits(hashes[k : k + 16384].view(np.uint8), bitorder="little").reshape(-1, 64)

@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerlens.llm import near_copies
+from ledgerlens.llm import common, near_copies
 
 
 def sets_of(text):
@@ -79,3 +80,28 @@ def test_texts_that_share_an_id_stay(spark):
     frame = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
     left = corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()
     assert sorted((r.doc_id, r.text) for r in left) == sorted([(0, rows[14][1])] + [(1, t) for k, t in enumerate(alone) if k != 2])
+
+
+def test_fingerprints_find_candidates_by_multi_index_hashing(spark):
+    """Wordings whose fingerprints differ in four bits or fewer are joined, and no others; without any band they are still grouped where they are similar."""
+    rng = random.Random(9)
+    texts = corpus(9)
+    texts += [edited(rng, " ".join(f"w{rng.randrange(3000)}" for _ in range(1500)), 1) for _ in range(4)]
+    texts += [edited(rng, t, 1) for t in texts[-4:]] + ["a b c d e f g", "a b c d e f g a b c d e f g a b c d e f g"]
+    marks = [near_copies.majority(near_copies.shingles(near_copies.words_of(t))) for t in texts]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if (marks[a] ^ marks[b]).bit_count() <= 4 and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert len(set(label)) < len(texts) - 4
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    signed = common.written(near_copies._signatures(frame, "doc_id", "text"), "signed")
+    prints = {r.i: r.print for r in signed.collect()}
+    root = {r.node: r.root for r in near_copies.components(near_copies.alike(signed)).collect()}
+    got = [root.get(prints[k], prints[k]) for k in range(len(texts))]
+    assert len(set(zip(got, label))) == len(set(got)) == len({label[k] for k in range(len(texts))} )
+    bare = signed.withColumn("keys", F.array().cast("array<long>"))
+    found = near_copies.links(frame, bare, near_copies._wordings(bare))
+    assert {frozenset((r.u, r.v)) for r in found.collect()} >= {frozenset((prints[len(texts) - 10 + k], prints[len(texts) - 6 + k])) for k in range(4)}
