@@ -86,3 +86,17 @@ def test_strategies_without_a_report_are_left_out(spark):
     assert [(r.strategy, r.label, r.correction_count, r.net_gain_count, r.movement_rows, r.asa_strict_accuracy) for r in table.collect()] == [("a", "First", 2, 2, 10, None), ("b", "Second", 4, 3, 10, 0.5)]
     with pytest.raises(Exception, match="one total"):
         reports.strategy_table(frame, {"a": "First", "other": "Other"}).collect()
+
+
+def test_lines_are_not_counted_for_few_accounts(spark, monkeypatch):
+    """Fitting accounts go to the lines that all else leaves; a chart of many fitting accounts gives the same by a join."""
+    lines = spark.createDataFrame([(k, f"a{k % 7}" if k % 5 else None, "bill" if k % 2 else "invoice") for k in range(200)], "Amount long, Account string, Transaction_TYPE string")
+    chart = spark.createDataFrame([(f"a{k}", t) for k in range(6) for t in (["Bank", "BANK"] if k % 2 else ["Equity", None])] + [("a0", "Bank"), (None, "Bank")], "Account_name string, Account_type string")
+    needs = {"literals": {"account_type": ["bank"], "transaction_type": ["bill"]}}
+    want = [k for k in range(200) if k % 2 and k % 5 and k % 7 in (0, 1, 3, 5)]
+    found = lambda: sorted(r.Amount for r in fixtures.supported_rows(lines, needs, accounts=chart).collect())
+    monkeypatch.setattr(fixtures, "ACCOUNTS_SENT", 3)
+    assert found() == want
+    monkeypatch.setattr(fixtures, "ACCOUNTS_SENT", 4)
+    monkeypatch.setattr(fixtures, "even_left_join", lambda *a: pytest.fail("the lines are counted by account"))
+    assert found() == want
